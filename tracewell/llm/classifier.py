@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.llm.wordhash import U, mix, per_text, prefixes, raw, texts_in_slices, tokens
-from tracewell.plans.lineage import fresh
+from tracewell.plans.lineage import drop_written, fresh, written
 
 #: Labelled rows of each (quality, toxic) combination that the fit uses at most.
 PER_CLASS = 3000
@@ -46,84 +46,97 @@ PREFIXES = range(4, 9)
 SMOOTHING = 4.0
 C = 1.0
 EPOCHS = 12
+#: Leading hash bits by which a scorer first sees that a feature has no weight.
+FILTER_BITS = 24
 
 _REPEAT = U(0x51ED270B35A1F00D)
 _PAIR = U(0x9E3779B97F4A7C15)
 
 
-def features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct feature hashes of each text, and where each text's begin (n + 1 values)."""
+def occurrences(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and hash of features as they occur, some of them repeatedly, and the number of tokens of each text."""
     body, offsets = raw(arr)
     starts, ends, hashes = tokens(body, offsets, marks=True)
     first = per_text(starts, offsets)
     owner = np.repeat(np.arange(len(arr)), np.diff(first))
     if not len(owner):
-        return np.zeros(0, np.uint64), np.zeros(len(arr) + 1, np.int64)
-    at = _distinct(owner, hashes)
+        return owner, hashes, np.diff(first)
+    _, at = np.unique(mix(hashes + owner.astype(np.uint64) * _PAIR), return_index=True)
     which, stem = prefixes(body, starts[at], ends[at], PREFIXES)
     inner = owner[1:] == owner[:-1]
     marked = hashes.copy()
     marked[1:][inner & (hashes[1:] == hashes[:-1])] = _REPEAT
     pair = mix(marked[:-1] * _PAIR + mix(marked[1:]))[inner]
-    owner, value = np.concatenate([owner[at], owner[at][which], owner[1:][inner]]), np.concatenate([hashes[at], stem, pair])
-    at = _distinct(owner, value)
-    owner, value = owner[at], value[at]
-    return value, np.searchsorted(owner, np.arange(len(arr) + 1))
+    return np.concatenate([owner[at], owner[at][which], owner[1:][inner]]), np.concatenate([hashes[at], stem, pair]), np.diff(first)
 
 
-def _distinct(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Where the distinct (owner, value) first stand, in that order."""
+def features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct feature hashes of each text, and where each text's begin (n + 1 values)."""
+    owner, value, _ = occurrences(arr)
     order = np.lexsort((value, owner))
-    o, v = owner[order], value[order]
-    new = np.ones(len(o), bool)
-    new[1:] = (o[1:] != o[:-1]) | (v[1:] != v[:-1])
-    return order[new]
+    owner, value = owner[order], value[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    return value[new], np.searchsorted(owner[new], np.arange(len(arr) + 1))
 
 
 @dataclass(frozen=True)
 class Linear:
-    """Weights of feature hashes (sorted), and the bias; a score above 0 is the positive class."""
+    """Weights of features (sorted hashes), and the bias; a score above 0 is the positive class."""
 
     keys: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def scores(self, value: np.ndarray, first: np.ndarray) -> np.ndarray:
-        out = np.full(len(first) - 1, self.bias)
-        if not len(self.keys) or not len(value):
-            return out
-        at = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
-        hit = np.where(self.keys[at] == value, self.weights[at], 0.0)
-        total = np.concatenate(([0.0], np.cumsum(hit)))
-        return out + total[first[1:]] - total[first[:-1]]
-
 
-def fit(value: np.ndarray, first: np.ndarray, positive: np.ndarray, seed: int = 7) -> Linear:
-    """Fit the model to texts given by their features; with one class only, it says never."""
+class Scorer:
+    """Several models over one table of features."""
+
+    def __init__(self, models: list[Linear]) -> None:
+        self.keys = np.unique(np.concatenate([m.keys for m in models]))
+        self.weights = np.zeros((len(models), len(self.keys)))
+        self.bias = np.array([m.bias for m in models])
+        for i, m in enumerate(models):
+            self.weights[i, np.searchsorted(self.keys, m.keys)] = m.weights
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self.keys >> U(64 - FILTER_BITS)] = True
+
+    def scores(self, arr: pa.Array) -> np.ndarray:
+        """(texts, models) scores; NaN for a text without tokens."""
+        owner, value, count = occurrences(arr)
+        near = np.flatnonzero(self.filter[value >> U(64 - FILTER_BITS)])
+        owner, value = owner[near], value[near]
+        out = np.tile(self.bias, (len(arr), 1))
+        if len(self.keys) and len(value):
+            at = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
+            hit = self.keys[at] == value
+            once = np.unique(owner[hit] * len(self.keys) + at[hit])
+            who, which = np.divmod(once, len(self.keys))
+            for i, weights in enumerate(self.weights):
+                out[:, i] += np.bincount(who, weights[which], len(arr))
+        out[count == 0] = np.nan
+        return out
+
+
+def fit(keys: np.ndarray, at: np.ndarray, first: np.ndarray, positive: np.ndarray, seed: int = 7) -> Linear:
+    """Fit the model to texts given by the places of their features in ``keys``; with one class only, it says never."""
     n = len(positive)
     if not positive.any() or positive.all():
         return Linear(np.zeros(0, np.uint64), np.zeros(0), -1.0)
-    keys, at, count = np.unique(value, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), np.diff(first))
-    yes = np.bincount(at[positive[owner]], minlength=len(keys))
+    yes, no = np.zeros(len(keys)), np.zeros(len(keys))
+    for i in range(n):
+        (yes if positive[i] else no)[at[first[i] : first[i + 1]]] += 1
     n_yes, n_no = positive.sum(), (~positive).sum()
-    ratio = np.log((yes + SMOOTHING * n_yes / n) / n_yes) - np.log((count - yes + SMOOTHING * n_no / n) / n_no)
-    used = count >= MIN_TEXTS
-    number = np.full(len(keys), -1)
-    number[used] = np.arange(used.sum())
-    keys, ratio = keys[used], ratio[used]
-    live = number[at] >= 0
-    owner, at = owner[live], number[at][live]
-    first = np.searchsorted(owner, np.arange(n + 1))
-    x = ratio[at]
-    norm = np.bincount(owner, x * x, n) + 1.0
+    ratio = np.log((yes + SMOOTHING * n_yes / n) / n_yes) - np.log((no + SMOOTHING * n_no / n) / n_no)
+    norm = np.array([np.square(ratio[at[first[i] : first[i + 1]]]).sum() for i in range(n)]) + 1.0
     sign = np.where(positive, 1.0, -1.0)
     cap = C * np.where(positive, n / (2 * n_yes), n / (2 * n_no))
     w, bias, alpha = np.zeros(len(keys)), 0.0, np.zeros(n)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(n):
-            cols, vals = at[first[i] : first[i + 1]], x[first[i] : first[i + 1]]
+            cols = at[first[i] : first[i + 1]]
+            vals = ratio[cols]
             gradient = sign[i] * (w[cols] @ vals + bias) - 1.0
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cap[i])
             if step := (new - alpha[i]) * sign[i]:
@@ -150,7 +163,12 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **columns: str) -> tuple[Linear, Linear]:
-    """The models of low quality and of toxicity."""
+    """The models of low quality and of toxicity.
+
+    The sample's features are counted on the cluster; the driver gets those of
+    MIN_TEXTS texts and more, and the texts as places among them.
+    """
+    spark = documents.sparkSession
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,26 +178,41 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, *
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_"), part.column("quality").cast(pa.int32()), part.column("toxic").cast(pa.int32()), lists], names=["doc_", "quality", "toxic", "value"])
 
-    rows = sample(documents, labels, per_class, **columns).mapInArrow(extract, "doc_ bigint, quality int, toxic int, value array<bigint>").toArrow()
-    rows = rows.sort_by([("doc_", "ascending")]).combine_chunks()
-    lists = rows.column("value").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    value = np.asarray(lists.flatten()).view(np.uint64)
-    first = np.concatenate(([0], np.cumsum(np.diff(np.asarray(lists.offsets))))) if len(lists) else np.zeros(1, np.int64)
-    quality, toxic = (np.asarray(rows.column(c).combine_chunks()) for c in ("quality", "toxic"))
-    return fit(value, first, quality < 1), fit(value, first, toxic > 0)
+    rows = written(sample(documents, labels, per_class, **columns).mapInArrow(extract, "doc_ bigint, quality int, toxic int, value array<bigint>"), "sample")
+    common = rows.select(F.explode("value").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS).select("f").toArrow()
+    keys = np.sort(np.asarray(common.column("f").combine_chunks()).view(np.uint64))
+    del common
+    shared = spark.sparkContext.broadcast(keys)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            lists = batch.column("value")
+            value = np.asarray(lists.flatten()).view(np.uint64)
+            at = np.searchsorted(known, value)
+            hit = np.flatnonzero((at < len(known)) & (known[np.minimum(at, max(0, len(known) - 1))] == value) if len(known) else np.zeros(len(value), bool))
+            first = np.searchsorted(hit, np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths())))))
+            places = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(at[hit].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_"), batch.column("quality"), batch.column("toxic"), places], names=["doc_", "quality", "toxic", "at"])
+
+    sampled = rows.mapInArrow(encode, "doc_ bigint, quality int, toxic int, at array<int>").toArrow()
+    shared.unpersist()
+    drop_written(rows)
+    order = np.argsort(np.asarray(sampled.column("doc_").combine_chunks()), kind="stable")
+    lists = [x for chunk in sampled.column("at").chunks for x in np.split(np.asarray(chunk.flatten()), np.cumsum(np.asarray(chunk.value_lengths()))[:-1])] if len(sampled) else []
+    lists = [lists[i] for i in order]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    at = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    quality, toxic = (np.asarray(sampled.column(c).combine_chunks())[order] for c in ("quality", "toxic"))
+    del lists, sampled
+    return fit(keys, at, first, quality < 1), fit(keys, at, first, toxic > 0)
 
 
 def _score(shared):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        models = [Linear(*m) for m in shared.value]
+        scorer = Scorer([Linear(*m) for m in shared.value])
         for batch in batches:
-            parts = []
-            for a, b in texts_in_slices(batch):
-                value, first = features(batch.slice(a, b - a))
-                both = np.stack([m.scores(value, first) for m in models], 1)
-                both[first[1:] == first[:-1]] = np.nan
-                parts.append(both)
+            parts = [scorer.scores(batch.slice(a, b - a)) for a, b in texts_in_slices(batch)]
             both = np.concatenate(parts) if parts else np.zeros((0, 2))
             fields = [("low", pa.float64()), ("toxic", pa.float64())]
             yield pa.StructArray.from_arrays([pa.array(both[:, i].copy()) for i in (0, 1)], fields=[pa.field(*f) for f in fields])
