@@ -8,8 +8,10 @@ that more than ``max_ratio`` of a host's pages contain.
 Lines are normalised (white space collapsed, lower case) and hashed.  The table is
 read once into rows of keys and line hashes, the only thing that is exploded and
 shuffled; counting combines inside tasks before the shuffle.  The lines to remove
-go back as positions per document, and a document's text meets them in one join on
-its key, which Catalyst makes a broadcast where the written table is small enough.
+go back as positions per document.  Documents that cannot hold any of them, by a filter
+of fixed size over the lines to remove, are passed on where they lie; only the others
+meet their positions in a join and have their text shuffled.  The filter has no false
+negatives; the fuller it is, the more documents take the join, which is exact.
 
 Documents of equal text count as one in :func:`clean_documents`: exact copies are
 for deduplication to settle, and one of them must not lose its lines to the rest.
@@ -27,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.bloom import may_hold
 from tracewell.llm.html import BLANKS, host, html_lines, sql_host, sql_lines, trimmed_lines
 from tracewell.plans.lineage import written
 
@@ -45,21 +48,20 @@ def _exploded(rows: DataFrame) -> DataFrame:
     return rows.select("host", "id", "text_hash", F.posexplode("hashes").alias("pos", "h"))
 
 
-def _positions(lines: DataFrame, over: DataFrame) -> DataFrame:
-    """id_, host_, text_hash_ and the positions of the lines that ``over`` (host_, h_) holds, written."""
-    found = lines.join(over, F.col("host").eqNullSafe(F.col("host_")) & (F.col("h") == F.col("h_")), "left_semi")
-    found = found.groupBy(F.col("host").alias("host_"), F.col("id").alias("id_"), F.col("text_hash").alias("text_hash_")).agg(F.collect_set("pos").alias("gone"))
-    return written(found, "positions")
-
-
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, exploded: DataFrame, over: DataFrame) -> DataFrame:
     """``rows`` (host, id, text_hash, lines) with what is left of the lines in ``left``."""
+    marks = F.transform(_hashes(F.col("lines")), lambda h: F.xxhash64(h, F.col("host")))
+    marked = rows.withColumn("touched", may_hold(over.select(F.xxhash64("h_", "host_").alias("mark")), marks))
+    found = exploded.join(over, F.col("host").eqNullSafe(F.col("host_")) & (F.col("h") == F.col("h_")), "left_semi")
+    gone = found.groupBy(F.col("host").alias("host_"), F.col("id").alias("id_"), F.col("text_hash").alias("text_hash_")).agg(F.collect_set("pos").alias("gone"))
     same = F.col("host").eqNullSafe(F.col("host_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("text_hash_"))
-    joined = rows.join(gone, same, "left")
-    places = F.array_except(F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>")), F.col("gone"))
-    # array_except drops repeats too, and there are none: places are distinct. It hashes, so long documents cost their length.
+    # The join is the same at every size: a sort-merge join of the documents concerned.
+    joined = marked.where("touched").join(gone.hint("merge"), same, "left")
+    # array_except hashes, so a long document costs its length; places are distinct, so it drops no repeats.
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get(F.col("lines"), i)))
-    return joined.withColumn("left", left)
+    columns = ["id", "host", "lines", "left"]
+    return joined.withColumn("left", left).select(*columns).unionByName(marked.where("not touched").withColumn("left", F.col("lines")).select(*columns))
 
 
 def clean_documents(documents: DataFrame, max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -74,7 +76,7 @@ def clean_documents(documents: DataFrame, max_docs: int = MAX_DOCS, min_kept: fl
     exploded = _exploded(narrow)
     counted = exploded.groupBy(F.col("host").alias("host_"), F.col("h").alias("h_")).agg(F.count_distinct("text_hash").alias("n"))
     over = written(counted.where(F.col("n") > max_docs).select("host_", "h_"), "over")
-    out = _without(rows, _positions(exploded, over))
+    out = _without(rows, exploded, over)
 
     def chars(column: str) -> Column:
         return F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
@@ -87,16 +89,14 @@ def clean_pages(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     """page_id, host, text (what is left), n_lines, n_removed of every page. Pages are told apart by id; a null id is one page."""
     lines = F.coalesce(html_lines(F.col(html_col)), F.array().cast("array<string>"))
     rows = pages.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), F.coalesce(F.xxhash64(F.col(html_col)), F.lit(0)).alias("text_hash"), lines.alias("lines"))
-    # The lines are extracted once and read from here on.
-    rows = written(rows, "page-lines")
-    narrow = rows.select("id", "host", "text_hash", _hashes(F.col("lines")).alias("hashes"))
+    narrow = written(rows.select("id", "host", "text_hash", _hashes(F.col("lines")).alias("hashes")), "page-lines")
     who = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     totals = narrow.groupBy(F.col("host").alias("host_")).agg(F.count_distinct(who).alias("total")).where(F.col("total") >= min_pages)
     exploded = _exploded(narrow)
     counted = exploded.groupBy("host", F.col("h").alias("h_")).agg(F.count_distinct(who).alias("n"))
     over = counted.where("n > 1").join(totals, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n") > F.col("total") * F.lit(max_ratio))
     over = written(over.select("host_", "h_"), "over")
-    out = _without(rows, _positions(exploded, over))
+    out = _without(rows, exploded, over)
     return out.select(F.col("id").alias("page_id"), "host", F.array_join("left", "\n").alias("text"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("left")).alias("n_removed"))
 
 
