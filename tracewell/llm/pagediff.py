@@ -6,8 +6,8 @@ pages' text lines are aligned by a longest common subsequence, and the shared li
 are deleted.  Templates, navigation and notices go, what is the page's own stays.
 
 Neighbours are found in range partitions (:mod:`tracewell.plans.sequence`), so one
-huge host is many tasks.  Only the partner's line hashes travel to a page, and the
-extracted lines are shuffled once.  The alignment works on bit vectors, one row of the
+huge host is many tasks.  Only line hashes travel to a page's partner; lines are
+shuffled once, and only those of pages that lose some.  The alignment works on bit vectors, one row of the
 length of the partner for each line, after equal beginnings and ends are taken off.
 
 Defined results: a page without a host, or alone in its host, keeps all lines; a null
@@ -81,27 +81,34 @@ def _like(triples: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa
 
 
 def pairs(pages: DataFrame) -> DataFrame:
-    """For each distinct page (host, path, url, page_id, content) the id and content of its partner, null if it has none."""
-    beside = neighbours(pages, "host", ["path", "url", "page_id", "content"], ["path", "page_id", "content", "url"], "paths")
+    """For each distinct page (host, path, url, key, content) the key and content of its partner, null if it has none."""
+    beside = neighbours(pages, "host", ["path", "url", "key", "content"], ["path", "key", "content"], "paths")
     later = F.arrow_udf(_like, "boolean")(F.col("path"), F.col("previous.path"), F.col("following.path"))
     chosen = F.when(later, F.col("following")).otherwise(F.col("previous"))
-    return beside.withColumn("other", chosen).select("page_id", "url", "content", F.col("other.page_id").alias("o_id"), F.col("other.url").alias("o_url"), F.col("other.content").alias("o_content"))
-
-
-def _same(left: tuple[str, str, str], right: tuple[str, str, str]) -> Column:
-    return F.col(left[0]).eqNullSafe(F.col(right[0])) & F.col(left[1]).eqNullSafe(F.col(right[1])) & (F.col(left[2]) == F.col(right[2]))
+    return beside.withColumn("other", chosen).select("key", "content", F.col("other.key").alias("o_key"), F.col("other.content").alias("o_content"))
 
 
 def own_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, host, text (the page's own lines), n_lines, n_removed of every page."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.coalesce(F.xxhash64(F.col(html_col)), F.lit(0)).alias("content"), F.coalesce(html_lines(F.col(html_col)), F.array().cast("array<string>")).alias("lines"))
-    rows = written(rows, "page-lines")
-    narrow = rows.select("page_id", "url", "content", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    distinct = rows.where("host is not null").select("host", path(F.col("url")).alias("path"), "url", "page_id", "content").distinct()
-    paired = pairs(distinct).where("o_url is not null")
-    others = narrow.select(F.col("page_id").alias("p_id"), F.col("url").alias("p_url"), F.col("content").alias("p_content"), F.col("hashes").alias("other")).dropDuplicates(["p_id", "p_url", "p_content"])
-    paired = paired.join(others, _same(("o_id", "o_url", "o_content"), ("p_id", "p_url", "p_content"))).select(F.col("page_id").alias("k_id"), F.col("url").alias("k_url"), F.col("content").alias("k_content"), "other")
-    joined = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).join(paired, _same(("page_id", "url", "content"), ("k_id", "k_url", "k_content")), "left")
-    left = joined.withColumn("own", F.arrow_udf(_own, "array<int>")(F.col("hashes"), F.col("other")))
-    left = left.withColumn("left", F.transform("own", lambda i: F.get(F.col("lines"), i)))
-    return left.select("page_id", "host", F.array_join("left", "\n").alias("text"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("left")).alias("n_removed"))
+    """page_id, host, text (the page's own lines), n_lines, n_removed of every page.
+
+    Pages are known by two hashes, of page_id and URL and of the HTML.  Which lines
+    stay is settled on line hashes; the lines themselves are extracted again where
+    they are needed.
+    """
+    key, content = F.xxhash64(F.col(id_col), F.col(url_col)), F.coalesce(F.xxhash64(F.col(html_col)), F.lit(0))
+    lines = F.coalesce(html_lines(F.col(html_col)), F.array().cast("array<string>"))
+    own = pages.select(key.alias("key"), content.alias("content"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), lines.alias("lines"))
+    narrow = own.select("key", "content", "page_id", "url", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    narrow = written(narrow, "page-lines")
+    known = narrow.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "url", "key", "content").where("host is not null").distinct()
+    paired = pairs(known).where("o_key is not null")
+    hashes = narrow.groupBy("key", "content").agg(F.first("hashes").alias("hashes"))
+    others = hashes.select(F.col("key").alias("p_key"), F.col("content").alias("p_content"), F.col("hashes").alias("other"))
+    both = paired.join(others, (F.col("o_key") == F.col("p_key")) & (F.col("o_content") == F.col("p_content"))).select(F.col("key").alias("k_key"), F.col("content").alias("k_content"), "other")
+    both = hashes.join(both, (F.col("key") == F.col("k_key")) & (F.col("content") == F.col("k_content")))
+    stay = both.withColumn("own", F.arrow_udf(_own, "array<int>")(F.col("hashes"), F.col("other")))
+    stay = stay.where(F.size("own") < F.size("hashes")).select("k_key", "k_content", "own")
+    joined = own.join(stay, (F.col("key") == F.col("k_key")) & (F.col("content") == F.col("k_content")), "left")
+    left = F.when(F.col("own").isNull(), F.col("lines")).otherwise(F.transform("own", lambda i: F.get(F.col("lines"), i)))
+    left = joined.withColumn("left", left)
+    return left.select("page_id", host(F.col("url")).alias("host"), F.array_join("left", "\n").alias("text"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("left")).alias("n_removed"))
