@@ -89,7 +89,9 @@ def clean_pages(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     """page_id, host, text (what is left), n_lines, n_removed of every page. Pages are told apart by id; a null id is one page."""
     lines = F.coalesce(html_lines(F.col(html_col)), F.array().cast("array<string>"))
     rows = pages.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), F.coalesce(F.xxhash64(F.col(html_col)), F.lit(0)).alias("text_hash"), lines.alias("lines"))
-    narrow = written(rows.select("id", "host", "text_hash", _hashes(F.col("lines")).alias("hashes")), "page-lines")
+    # Extracting lines from HTML costs more than writing them, so that is done once.
+    rows = written(rows, "page-lines")
+    narrow = rows.select("id", "host", "text_hash", _hashes(F.col("lines")).alias("hashes"))
     who = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     totals = narrow.groupBy(F.col("host").alias("host_")).agg(F.count_distinct(who).alias("total")).where(F.col("total") >= min_pages)
     exploded = _exploded(narrow)
