@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.bloom import may_hold
 from tracewell.llm.html import host, html_lines, path
 from tracewell.plans.lineage import written
 from tracewell.plans.sequence import neighbours
@@ -107,8 +108,11 @@ def own_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     both = paired.join(others, (F.col("o_key") == F.col("p_key")) & (F.col("o_content") == F.col("p_content"))).select(F.col("key").alias("k_key"), F.col("content").alias("k_content"), "other")
     both = hashes.join(both, (F.col("key") == F.col("k_key")) & (F.col("content") == F.col("k_content")))
     stay = both.withColumn("own", F.arrow_udf(_own, "array<int>")(F.col("hashes"), F.col("other")))
-    stay = stay.where(F.size("own") < F.size("hashes")).select("k_key", "k_content", "own")
-    joined = own.join(stay, (F.col("key") == F.col("k_key")) & (F.col("content") == F.col("k_content")), "left")
+    stay = written(stay.where(F.size("own") < F.size("hashes")).select("k_key", "k_content", "own"), "own-lines")
+    # Pages that lose nothing stay where they lie; the others' lines are shuffled to their places, at every size alike.
+    marked = own.withColumn("touched", may_hold(stay.select(F.xxhash64("k_key", "k_content").alias("mark")), F.array(F.xxhash64("key", "content"))))
+    joined = marked.where("touched").join(stay.hint("merge"), (F.col("key") == F.col("k_key")) & (F.col("content") == F.col("k_content")), "left")
     left = F.when(F.col("own").isNull(), F.col("lines")).otherwise(F.transform("own", lambda i: F.get(F.col("lines"), i)))
-    left = joined.withColumn("left", left)
+    columns = ["page_id", "url", "lines", "left"]
+    left = joined.withColumn("left", left).select(*columns).unionByName(marked.where("not touched").withColumn("left", F.col("lines")).select(*columns))
     return left.select("page_id", host(F.col("url")).alias("host"), F.array_join("left", "\n").alias("text"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("left")).alias("n_removed"))
