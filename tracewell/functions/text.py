@@ -80,6 +80,31 @@ def page_label(text: Column) -> Column:
     return F.nullif(F.regexp_extract(collapse(text), PAGE_LABEL, 2), F.lit(""))
 
 
+def first_sentence(text: Column) -> Column:
+    """Up to the first sentence end, else all."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?Us)^(.*?[.!?])(?=\s|$)", 1), F.lit("")), text)
+
+
+def caption_head(text: Column) -> Column:
+    """What stands before the first dash between blanks."""
+    return F.get(F.split(strip(text), r"(?U)\s+[-—]\s+", 2), F.lit(0))
+
+
+def visible_link(text: Column, target: Column) -> Column:
+    """The words of a block that show a link: the target if it is written out, else what follows the last colon, else all."""
+    return F.when(F.contains(text, target), target).when(F.contains(text, F.lit(": ")), F.substring_index(text, ": ", -1)).otherwise(text)
+
+
+def document_id(sha256: Column, asset_id: Column, run_id: Column) -> Column:
+    """The id of a document in a run, from its hash, its asset and the run."""
+    return F.concat(F.lit("pdf-"), F.substring(sha256, 1, 12), F.lit("-"), F.substring(asset_id, 5, 8), F.lit("-"), F.substring(run_id, 1, 8))
+
+
+def is_date(text: Column) -> Column:
+    """Whether a text is a real date of the form year-month-day."""
+    return text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
+
+
 def stable_id(*parts: Column) -> Column:
     """16 hexadecimal signs of the SHA-256 of the parts, a null being empty."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)

@@ -87,3 +87,18 @@ def bounded(proposals: DataFrame, relation_types: tuple[str, ...], anchors: Data
     rows = proposals.join(known, F.col("target_id") == F.col("k_"), "left")
     status = F.when(~F.col("relation_type").isin(*relation_types), "relation_not_allowed").when(F.col("k_").isNull(), "unknown_target").otherwise("inferred")
     return rows.withColumn("status", status).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence"))).drop("k_")
+
+
+def keeps_order(chosen: Column, allowed: Column) -> Column:
+    """Whether the chosen parsers are all allowed and stand in the order of the allow-list."""
+    return F.array_intersect(allowed, chosen) == chosen
+
+
+def select_target(requests: DataFrame, targets: DataFrame) -> DataFrame:
+    """The first healthy inference target in order for each request; sensitive data stays local unless the request permits otherwise.
+
+    ``requests``: request_id, classification, permit_remote; ``targets``: ord, target_id, local, healthy.
+    """
+    guarded = F.col("classification").isin("sensitive", "restricted", "confidential") & ~F.col("permit_remote")
+    rows = requests.join(F.broadcast(targets.where("healthy")), F.col("local") | ~guarded, "left")
+    return rows.groupBy("request_id").agg(F.min_by("target_id", "ord").alias("target_id"))

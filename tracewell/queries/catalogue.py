@@ -263,3 +263,17 @@ CASE p WHEN '#/k' THEN CAST(json_extract(props, '$.k') AS VARCHAR) WHEN '#' THEN
 def json_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     pointer = F.expr("case event_id % 4 when 0 then '#/k' when 1 then '#/none' when 2 then '#' else '#/k~' end")
     return table(spark, sf_dir, "events").select("event_id", pointer.alias("pointer"), J.resolve(F.col("props"), pointer).alias("found"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS request_id, o_orderstatus = 'O' AS guarded, o_orderkey % 4 = 0 AS permit FROM orders)
+SELECT request_id, CASE WHEN guarded AND NOT permit THEN 'local-2' ELSE 'remote-1' END AS target_id FROM r""")
+def inference_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.expr("if(o_orderstatus = 'O', 'restricted', 'public')").alias("classification"), F.expr("o_orderkey % 4 = 0").alias("permit_remote"))
+    targets = spark.createDataFrame([(0, "remote-0", False, False), (1, "remote-1", False, True), (2, "local-2", True, True), (3, "local-3", True, True)], "ord int, target_id string, local boolean, healthy boolean")
+    return P.select_target(requests, targets)
+
+
+@query("""SELECT doc_id, 'pdf-' || substr(sha256(text), 1, 12) || '-' || substr('src-' || lpad(CAST(doc_id AS VARCHAR), 12, '0'), 5, 8) || '-' || substr(sha256(lang), 1, 8) AS document_id FROM documents""")
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asset = F.concat(F.lit("src-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.document_id(F.sha2("text", 256), asset, F.sha2("lang", 256)).alias("document_id"))

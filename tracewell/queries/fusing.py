@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import geometry as G
 from tracewell.operators import fusion as U
+from tracewell.operators import objects as O
 from tracewell.queries.registry import LINES, lines, query, sid, table
 
 _OTHER = "CASE WHEN (doc_id + pos) % 6 = 0 THEN '  ' || line WHEN (doc_id + pos) % 6 = 1 THEN line || '*' ELSE line END"
@@ -147,3 +148,17 @@ def region_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINES}, {_BLOCKS}, {_DECIDED} SELECT t.state, count(group_id) AS n FROM (SELECT unnest(['agreement', 'complementary', 'conflict', 'unresolved']) AS state) t LEFT JOIN d ON d.state = t.state GROUP BY t.state")
 def fusion_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.state_counts(_decisions(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, {_BLOCKS} SELECT 'b' || a.doc_id || ':' || a.pos AS region_id, 'text' AS fact, sha256(a.text) AS value_sha256, CASE WHEN a.text = b.text THEN 'geometry|structure' ELSE 'geometry' END AS parsers, true AS bound
+FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.pos = b.pos AND a.parser_id < b.parser_id""")
+def fact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks(spark, sf_dir).select(F.expr("concat('b', doc_id, ':', pos)").alias("region_id"), F.lit("text").alias("fact"), F.sha2("text", 256).alias("value_sha256"), "parser_id")
+    return O.fact_sources(rows.where("parser_id = 'geometry'").drop("parser_id"), rows)
+
+
+@query(f"""WITH {LINES}, {_BLOCKS}, r AS (SELECT 'd' || doc_id || ':' || (pos // 2) AS region_id, parser_id, block_type FROM x)
+SELECT region_id, parser_id, 'object_type' AS fact, count(DISTINCT block_type) AS values FROM r GROUP BY region_id, parser_id HAVING count(DISTINCT block_type) > 1""")
+def region_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks(spark, sf_dir).select(F.expr("concat('d', doc_id, ':', pos div 2)").alias("region_id"), "parser_id", F.lit("object_type").alias("fact"), F.sha2("block_type", 256).alias("value_sha256"))
+    return O.region_violations(rows)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import geometry as G
 from tracewell.functions import text as T
+from tracewell.operators import objects as O
 from tracewell.operators import references as R
 from tracewell.operators import structure as S
 from tracewell.queries.registry import LINES, lines, query, sid, table
@@ -275,3 +276,38 @@ def deepest_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir).select(F.col("doc_id").alias("d_"), F.col("pos").alias("section"), "level", "end_pos")
     members = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("block")).join(spans, (F.col("doc_id") == F.col("d_")) & F.col("block").between(F.col("section"), F.col("end_pos")))
     return R.deepest_owner(members.select("doc_id", "block", "section", "level"))
+
+
+@query(f"""WITH {LINES}, {_MARKED}, {_PAGED}, j AS (SELECT a.doc_id, CAST(a.page AS INTEGER) AS page, a.pos, max(b.pos) AS marker_pos FROM t a LEFT JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page AND b.pos < a.pos
+  AND b.block_type NOT IN ('heading', 'caption', 'figure', 'table', 'page_header', 'page_footer') WHERE a.block_type = 'footnote' GROUP BY ALL),
+n AS (SELECT j.*, regexp_extract(trim(text), '(?s)^Footnote\\s+(\\d+)\\s*[-—]\\s*(\\S.*)$', 1) AS marker, regexp_extract(trim(text), '(?s)^Footnote\\s+(\\d+)\\s*[-—]\\s*(\\S.*)$', 2) AS body FROM j JOIN m ON j.doc_id = m.doc_id AND j.pos = m.pos)
+SELECT doc_id, page, pos, marker, coalesce(nullif(rtrim(regexp_extract(body || ' ', '(?s)^(.*?[.!?])\\s', 1)), ''), body) AS note, marker_pos FROM n""")
+def footnote_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.footnotes(S.typed(marked(spark, sf_dir)).withColumn("page", F.expr("pos div 6").cast("int")))
+
+
+@query(f"""WITH {LINES}, {_HEADS}, {_SPANS}, g AS (SELECT doc_id, pos, pos // 5 AS page, lead(pos) OVER w AS np, lead(pos // 5) OVER w AS npage FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+k AS (SELECT * FROM g WHERE npage = page + 1), x AS (SELECT k.doc_id, CAST(k.page AS INTEGER) AS page, k.pos, k.np AS next_pos, EXISTS (SELECT 1 FROM s WHERE s.doc_id = k.doc_id AND k.pos BETWEEN s.pos AND s.end_pos AND k.np BETWEEN s.pos AND s.end_pos) AS shared FROM k)
+SELECT doc_id, page, pos, next_pos, CASE WHEN shared AND 20.0 * (next_pos % 5) <= 20 THEN 'resolved' ELSE 'rejected' END AS status FROM x""")
+def continuation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = lines(spark, sf_dir).select("doc_id", "pos", F.expr("cast(pos div 5 as int)").alias("page"), (20.0 * (F.col("pos") % 5)).alias("y0"), F.lit(100.0).alias("height"))
+    spans = _spans(spark, sf_dir).select(F.col("doc_id").alias("d_"), F.col("pos").alias("section"), "end_pos")
+    members = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("block")).join(spans, (F.col("doc_id") == F.col("d_")) & F.col("block").between(F.col("section"), F.col("end_pos"))).select("doc_id", "block", "section")
+    return O.continuation_edges(blocks, members)
+
+
+@query(f"""WITH {LINES}, o AS (SELECT DISTINCT doc_id FROM l WHERE doc_id % 3 = 0), p AS (SELECT DISTINCT doc_id FROM l WHERE doc_id % 2 = 0), d AS (SELECT doc_id, max(pos) + 1 AS n FROM l GROUP BY ALL)
+SELECT doc_id, doc_id || ':n' AS section_id, 0 AS first_page, 1 AS last_page, 'numbered' AS method FROM o UNION ALL SELECT doc_id, doc_id || ':p', 0, 2, 'parser' FROM p WHERE doc_id NOT IN (SELECT doc_id FROM o)
+UNION ALL SELECT doc_id, doc_id || ':all', 0, n - 1, 'document' FROM d WHERE doc_id % 3 <> 0 AND doc_id % 2 <> 0""")
+def section_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines(spark, sf_dir).groupBy("doc_id").agg((F.max("pos") + 1).alias("pages"))
+    own, parsed = (docs.where(f"doc_id % {k} = 0").select("doc_id", F.expr(f"concat(doc_id, ':{x}')").alias("section_id"), F.lit(0).alias("first_page"), F.lit(last).alias("last_page")) for k, x, last in ((3, "n", 1), (2, "p", 2)))
+    return O.section_fallback(own, parsed, docs)
+
+
+@query(f"""WITH {LINES}, {_BOXED}, y AS (SELECT doc_id, 0 AS page, y0, pos AS ord, 0 AS layer, 'text' AS block_type FROM x UNION ALL SELECT doc_id, 0, CASE WHEN pos % 4 = 0 THEN NULL ELSE y0 - 5 END, pos, 1, 'figure' FROM x WHERE pos % 2 = 0)
+SELECT doc_id, page, y0, ord, block_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, y0 NULLS LAST, layer, ord) - 1 AS INTEGER) AS pos FROM y""")
+def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = boxed(spark, sf_dir).select("doc_id", "page", F.col("box.y0").alias("y0"), F.col("pos").alias("ord"))
+    drawn = rows.where("ord % 2 = 0").withColumn("y0", F.when(F.expr("ord % 4 <> 0"), F.col("y0") - 5))
+    return O.canonical_order(rows.withColumn("block_type", F.lit("text")), drawn.withColumn("block_type", F.lit("figure")))
