@@ -110,7 +110,8 @@ class Scorer:
         if len(self.keys) and len(value):
             at = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
             hit = self.keys[at] == value
-            once = np.unique(owner[hit] * len(self.keys) + at[hit])
+            once = np.sort(owner[hit] * len(self.keys) + at[hit])
+            once = once[np.append(True, once[1:] != once[:-1])[: len(once)]]
             who, which = np.divmod(once, len(self.keys))
             for i, weights in enumerate(self.weights):
                 out[:, i] += np.bincount(who, weights[which], len(arr))
