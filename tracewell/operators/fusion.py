@@ -197,3 +197,21 @@ def state_counts(decisions: DataFrame) -> DataFrame:
     spark = decisions.sparkSession
     counts = decisions.groupBy(F.col("state").alias("s_")).agg(F.count("*").alias("n"))
     return spark.createDataFrame([(s,) for s in STATES], "state string").join(counts, F.col("state") == F.col("s_"), "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def fuse(rows: DataFrame, keys: list[str], chosen: list[str]) -> DataFrame:
+    """Objects, relations or sections of all parsers joined by ``keys`` and their occurrence within a parser.
+
+    In: keys, parser_id, ord, confidence and the ``chosen`` columns, of which each
+    comes from the best-ranked parser that has it; the greatest confidence stays, and
+    ``conflict`` says whether parsers differ in any chosen column.
+    """
+    nth = F.row_number().over(Window.partitionBy("parser_id", *keys).orderBy("ord"))
+    rank = F.struct(parser_rank(F.col("parser_id")), F.col("parser_id"))
+    picks = [F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in chosen]
+    differ = [F.count_distinct(c) > 1 for c in chosen]
+    conflict = differ[0]
+    for one in differ[1:]:
+        conflict = conflict | one
+    fused = rows.withColumn("nth", nth).groupBy(*keys, "nth").agg(*picks, F.max("confidence").alias("confidence"), conflict.alias("conflict"), F.array_join(F.sort_array(F.collect_set("parser_id")), "|").alias("parsers"))
+    return fused.withColumnRenamed("nth", "occurrence")

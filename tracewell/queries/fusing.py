@@ -162,3 +162,12 @@ SELECT region_id, parser_id, 'object_type' AS fact, count(DISTINCT block_type) A
 def region_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blocks(spark, sf_dir).select(F.expr("concat('d', doc_id, ':', pos div 2)").alias("region_id"), "parser_id", F.lit("object_type").alias("fact"), F.sha2("block_type", 256).alias("value_sha256"))
     return O.region_violations(rows)
+
+
+@query(f"""WITH {LINES}, {_BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY parser_id, doc_id, sha256(text) ORDER BY pos) AS occurrence, CASE parser_id WHEN 'geometry' THEN 0 ELSE 1 END AS rank FROM x)
+SELECT doc_id, sha256(text) AS text_hash, occurrence, arg_min(block_type, rank) AS kind, arg_min(anchor, rank) FILTER (parser_id = 'structure' OR pos % 3 <> 0) AS anchor, max(confidence) AS confidence,
+count(DISTINCT block_type) > 1 OR count(DISTINCT anchor) FILTER (parser_id = 'structure' OR pos % 3 <> 0) > 1 AS conflict, string_agg(DISTINCT parser_id, '|' ORDER BY parser_id) AS parsers FROM r GROUP BY doc_id, sha256(text), occurrence""")
+def object_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor = F.when((F.col("parser_id") == "structure") | F.expr("pos % 3 <> 0"), F.col("anchor"))
+    rows = blocks(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("text_hash"), "parser_id", F.col("pos").alias("ord"), "confidence", F.col("block_type").alias("kind"), anchor.alias("anchor"))
+    return U.fuse(rows, ["doc_id", "text_hash"], ["kind", "anchor"])
