@@ -48,7 +48,7 @@ def run_state(results: DataFrame) -> DataFrame:
 def run_manifest(results: DataFrame) -> DataFrame:
     """One row over all results: documents, failures, sizes and the hash over the documents' hashes in order."""
     h = F.sha2(F.array_join(F.sort_array(F.collect_list("bucket_hash")), ""), 256)
-    buckets = results.groupBy(F.substring("sha256", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ""), 256).alias("bucket_hash"), F.count("*").alias("n"), F.count_if("failed").alias("f"), F.sum("size").alias("s"))
+    buckets = results.groupBy(F.substring("sha256", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ""), 256).alias("bucket_hash"), F.count("*").alias("n"), F.count_if("failed").alias("f"), F.sum("size").alias("s"))
     return buckets.agg(F.sum("n").alias("documents"), F.sum("f").alias("failures"), F.sum("s").alias("bytes"), h.alias("manifest_sha256"))
 
 
@@ -81,7 +81,7 @@ def delete_batches(blobs: DataFrame, size: int) -> DataFrame:
     """Blobs with the number of their deletion batch of at most ``size`` (1 to 500), in key order within hash buckets."""
     if not 1 <= size <= 500:
         raise ValueError("a batch holds 1 to 500 blobs")
-    bucket = F.substring(F.sha2(F.col("key").cast("string"), 256), 1, 2)
+    bucket = F.substring(F.sha2(F.col("key").cast("string"), 256), 1, 4)
     order = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
     return blobs.withColumn("bucket", bucket).withColumn("batch", F.ceil(order / size).cast("int"))
 

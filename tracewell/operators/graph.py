@@ -44,12 +44,12 @@ def owners(resources: DataFrame, divisions: DataFrame, nodes: DataFrame, represe
 def revision(*tables: tuple[str, DataFrame]) -> DataFrame:
     """One row: the graph's revision, ``sg-`` and the SHA-256 over all rows of all tables, whatever their order.
 
-    Rows are hashed where they lie and summed up by the hash's first byte in order,
-    so no task holds more than the 64 signs of a 256th of the rows.
+    Rows are hashed where they lie and put together by the hash's first two bytes in order,
+    so no task holds more than the hashes of a 65,536th of the rows.
     """
     hashed = [t.select(F.sha2(F.concat_ws("\x1f", F.lit(name), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(t.columns)]), 256).alias("h")) for name, t in tables]
     rows = reduce(DataFrame.unionByName, hashed)
-    parts = rows.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("p"))
+    parts = rows.groupBy(F.substring("h", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("p"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "p"))), lambda x: x["p"]), "")
     return parts.agg(F.concat(F.lit("sg-"), F.sha2(whole, 256)).alias("revision"))
 

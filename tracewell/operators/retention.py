@@ -48,7 +48,7 @@ def purge_reason(state: DataFrame) -> DataFrame:
 def purge_plan(state: DataFrame) -> DataFrame:
     """artifact_id, eligible, purge_reason, plan_bucket, plan_bucket_id: the plan's id is made of its buckets' ids."""
     rows = purge_reason(state).where("not purged").withColumn("eligible", F.col("purge_reason").isNull())
-    rows = rows.withColumn("plan_bucket", F.substring(F.sha2(F.col("artifact_id").cast("string"), 256), 1, 2))
+    rows = rows.withColumn("plan_bucket", F.substring(F.sha2(F.col("artifact_id").cast("string"), 256), 1, 4))
     ids = rows.groupBy(F.col("plan_bucket").alias("b_")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.col("artifact_id").cast("string"), F.col("eligible").cast("string")))), ","), 256).alias("plan_bucket_id"))
     return rows.join(ids, F.col("plan_bucket") == F.col("b_")).select("artifact_id", "eligible", "purge_reason", "plan_bucket", "plan_bucket_id")
 

@@ -6,8 +6,10 @@ ord, node_id, char_start, char_end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,26 +53,41 @@ def native_structure(native: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(*_span_whole("parser-native", "span", F.col("ord")))
 
 
+def _pack(limit: int):
+    """The segment number of each sentence of a document, from the sentences' tokens in order."""
+
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for tokens in batch.to_pylist():
+                segment, filled, own = 0, 0, []
+                for t in tokens:
+                    if filled and filled + t > limit:
+                        segment, filled = segment + 1, 0
+                    own.append(segment)
+                    if t > limit:
+                        segment += 1
+                    else:
+                        filled += t
+                out.append(own)
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    return pack
+
+
 def packed(sentences: DataFrame, limit: int, tokens: str = "tokens") -> DataFrame:
     """Sentences (doc_id, pos, node_id, char_start, char_end, tokens) with the number of their fixed-size segment.
 
     A segment closes before a sentence that would take it over ``limit``; a sentence
     of more than ``limit`` tokens is a segment of its own.  Segments run on over nodes.
-    The fold keeps three numbers per document; numbers are gathered with the place of
-    the sentence and given back by it.
+    The fold is linear in a document's sentences; a fold of array expressions would
+    copy the numbers so far at each of them.
     """
-    order = F.sort_array(F.collect_list(F.struct("pos", F.col(tokens).alias("t"))))
-    docs = sentences.groupBy("doc_id").agg(order.alias("s_"))
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).cast("bigint").alias("t"), F.array().cast("array<int>").alias("o"))
-
-    def step(a: Column, x: Column) -> Column:
-        t = x["t"].cast("bigint")
-        flush = (a["t"] > 0) & (a["t"] + t > limit)
-        own = F.when(flush, a["g"] + 1).otherwise(a["g"])
-        return F.struct((own + F.when(t > limit, 1).otherwise(0)).alias("g"), F.when(t > limit, F.lit(0)).when(flush, t).otherwise(a["t"] + t).cast("bigint").alias("t"), F.concat(a["o"], F.array(own)).alias("o"))
-
-    folded = docs.select("doc_id", F.posexplode(F.zip_with("s_", F.aggregate("s_", start, step)["o"], lambda s, g: F.struct(s["pos"].alias("pos"), g.alias("segment")))).alias("i_", "z_")).select(F.col("doc_id").alias("d_"), F.col("z_.pos").alias("pos_"), F.col("z_.segment").alias("segment"))
-    return sentences.join(folded, (F.col("doc_id") == F.col("d_")) & (F.col("pos") == F.col("pos_"))).drop("d_", "pos_")
+    row = F.struct("pos", *[c for c in sentences.columns if c not in ("doc_id", "pos")])
+    docs = sentences.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("s_"))
+    numbers = F.arrow_udf(_pack(limit), "array<int>")(F.transform("s_", lambda s: s[tokens].cast("bigint")))
+    both = docs.withColumn("g_", numbers).select("doc_id", F.explode(F.arrays_zip("s_", "g_")).alias("z_"))
+    return both.select("doc_id", "z_.s_.*", F.col("z_.g_").alias("segment"))
 
 
 def fixed_size(sentences: DataFrame, limit: int) -> DataFrame:

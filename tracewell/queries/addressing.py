@@ -174,7 +174,7 @@ def resolve_evidence_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, k AS (SELECT sha256('nodes' || chr(31) || length(line) || chr(31) || {sid('doc_id', 'pos')}) AS h FROM l UNION ALL SELECT sha256('divisions' || chr(31) || doc_id || chr(31) || source) FROM documents),
-p AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p FROM k GROUP BY ALL) SELECT 'sg-' || sha256(string_agg(p, '' ORDER BY b)) AS revision FROM p""")
+p AS (SELECT substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p FROM k GROUP BY ALL) SELECT 'sg-' || sha256(string_agg(p, '' ORDER BY b)) AS revision FROM p""")
 def graph_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     divisions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("division_id"), F.col("source").alias("resource_id"))
     return G.revision(("nodes", nodes(spark, sf_dir).select("node_id", F.col("n_chars").alias("char_end"))), ("divisions", divisions))

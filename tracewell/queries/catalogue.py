@@ -42,7 +42,7 @@ def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.run_state(runs.withColumn("failed", F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))))
 
 
-@query("""WITH d AS (SELECT sha256(text) AS h, doc_id % 9 = 0 AS f, strlen(text) AS s FROM documents), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS x, count(*) AS n, count(*) FILTER (f) AS f, sum(s) AS s FROM d GROUP BY ALL)
+@query("""WITH d AS (SELECT sha256(text) AS h, doc_id % 9 = 0 AS f, strlen(text) AS s FROM documents), b AS (SELECT substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS x, count(*) AS n, count(*) FILTER (f) AS f, sum(s) AS s FROM d GROUP BY ALL)
 SELECT CAST(sum(n) AS BIGINT) AS documents, CAST(sum(f) AS BIGINT) AS failures, CAST(sum(s) AS BIGINT) AS bytes, sha256(string_agg(x, '' ORDER BY x)) AS manifest_sha256 FROM b""")
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.run_manifest(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 9 == 0).alias("failed"), F.octet_length("text").alias("size")))
@@ -79,7 +79,7 @@ def unreferenced_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unreferenced(docs.select("profile", "key").distinct(), docs)
 
 
-@query("""WITH b AS (SELECT o_orderkey AS key, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 2) AS bucket FROM orders)
+@query("""WITH b AS (SELECT o_orderkey AS key, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 4) AS bucket FROM orders)
 SELECT key, bucket, CAST(ceil(row_number() OVER (PARTITION BY bucket ORDER BY key) / 20) AS INTEGER) AS batch FROM b""")
 def deletion_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.delete_batches(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), 20)
@@ -170,7 +170,7 @@ def purge_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.purge_reason(_state(spark, sf_dir)).select("artifact_id", "purge_reason")
 
 
-@query(f"""WITH {_STATE}, q AS (SELECT artifact_id, purge_reason IS NULL AS eligible, purge_reason, substr(sha256(CAST(artifact_id AS VARCHAR)), 1, 2) AS plan_bucket FROM p WHERE NOT purged),
+@query(f"""WITH {_STATE}, q AS (SELECT artifact_id, purge_reason IS NULL AS eligible, purge_reason, substr(sha256(CAST(artifact_id AS VARCHAR)), 1, 4) AS plan_bucket FROM p WHERE NOT purged),
 b AS (SELECT plan_bucket, sha256(string_agg(artifact_id || ':' || eligible, ',' ORDER BY artifact_id || ':' || eligible)) AS plan_bucket_id FROM q GROUP BY ALL) SELECT * FROM q JOIN b USING (plan_bucket)""")
 def purge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.purge_plan(_state(spark, sf_dir))
