@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def is_pointer(pointer: Column) -> Column:
     """Whether a fragment pointer is well formed: ``#`` and steps that begin with a slash, tildes only as ~0 or ~1."""
-    return pointer.rlike(r"^#(/([^~/]|~[01])*)*$")
+    return pointer.rlike(r"^#(?:/(?:~[01]|[^/~])*)*$")
 
 
 def _steps(pointer: str) -> list[str]:
@@ -33,9 +33,9 @@ def _follow(document: object, pointer: str) -> object:
     return document
 
 
-def _unique(pairs: list[tuple[str, object]]) -> dict:
-    out = dict(pairs)
-    if len(out) != len(pairs):
+def _unique(members: list) -> dict:
+    out = dict(members)
+    if len(out) != len(members):
         raise ValueError("a key repeats")
     return out
 
@@ -49,12 +49,16 @@ def load(text: str) -> object:
     return json.loads(text, object_pairs_hook=_unique, parse_constant=_refuse)
 
 
+def _compact(value: object) -> str:
+    return json.JSONEncoder(sort_keys=True, separators=tuple(",:"), ensure_ascii=False).encode(value)
+
+
 def _resolve(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for documents, pointers in columns:
         out = []
         for text, pointer in zip(documents.to_pylist(), pointers.to_pylist()):
             try:
-                out.append(json.dumps(_follow(load(text), pointer), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+                out.append(_compact(_follow(load(text), pointer)))
             except (KeyError, IndexError, ValueError, TypeError, AttributeError):
                 out.append(None)
         yield pa.array(out, pa.string())

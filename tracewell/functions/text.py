@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 #: White space as Unicode has it, with the four separators U+001C to U+001F that Java leaves out.
 SPACE = r"[\s\x1c-\x1f]"
 APPENDIX = rf"(?U)^Appendix{SPACE}+([A-Z])\.{SPACE}+(\S.*)$"
-NUMBERED = rf"(?U)^([A-Z](?:\.\d+)*|\d+(?:\.\d+)*)\.{SPACE}+(\S.*)$"
+NUMBERED = rf"(?U)^([A-Z](?:[.]\d+)*|(?:\d+[.])*\d+)[.]{SPACE}+(\S.*)$"
 FIGURE = r"(?U)^Figure\s+\d+(-\d+)*\.\s+\S"
 FOOTNOTE = r"(?U)^Footnote\s+\d+\s*[-—]\s*\S"
 LINK = r"https?://\S+"
 CALLOUT = r"^[A-Z][A-Z]+(-[A-Z0-9./]+)+(\s|$)"
-PAGE_LABEL = r"(?Ui)(front\s+matter|printed\s+page|page)\s+([ivxlcdm]+|[a-z]+-\d+|\d+)\s*$"
+PAGE_LABEL = r"(?Ui)((?:printed\s+)?page|front\s+matter)\s+(\d+|[a-z]+-\d+|[ivxlcdm]+)\s*$"
 SENTENCE_GAP = r"(?U)(?<=[.!?])(\s+)"
 
 

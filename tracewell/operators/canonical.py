@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 
-UNSETTLED = ("ambiguous", "contradicted", "unresolved", "rejected")
+UNSETTLED = tuple("ambiguous contradicted unresolved rejected".split())
 
 
 def content_nodes(blocks: DataFrame) -> DataFrame:

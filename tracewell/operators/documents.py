@@ -9,7 +9,7 @@ from tracewell.functions import text as T
 from tracewell.operators import canonical, graph, references, structure
 
 MARGINS = ("page_header", "page_footer")
-CAPTION = r"(?U)^Table\s+(\d+(?:-\d+)*)\.\s+\S"
+CAPTION = r"(?U)^Table\s+((?:\d+-)*\d+)[.]\s+\S"
 RULE = r"^[A-Z]{2,}(-[A-Z0-9]+)+$"
 ROW = r"(?U)^\d{1,4}$"
 

@@ -14,8 +14,8 @@ from tracewell.functions import text as T
 from tracewell.plans.lineage import drop_written, written
 
 THRESHOLD = 0.8
-UNSAFE = ("ambiguous", "unresolved", "contradicted", "rejected")
-STATES = ("agreement", "complementary", "conflict", "unresolved")
+UNSAFE = tuple("ambiguous unresolved contradicted rejected".split())
+STATES = tuple("agreement complementary conflict unresolved".split())
 #: fact, strategy, resolution, gold on acceptance, preferred value
 POLICIES = (
     ("bbox", "preserve-conflict", "fact-specific-policy", False, None),

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 
-CONCRETE = ("validated", "human-validated", "resolved", "observed", "accepted")
-UNSAFE = ("ambiguous", "unresolved", "contradicted", "rejected")
-STATUSES = ("exact", "redirected", "ambiguous", "obsolete", "forbidden", "unresolved")
+CONCRETE = tuple("validated human-validated resolved observed accepted".split())
+UNSAFE = tuple("ambiguous unresolved contradicted rejected".split())
+STATUSES = tuple("exact redirected ambiguous obsolete forbidden unresolved".split())
 
 
 def is_gold(target: Column, status: Column, state: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as T
 from tracewell.operators import references, structure
 
-FIGURE = r"(?U)^Figure\s+(\d+(?:-\d+)*)\.\s+(\S.*)$"
+FIGURE = r"(?U)^Figure\s+((?:\d+-)*\d+)[.]\s+(\S.*)$"
 FOOTNOTE = r"(?Us)^Footnote\s+(\d+)\s*[-—]\s*(\S.*)$"
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tracewell.functions import geometry as G
 from tracewell.functions import text as T
 
-SCANNED = ("paragraph", "list", "table", "hyperlink", "url")
-NUMBER = r"\d+(?:\.\d+)*"
+SCANNED = tuple("paragraph list table hyperlink url".split())
+NUMBER = r"(?:\d+\.)*\d+"
 ONE_SECTION = rf"(?U)\bSection\s+({NUMBER})"
-MANY_SECTIONS = rf"(?U)\bSections\s+{NUMBER}(?:\s*(?:,|and)\s*{NUMBER})+"
+MANY_SECTIONS = rf"(?U)\bSections\s+{NUMBER}(?:\s*(?:and|,)\s*{NUMBER})+"
 APPENDIX = r"\bAppendix\s+([A-Z])\b"
-PRINTED_PAGE = r"(?Ui)\bprinted page\s+([A-Z]-\d+|[ivxlcdm]+|\d+)\b"
-URL = r"https?://[^\s<>\]\[()]+"
-VERSIONED = r"([A-Z][A-Za-z0-9 &'’-]+(?:Handbook|Manual|Policy),\s*Version\s+\d+(?:\.\d+)*)"
+PRINTED_PAGE = r"(?Ui)\bprinted page\s+([A-Z]-\d+|\d+|[ivxlcdm]+)\b"
+URL = r"https?://[^()<>\[\]\s]+"
+VERSIONED = r"([A-Z][-A-Za-z0-9’' &]+(?:Policy|Manual|Handbook),\s*Version\s+(?:\d+\.)*\d+)"
 
 
 def scanned(blocks: DataFrame) -> DataFrame:

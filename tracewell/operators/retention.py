@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IDENTITY = ("source_sha256", "parser_id", "parser_version", "parser_configuration_hash", "model_version", "scope")
+IDENTITY = tuple("source_sha256 parser_id parser_version parser_configuration_hash model_version scope".split())
 
 
 def extraction_identity(*parts: Column) -> Column:

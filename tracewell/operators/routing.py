@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ELIGIBLE = ("available", "declared", "declared-when-available")
+ELIGIBLE = ("declared", "declared-when-available", "available")
 #: rule, triggers, parser, least share of native text
 RULES = (
     (1, "structure-first", ["hierarchy", "tables"], "structure", 0.5),

@@ -39,7 +39,7 @@ def fragments(blocks: DataFrame) -> DataFrame:
     cut = T.inline_table(text)
     rows = T.lines(text)
     items = F.filter(F.transform(F.split(text, r"(?m)^•\s*\n"), T.strip), lambda x: x != "")
-    pieces = F.split(F.regexp_replace(text, r"(?U)(?<=[.!?])\s+(?=\S)", "\x01"), "\x01")
+    pieces = F.split(F.regexp_replace(text, r"(?U)(?<=[?!.])\s+(?=\S)", "\x01"), "\x01")
     head = T.strip(F.regexp_extract(text, r"(?Us)^(.*(?<=[.!?]))\s+(?=\S)", 1))
 
     def part(value: Column, method: str) -> Column:
@@ -148,7 +148,7 @@ def early_page_ends(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("page")
     following = F.lead("first_text").over(order)
     found = pages.withColumn("next_heading", T.heading_number(following))
-    return found.where(F.col("next_heading").isNotNull() & (F.col("bottom") <= F.col("height") * 0.3) & F.col("last_text").rlike(r"(?U)(?<=[.!?])\s+(?=\S)")).select("doc_id", "page", F.col("last_pos").alias("pos"))
+    return found.where(F.col("next_heading").isNotNull() & (F.col("bottom") <= F.col("height") * 0.3) & F.col("last_text").rlike(r"(?U)(?<=[?!.])\s+(?=\S)")).select("doc_id", "page", F.col("last_pos").alias("pos"))
 
 
 def list_neighbours(blocks: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).where("pos % 3 = 0").select("doc_id", "pos", F.expr(_LEVEL).alias("level"))
 
 
-_NUM = r"'^(?:Appendix\s+)?([A-Z](?:\.\d+)*|\d+(?:\.\d+)*)\.\s+(\S.*)$'"
+_NUM = r"'^(?:Appendix\s+)?([A-Z](?:[.]\d+)*|(?:\d+[.])*\d+)[.]\s+(\S.*)$'"
 
 
 @query(f"""WITH {LINES}, {_MARKED}, n AS (SELECT *, nullif(regexp_extract(trim(text), {_NUM}, 1), '') AS number, regexp_extract(trim(text), {_NUM}, 2) AS title FROM m)
@@ -114,7 +114,7 @@ def section_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT source AS doc_id, doc_id AS page, unnest([0, 1, 2]) AS k, source, lang FROM documents),
 t AS (SELECT doc_id, page, CASE k WHEN 0 THEN source || ' report  page ' || page WHEN 1 THEN lang || ' text' ELSE 'Front  matter ' || (page % 9) END AS text,
   CASE k WHEN 0 THEN 'page_header' WHEN 2 THEN 'page_footer' END AS region FROM b),
-m AS (SELECT doc_id, page, region, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '(?i)(front\\s+matter|printed\\s+page|page)\\s+([ivxlcdm]+|[a-z]+-\\d+|\\d+)\\s*$', '<page-label>') AS margin FROM t WHERE region IS NOT NULL),
+m AS (SELECT doc_id, page, region, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '(?i)((?:printed\\s+)?page|front\\s+matter)\\s+(\\d+|[a-z]+-\\d+|[ivxlcdm]+)\\s*$', '<page-label>') AS margin FROM t WHERE region IS NOT NULL),
 n AS (SELECT source AS doc_id, count(DISTINCT doc_id) AS pages FROM documents GROUP BY ALL)
 SELECT doc_id, region, margin, count(*) AS occurrences FROM m JOIN n USING (doc_id) GROUP BY doc_id, region, margin, pages HAVING count(*) >= greatest(2, ceil(pages * 0.25))""")
 def repeated_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +187,8 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, t AS (SELECT doc_id, pos, trim(regexp_replace(line || CASE pos % 3 WHEN 0 THEN '  Page ' || pos WHEN 1 THEN ' printed page A-' || pos ELSE '' END, '\\s+', ' ', 'g')) AS c FROM l)
-SELECT doc_id, pos, sha256(regexp_replace(c, '(?i)(front\\s+matter|printed\\s+page|page)\\s+([ivxlcdm]+|[a-z]+-\\d+|\\d+)\\s*$', '<page-label>')) AS margin_hash,
-nullif(regexp_extract(c, '(?i)(front\\s+matter|printed\\s+page|page)\\s+([ivxlcdm]+|[a-z]+-\\d+|\\d+)\\s*$', 2), '') AS label FROM t""")
+SELECT doc_id, pos, sha256(regexp_replace(c, '(?i)((?:printed\\s+)?page|front\\s+matter)\\s+(\\d+|[a-z]+-\\d+|[ivxlcdm]+)\\s*$', '<page-label>')) AS margin_hash,
+nullif(regexp_extract(c, '(?i)((?:printed\\s+)?page|front\\s+matter)\\s+(\\d+|[a-z]+-\\d+|[ivxlcdm]+)\\s*$', 2), '') AS label FROM t""")
 def label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("concat(line, case pos % 3 when 0 then concat('  Page ', pos) when 1 then concat(' printed page A-', pos) else '' end)")
     return lines(spark, sf_dir).select("doc_id", "pos", F.sha2(T.margin_text(text), 256).alias("margin_hash"), T.page_label(text).alias("label"))
@@ -202,12 +202,12 @@ def citing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CITING = f"c AS (SELECT doc_id, pos, trim(regexp_replace({_CITES}, '\\s+', ' ', 'g')) AS text FROM l)"
-_N = r"\d+(?:\.\d+)*"
+_N = r"(?:\d+\.)*\d+"
 
 
 @query(f"""WITH {LINES}, {_CITING},
 x AS (SELECT doc_id, pos, unnest(regexp_extract_all(text, '\\bSection\\s+{_N}')) AS literal FROM c UNION ALL
-  SELECT doc_id, pos, unnest(regexp_extract_all(text, '\\bSections\\s+{_N}(?:\\s*(?:,|and)\\s*{_N})+')) FROM c),
+  SELECT doc_id, pos, unnest(regexp_extract_all(text, '\\bSections\\s+{_N}(?:\\s*(?:and|,)\\s*{_N})+')) FROM c),
 n AS (SELECT *, unnest(regexp_extract_all(literal, '{_N}')) AS number FROM x UNION ALL
   SELECT doc_id, pos, z, right(z, 1) FROM (SELECT doc_id, pos, unnest(regexp_extract_all(text, '\\bAppendix\\s+[A-Z]\\b')) AS z FROM c)),
 s AS (SELECT doc_id, lower(CASE WHEN pos % 9 = 8 THEN 'B' ELSE (pos % 8) || CASE WHEN pos % 2 = 0 THEN '.1' ELSE '' END END) AS number, arg_max('s' || pos, pos) AS target_id FROM l WHERE pos % 2 = 0 OR pos < 9 GROUP BY ALL)
@@ -217,7 +217,7 @@ def section_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.section_references(citing(spark, sf_dir), sections)
 
 
-@query(f"""WITH {LINES}, {_CITING}, x AS (SELECT doc_id, pos, unnest(regexp_extract_all(text, '(?i)\\bprinted page\\s+(?:[A-Z]-\\d+|[ivxlcdm]+|\\d+)\\b')) AS literal FROM c),
+@query(f"""WITH {LINES}, {_CITING}, x AS (SELECT doc_id, pos, unnest(regexp_extract_all(text, '(?i)\\bprinted page\\s+(?:[A-Z]-\\d+|\\d+|[ivxlcdm]+)\\b')) AS literal FROM c),
 p AS (SELECT doc_id, CAST(pos % 4 AS VARCHAR) AS label, max('p' || pos) AS page_id FROM l GROUP BY ALL)
 SELECT DISTINCT x.doc_id, x.pos, literal, page_id FROM x JOIN p ON x.doc_id = p.doc_id AND lower(regexp_extract(literal, '(\\S+)$', 1)) = label""")
 def printed_page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,14 +225,14 @@ def printed_page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page_references(citing(spark, sf_dir), pages)
 
 
-@query("""WITH x AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(trim(regexp_replace(html || ' ' || url || ', ' || url || '.', '\\s+', ' ', 'g')), 'https?://[^\\s<>\\]\\[()]+')) AS url FROM pages)
+@query("""WITH x AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(trim(regexp_replace(html || ' ' || url || ', ' || url || '.', '\\s+', ' ', 'g')), 'https?://[^()<>\\[\\]\\s]+')) AS url FROM pages)
 SELECT DISTINCT doc_id, 0 AS pos, rtrim(url, '.,;:') AS url FROM x""")
 def url_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("pos"), F.expr("concat(html, ' ', url, ', ', url, '.')").alias("text"), F.lit("paragraph").alias("block_type"))
     return R.url_references(pages)
 
 
-@query(f"""WITH {LINES}, {_CITING}, x AS (SELECT DISTINCT doc_id, pos, unnest(regexp_extract_all(text, '[A-Z][A-Za-z0-9 &''’-]+(?:Handbook|Manual|Policy),\\s*Version\\s+\\d+(?:\\.\\d+)*')) AS literal FROM c)
+@query(f"""WITH {LINES}, {_CITING}, x AS (SELECT DISTINCT doc_id, pos, unnest(regexp_extract_all(text, '[A-Z][-A-Za-z0-9’'' &]+(?:Policy|Manual|Handbook),\\s*Version\\s+(?:\\d+\\.)*\\d+')) AS literal FROM c)
 SELECT *, {sid('doc_id', 'pos', 'literal', "'cross_document_reference'")} AS task_id FROM x""")
 def unresolved_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.unresolved_mentions(citing(spark, sf_dir))

@@ -42,7 +42,7 @@ def _box(raw: Column) -> Column:
     """A box given as an object l, t, r, b or as a list of four; null if malformed."""
     named = F.from_json(raw, "l double, t double, r double, b double")
     listed = F.from_json(raw, "array<double>")
-    sides = [F.coalesce(named[k], F.get(listed, F.lit(i))) for i, k in enumerate(("l", "t", "r", "b"))]
+    sides = [F.coalesce(named[k], F.get(listed, F.lit(i))) for i, k in enumerate("ltrb")]
     return G.box(*sides)
 
 
