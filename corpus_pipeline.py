@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import classifier, decontam, mixing, sharding, simhash
-from tracewell.plans.lineage import written
+from tracewell.plans.lineage import drop_written, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``. A stage's table goes once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        following = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_written(docs)
+        docs = following
     return docs
