@@ -80,6 +80,15 @@ def test_pages_equal_brute_force(spark):
     assert got == sorted(want) and sum(w[4] for w in want) > 50
 
 
+def test_pages_of_small_hosts_lose_shared_lines(spark):
+    rows = [(10 * n + k, f"http://h{n}.org/{k}", f"<p>Menu</p><p>own {k}</p>" + ("<p>pair</p>" if k < 2 else ""), "x", "y") for n in range(1, 8) for k in range(n)]
+    got = {r.page_id: r.text.split("\n") for r in linefreq.clean_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    for n in range(1, 8):
+        for k in range(n):
+            menu, pair = n == 1, k < 2 and (n == 1 or 2 <= n * linefreq.MAX_RATIO)
+            assert got[10 * n + k] == ["Menu"] * menu + [f"own {k}"] + ["pair"] * pair
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, None, "<p>a</p>", "x", "y"), (2, "no url", None, "x", "y"), (3, "http://h.org/", "", "x", "y"), (None, "http://h.org/a", "<p>b" * 50_000, "x", "y"), (4, "http://h.org/b", "<p>same", "x", "y"), (4, "http://h.org/b", "<p>same", "x", "y")]
     got = linefreq.clean_pages(spark.createDataFrame(rows, PAGES)).collect()

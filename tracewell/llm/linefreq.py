@@ -3,7 +3,8 @@
 Two operators stand on the same plan.  :func:`clean_documents` (quality rules)
 removes lines that more than ``max_docs`` distinct documents of a host contain and
 rejects documents that this depletes.  :func:`clean_pages` (line dedup) removes lines
-that more than ``max_ratio`` of a host's pages contain.
+that more than ``max_ratio`` of a host's pages contain, two at least, however few
+pages the host has.
 
 Lines are normalised (white space collapsed, lower case) and hashed.  The table is
 read once into rows of keys and line hashes, the only thing that is exploded and
@@ -36,7 +37,7 @@ from tracewell.plans.lineage import written
 MAX_DOCS = 20
 MIN_KEPT = 0.5
 MAX_RATIO = 0.3
-#: A host of fewer pages has no ratio to speak of and keeps all lines.
+#: PAGES_SQL alone exempts hosts of fewer pages; :func:`clean_pages` has no such floor.
 MIN_PAGES = 5
 
 
@@ -85,7 +86,7 @@ def clean_documents(documents: DataFrame, max_docs: int = MAX_DOCS, min_kept: fl
     return out.select(F.col("id").alias("doc_id"), F.col("host").alias("source"), F.array_join("left", "\n").alias("text"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("left")).alias("n_removed"))
 
 
-def clean_pages(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def clean_pages(pages: DataFrame, max_ratio: float = MAX_RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, text (what is left), n_lines, n_removed of every page. Pages are told apart by id; a null id is one page."""
     lines = F.coalesce(html_lines(F.col(html_col)), F.array().cast("array<string>"))
     rows = pages.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), F.coalesce(F.xxhash64(F.col(html_col)), F.lit(0)).alias("text_hash"), lines.alias("lines"))
@@ -93,7 +94,7 @@ def clean_pages(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     rows = written(rows, "page-lines")
     narrow = rows.select("id", "host", "text_hash", _hashes(F.col("lines")).alias("hashes"))
     who = F.coalesce(F.col("id").cast("string"), F.lit("null"))
-    totals = narrow.groupBy(F.col("host").alias("host_")).agg(F.count_distinct(who).alias("total")).where(F.col("total") >= min_pages)
+    totals = narrow.groupBy(F.col("host").alias("host_")).agg(F.count_distinct(who).alias("total"))
     exploded = _exploded(narrow)
     counted = exploded.groupBy("host", F.col("h").alias("h_")).agg(F.count_distinct(who).alias("n"))
     over = counted.where("n > 1").join(totals, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n") > F.col("total") * F.lit(max_ratio))
