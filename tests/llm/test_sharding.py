@@ -51,6 +51,21 @@ def test_shards_equal_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_texts_that_begin_alike_are_told_apart(spark):
+    rng = random.Random(9)
+    sources = [None, "", "www.exa", "www.exa\0", *[f"https://www.example.org/{k}é" for k in range(9)]]
+    docs = [(k, "t" * rng.randrange(40), "common_crawl_" + rng.choice("12"), rng.choice(sources), 7, "x", "y") for k in range(400)]
+    rank = {d: {v: i for i, v in enumerate(sorted({r[d] for r in docs} - {None}, key=str.encode))} | {None: -1} for d in (2, 3)}
+    rows = [((rank[2][r[2]], rank[3][r[3]], 7), len(r[1])) for r in docs]
+    frame = spark.createDataFrame(docs, DOCS)
+    for target in (3000, 100):
+        want = {docs[i][0]: s for s, part in enumerate(_brute(rows, target, 3)) for i in part}
+        got = {r.doc_id: r.shard_id for r in sharding.shards(frame.repartition(3), dimensions=("lang", "source", "n_chars"), target_bytes=target).collect()}
+        assert got == want
+    # At the last target every pair of values is a shard of its own.
+    assert len(set(got.values())) == len({(r[2], r[3]) for r in docs})
+
+
 def test_edge_rows(spark):
     rows = [(None, None, None, None, None, "x", "y"), (1, "", "en", "s", 0, "x", "y"), (2, "a" * 1_000_000, "en", "s", 5, "x", "y"), (2, "a" * 1_000_000, "en", "s", 5, "x", "y"), (3, "b", "de", "t", 1, "x", "y")]
     frame = spark.createDataFrame(rows, DOCS)

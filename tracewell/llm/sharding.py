@@ -11,7 +11,12 @@ in at most ``SLOTS`` equal slots over all open nodes, inside the tasks, and the
 with the median becomes the next pass's range.  The driver holds the tree and one
 pass's sums, both bounded by the number of shards and SLOTS, never rows.
 
-Text dimensions count by their first seven bytes.  Defined results: a null in any
+Text dimensions count by their first seven bytes where these tell all values of the
+column apart, else by the rank of the whole value among the column's distinct values,
+in byte order: equal codes mean equal values.  Ranks are found in range partitions and
+joined to the metadata; the assignment compares whole values with those at the splits.
+
+Defined results: a null in any
 dimension counts as -1; a null or empty text has 0 bytes; a node whose documents
 agree in all dimensions stays whole above the target (so does a single document);
 rows that repeat land in one shard; an empty table gives an empty result; other
@@ -20,6 +25,7 @@ columns pass through under any name.  Shards are numbered from 0 in tree order.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.plans.lineage import drop_written, fresh, written
+from tracewell.plans.sequence import running_sum
 
 TARGET_BYTES = 32 << 20
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
@@ -185,11 +192,37 @@ def build(rows: DataFrame, n: int, target: int) -> Tree:
     return tree
 
 
+def _ranks(narrow: DataFrame, i: int) -> DataFrame | None:
+    """v, rank (from 0) of the distinct values of text dimension ``i``, if its codes do not tell them apart."""
+    values = narrow.select(F.col(f"v{i}").alias("v"), F.col(f"d{i}").alias("d")).where("v is not null").distinct()
+    if values.groupBy("d").count().where("count > 1").isEmpty():
+        return None
+    ranked = running_sum(values.select("v", F.lit(0).alias("g"), F.lit(1).alias("one")), "g", ["v"], "one", "rank", "values")
+    return written(ranked.select("v", (F.col("rank") - 1).alias("rank")), "ranks")
+
+
+def _bounds(tree: Tree, i: int, ranks: DataFrame) -> list[bytes]:
+    """The values at the splits of dimension ``i`` in order; the tree's ranks become places among them (null stays -1)."""
+    nodes = [k for k, d in enumerate(tree.dim) if d == i and tree.value[k] >= 0]
+    found = sorted((r["rank"], bytes(r["v"])) for r in ranks.where(F.col("rank").isin({tree.value[k] for k in nodes})).collect()) if nodes else []
+    place = {rank: at for at, (rank, _) in enumerate(found)}
+    for k in nodes:
+        tree.value[k] = place[tree.value[k]]
+    return [value for _, value in found]
+
+
+def _places(array: pa.Array, bounds: list[bytes]) -> np.ndarray:
+    """How many of ``bounds`` lie below each value; -1 for null."""
+    words = array.dictionary_encode()
+    at = np.array([*(bisect_left(bounds, w) for w in words.dictionary.to_pylist()), -1], np.int64)
+    return at[np.asarray(words.indices.fill_null(-1))]
+
+
 def _assign(shared):
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        splits, leaves = shared.value
+        splits, leaves, bounds = shared.value
         for arrays in batches:
-            values = np.stack([np.asarray(a) for a in arrays])
+            values = np.stack([_places(a, bounds[i]) if i in bounds else np.asarray(a) for i, a in enumerate(arrays)])
             yield pa.array(leaves[descend(splits, values)])
 
     return run
@@ -199,12 +232,26 @@ def shard(documents: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, target
     """The shard of each document. Builds the tree when called; assigning moves no row."""
     kinds = dict(documents.dtypes)
     codes = [code(F.col(f"`{d}`"), kinds[d]) for d in dimensions]
-    narrow = documents.select(*[c.alias(f"d{i}") for i, c in enumerate(codes)], F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("bytes"))
-    narrow = written(narrow, "metadata")
-    tree = build(narrow, len(codes), target_bytes)
+    whole = {i: F.col(f"`{d}`").cast("binary") for i, d in enumerate(dimensions) if kinds[d] == "string"}
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("bytes")
+    narrow = written(documents.select(*[c.alias(f"d{i}") for i, c in enumerate(codes)], size, *[v.alias(f"v{i}") for i, v in whole.items()]), "metadata")
+    ranks = {i: r for i in whole if (r := _ranks(narrow, i)) is not None}
+    columns = [*[f"d{i}" for i in range(len(codes))], "bytes"]
+    rows = narrow
+    for i, r in ranks.items():
+        rows = rows.join(r.select(F.col("v").alias("v_"), F.col("rank").alias("rank_")), F.col(f"v{i}") == F.col("v_"), "left")
+        rows = rows.withColumn(f"d{i}", F.coalesce(F.col("rank_"), F.lit(-1)).cast("bigint")).drop("v_", "rank_")
+    if ranks:
+        coded = written(rows.select(*columns), "metadata")
+        drop_written(narrow)
+        narrow = coded
+    tree = build(narrow.select(*columns), len(codes), target_bytes)
     drop_written(narrow)
-    shared = documents.sparkSession.sparkContext.broadcast((tree.arrays(), tree.leaves()))
-    return F.arrow_udf(_assign(shared), "bigint").asNondeterministic()(*codes)
+    bounds = {i: _bounds(tree, i, r) for i, r in ranks.items()}
+    for r in ranks.values():
+        drop_written(r)
+    shared = documents.sparkSession.sparkContext.broadcast((tree.arrays(), tree.leaves(), bounds))
+    return F.arrow_udf(_assign(shared), "bigint").asNondeterministic()(*[whole[i] if i in ranks else c for i, c in enumerate(codes)])
 
 
 def shards(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
