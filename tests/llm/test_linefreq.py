@@ -48,6 +48,13 @@ def test_documents_equal_brute_force(spark, monkeypatch, bits):
         assert got == _brute(docs, limit, kept)
 
 
+def test_copies_count_as_documents(spark):
+    rows = [(k, "Shared\nsame to all", "a", "x", "y", "z") for k in range(30)] + [(100 + k, f"Twenty\n{'own' * 9} {k % 15}", "a", "x", "y", "z") for k in range(20)]
+    rows += [(200, "Again\nown", "a", "x", "y", "z")] * 30 + [(None, f"No id\n{'alone' * 9} {k}", "b", "x", "y", "z") for k in range(21)]
+    got = sorted((str(r.doc_id), r.n_removed) for r in linefreq.clean_documents(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted([(str(100 + k), 0) for k in range(20)] + [("200", 0)] * 30 + [("None", 1)] * 21)
+
+
 def test_documents_edge_rows(spark):
     long = "\n".join(f"line number {k}" for k in range(100_000))
     rows = [(1, None, "a", "x", "y", "z"), (2, "", "a", "x", "y", "z"), (3, " \n\t", "a", "x", "y", "z"), (4, long, "a", "x", "y", "z"), (None, "alone", None, "x", "y", "z"), (5, "twice\ntwice", "a", "x", "y", "z"), (5, "twice\ntwice", "a", "x", "y", "z")]

@@ -14,8 +14,8 @@ of fixed size over the lines to remove, are passed on where they lie; only the o
 meet their positions in a join and have their text shuffled.  The filter has no false
 negatives; the fuller it is, the more documents take the join, which is exact.
 
-Documents of equal text count as one in :func:`clean_documents`: exact copies are
-for deduplication to settle, and one of them must not lose its lines to the rest.
+Documents are told apart by id in :func:`clean_documents`, so copies of one text under
+ids of their own all count; documents without an id are told apart by text.
 
 Defined results: a null host is a host of its own; a null, empty or blank text has
 no lines and such a document is rejected by :func:`clean_documents` (it is depleted)
@@ -75,7 +75,8 @@ def clean_documents(documents: DataFrame, max_docs: int = MAX_DOCS, min_kept: fl
     rows = documents.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"), lines.alias("lines"))
     narrow = written(rows.select("id", "host", "text_hash", _hashes(F.col("lines")).alias("hashes")), "lines")
     exploded = _exploded(narrow)
-    counted = exploded.groupBy(F.col("host").alias("host_"), F.col("h").alias("h_")).agg(F.count_distinct("text_hash").alias("n"))
+    who = F.when(F.col("id").isNull(), F.col("text_hash")).otherwise(F.xxhash64("id"))
+    counted = exploded.groupBy(F.col("host").alias("host_"), F.col("h").alias("h_")).agg(F.count_distinct(who).alias("n"))
     over = written(counted.where(F.col("n") > max_docs).select("host_", "h_"), "over")
     out = _without(rows, exploded, over)
 
