@@ -50,6 +50,17 @@ def test_offsets_point_into_the_original():
     assert text[start:end].startswith("ONE") and text[start:end].endswith("fourteen")
 
 
+def test_scripts_without_blanks_are_searched():
+    items = [(1, "中华人民共和国的首都是哪座城市？"), (2, "日本で一番高い山は何ですか。名前を答えよ"), (3, "ประเทศไทยมีกี่จังหวัด"), (4, "𠀀𠀁𠀂𠀃𠀄"), (5, "山")]
+    scanner = decontam.Scanner(items)
+    for item_id, item in items[:4]:
+        body = item.rstrip("？")
+        text = f"Q1 你好{body}呢 山 the end"
+        ((found, start, end, n),) = scanner.scan(text)
+        assert found == item_id and text[start:end].rstrip("\u0e31") == body.rstrip("\u0e31") and n >= 5
+    assert scanner.scan("中华人民共和国 山 plain words") == []
+
+
 def test_edge_rows(spark):
     item = " ".join(_words(5, 20))
     docs = spark.createDataFrame([(1, None, "h", "i"), (2, "", "h", "i"), (3, item, "h", "i"), (3, item, "h", "i"), (None, "x " * 50_000 + item, "h", "i"), (4, "clean", "h", "i")], DOCS)

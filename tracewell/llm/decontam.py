@@ -2,7 +2,9 @@
 
 Benchmark items (questions and answers) and documents go through the same
 normalisation: compatibility decomposition, case folding, accents dropped, and
-every run of other signs made one blank.  The automaton holds the items cut into
+every run of other signs made one blank.  A letter of a script that is written
+without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese, Yi) is a word of its own,
+so that such an item is found inside running text.  The automaton holds the items cut into
 consecutive blocks of ``BLOCK`` words; any run of ``2 * BLOCK - 1`` item words in
 a text holds a whole block, so one scan finds every such run, which is then grown
 to its full length against the item.  A run counts if it has ``min_run`` words or
@@ -42,6 +44,10 @@ _TABLE: list[np.ndarray] = []
 _LAST = 0x20000
 
 
+#: First and last code point of the scripts written without blanks.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xF900, 0xFAFF), (0x1B000, 0x1B16F), (_LAST, 0x3FFFF))
+
+
 def _table() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its normal form (three places) and how many places that takes; blank is 32."""
     if not _TABLE:
@@ -81,6 +87,16 @@ def normalise(text: str) -> tuple[str, np.ndarray]:
         out = np.where(nth == 0, out[at], form[low[at], nth])
     out = np.concatenate(([32], out, [32])).astype(np.uint32)
     at = np.concatenate(([-1], at, [len(codes)]))
+    # Scripts with blanks lie below most of the ranges, so most texts are passed by their greatest letter.
+    if out.max() >= _UNSPACED[0][0]:
+        alone = np.zeros(len(out), bool)
+        for first, last in _UNSPACED:
+            alone |= (out >= first) & (out <= last)
+        whence = np.repeat(np.arange(len(out)), 1 + 2 * alone)
+        inner = np.cumsum(1 + 2 * alone) - 1 - alone
+        blank = alone[whence]
+        blank[inner] = False
+        out, at = np.where(blank, np.uint32(32), out[whence]), at[whence]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
     return out[keep].tobytes().decode("utf-32-le", "surrogatepass"), at[keep]
