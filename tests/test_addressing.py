@@ -1,0 +1,18 @@
+"""The edges of all customers, against the queries' SQL without its choice of nations."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["graph_out", "graph_in"])
+def test_edges_of_all_customers(spark, name):
+    duck = duckdb.connect()
+    for t in ("customer", "events"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    whole = duck.sql(entry.oracle_sql()[name].replace(" WHERE c_nationkey < 5", "")).fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, SF).collect()]
+    assert sorted(got) == sorted(whole)

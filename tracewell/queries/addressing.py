@@ -53,7 +53,7 @@ _IDS = "i AS (SELECT DISTINCT 'u' || c_custkey AS id FROM customer WHERE c_natio
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.expr("concat('u', c_custkey)").alias("id"))
+    return table(spark, sf_dir, "customer").select(F.expr("concat('u', c_custkey)").alias("id"))
 
 
 @query(f"WITH {_RELATIONS}, {_IDS} SELECT relation_id, source_id, target_id FROM g WHERE gold_eligible AND source_id IN (SELECT id FROM i)")
