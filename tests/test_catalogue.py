@@ -1,0 +1,16 @@
+"""The assets below every bundle, against the query's SQL without its choice of roots."""
+
+import duckdb
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_assets_below_all_bundles(spark):
+    duck = duckdb.connect()
+    for t in ("region", "nation", "customer", "orders"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    whole = duck.sql(entry.oracle_sql()["bundle_assets"].replace(" WHERE root IN ('r1', 'n7', 'n8')", "")).fetchall()
+    got = [tuple(r) for r in entry.queries()["bundle_assets"](spark, SF).collect()]
+    assert sorted(got) == sorted(whole)

@@ -57,8 +57,8 @@ _ASSETS = "a AS (SELECT o_orderkey AS asset_id, 'c' || o_custkey AS bundle_id, o
 
 @query(f"WITH RECURSIVE {BUNDLES}, {CLOSURE}, {_ASSETS} SELECT root, asset_id, bundle_id FROM c JOIN a ON c.node = a.bundle_id WHERE root IN ('r1', 'n7', 'n8')")
 def bundle_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = spark.createDataFrame([("r1",), ("n7",), ("n8",)], "root_id string")
-    return C.bundle_assets(bundles(spark, sf_dir), _assets(spark, sf_dir), roots).select("root", "asset_id", "bundle_id")
+    tree = bundles(spark, sf_dir)
+    return C.bundle_assets(tree, _assets(spark, sf_dir), tree.select(F.col("bundle_id").alias("root_id"))).select("root", "asset_id", "bundle_id")
 
 
 @query(f"WITH RECURSIVE {BUNDLES}, {CLOSURE}, {_ASSETS} SELECT asset_id, bundle_id, deleted OR bundle_id IN (SELECT node FROM c WHERE root IN ('r2', 'n3')) AS deleted FROM a")
