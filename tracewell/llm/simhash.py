@@ -2,21 +2,25 @@
 
 Each text gets a 128-bit SimHash of its words, weighted by the square root of
 their count (words of under four bytes only if there are no others, since they
-tell texts apart badly).  The signature is cut into ``SEGMENTS`` = 6 segments, so
-of any two signatures that differ in at most 11 bits one segment differs in at
-most one bit.  For each bit of each segment the segment with that bit masked is a
-key; two segments that differ in at most one bit share a key.  An equality join
-on the keys therefore finds every such pair, which is verified on the whole
-signature.  Pairs of 12 to ``MAX_BITS`` = 16 differing bits are accepted too and
-found by the same join in most cases (0.98 of the pairs within 16 bits on the
-sample of the tests, which ask for 0.9).
-
-Within a key, verified pairs are given as a spanning forest instead of all pairs:
-groups are connected components, and those stay the same.  A key held by
-thousands of copies thus costs about its size, not its square, and no key is cut.
+tell texts apart badly).  Two texts are near-duplicates if their signatures differ
+in at most ``MAX_BITS`` = 15 bits.  The signature is cut into ``SEGMENTS`` = 8
+segments, so of any two such signatures one segment differs in at most one bit (two
+bits in each would be 16).  For each bit of each segment the segment with that bit
+masked is a key; two segments that differ in at most one bit share a key.  An
+equality join on the keys therefore finds every such pair, without exception, and
+each is verified on the whole signature.
+
+Within a key, links are a spanning forest of the verified pairs instead of all pairs:
+groups are connected components, and those stay the same.  Keys of up to ``PAIRS``
+signatures compare all pairs at once.  In larger ones tight groups are taken out
+first; what is left, beyond ``WIDE`` signatures, is keyed again in the same way over
+another order of the bits, which is exact for the same reason, so the cost of a key
+full of unrelated signatures grows with its size and not with its square.  A key gets
+about one in 32,768 of the distinct signatures, 24 bytes each.
 
 Groups hold the rows whose signatures are linked, directly or through others.  The
 row with the least ``doc_id`` (nulls last, then the least text hash) stays.
+Signatures are numbered, not hashed, so groups never meet by an accident of a hash.
 
 Defined results: a null text belongs to no group and stays; texts without words
 are near-duplicates only of equal texts, so all empty texts are one group; a
@@ -38,11 +42,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.llm.wordhash import U, mix, per_text, raw, texts_in_slices, tokens
-from tracewell.plans.lineage import drop_written, fresh, written
+from tracewell.operators.fusion import aligned_groups
+from tracewell.plans.lineage import fresh, written
 
 BITS = 128
-SEGMENTS = 6
-MAX_BITS = 16
+SEGMENTS = 8
+#: The most bits of which one segment differs in at most one, whichever they are.
+MAX_BITS = 2 * SEGMENTS - 1
+#: Signatures of a key of which all pairs are compared at once.
+PAIRS = 512
+#: Signatures of a key beyond which it is keyed again, at most DEPTH times.
+WIDE = 2048
+DEPTH = 3
 #: Key rows for one task of the join; the number of partitions follows from the number of signatures.
 TASK_ROWS = 2_000_000
 #: Features whose bits are unpacked at once.
@@ -136,40 +147,99 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
 
-def forest(sig: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links that join what the pairs of at most ``max_bits`` differing bits join, found by breadth-first search."""
-    links = []
+def _near(one: np.ndarray, other: np.ndarray, max_bits: int) -> np.ndarray:
+    return np.bitwise_count(one ^ other).sum(1) <= max_bits
+
+
+def _join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give the rows that the pairs (i, j) join one root, the least row; ``root`` is changed in place."""
+    while len(i):
+        one, two = root[i], root[j]
+        differ = one != two
+        i, j = i[differ], j[differ]
+        np.minimum.at(root, np.maximum(one, two)[differ], np.minimum(one, two)[differ])
+        while (root != (up := root[root])).any():
+            root[:] = up
+
+
+def _all_pairs(sig: np.ndarray, end: np.ndarray, rows: np.ndarray, max_bits: int) -> np.ndarray:
+    """Links (row, root) among ``rows``, each compared with the following ones before its ``end``."""
+    a, b = np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    root, held, k = np.arange(len(sig)), 0, 1
+    while len(rows := rows[rows + k < end[rows]]):
+        half = np.bitwise_count(a[rows] ^ a[rows + k])
+        some = np.flatnonzero(half <= max_bits)
+        near = rows[some[half[some] + np.bitwise_count(b[rows[some]] ^ b[rows[some] + k]) <= max_bits]]
+        found.append((near, near + k))
+        held += len(near)
+        k += 1
+        if held > 4 * len(sig):
+            _join_roots(root, *map(np.concatenate, zip(*found)))
+            found, held = [], 0
+    if found:
+        _join_roots(root, *map(np.concatenate, zip(*found)))
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([root[at], at], 1)
+
+
+def _component(sig: np.ndarray, rest: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The links of the component of the first row of ``rest``, by breadth-first search, and the rows outside it."""
+    links, todo, rest = [], [rest[0]], rest[1:]
+    while todo and len(rest):
+        at = todo.pop()
+        near = _near(sig[rest], sig[at], max_bits)
+        if near.any():
+            new = rest[near]
+            links.append(np.stack([np.full(len(new), at), new], 1))
+            todo += list(new)
+            rest = rest[~near]
+    return links, rest
+
+
+def _large(sig: np.ndarray, max_bits: int, depth: int) -> list[np.ndarray]:
+    """Links among all of ``sig``, which share a key."""
+    links: list[np.ndarray] = []
     rest = np.arange(len(sig))
+    # Copies by the thousand: while an eighth of a key is near its first signature, that one's group is taken out.
+    while len(rest) > PAIRS and 8 * np.count_nonzero(_near(sig[rest], sig[rest[0]], max_bits)) >= len(rest):
+        more, rest = _component(sig, rest, max_bits)
+        links += more
+    if len(rest) > WIDE and depth < DEPTH:
+        mine = sig[rest]
+        bits = np.unpackbits(mine.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+        bits = bits[:, np.random.default_rng(depth).permutation(BITS)]
+        for key in keys_of(np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64)):
+            links.append(rest[linked(key, mine, max_bits, depth + 1)])
+        return links
     while len(rest):
-        todo, rest = [rest[0]], rest[1:]
-        while todo and len(rest):
-            at = todo.pop()
-            near = np.bitwise_count(sig[rest] ^ sig[at]).sum(1) <= max_bits
-            links += [(at, x) for x in rest[near]]
-            todo += list(rest[near])
-            rest = rest[~near]
+        more, rest = _component(sig, rest, max_bits)
+        links += more
     return links
 
 
+def linked(key: np.ndarray, sig: np.ndarray, max_bits: int = MAX_BITS, depth: int = 0) -> np.ndarray:
+    """Pairs of rows that join, within each key, what the pairs of at most ``max_bits`` differing bits join."""
+    order = np.argsort(key, kind="stable")
+    key, sig = key[order], sig[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(np.append(start, len(key)))
+    end = np.repeat(start + size, size)
+    links = [_all_pairs(sig, end, np.flatnonzero(np.repeat((size > 1) & (size <= PAIRS), size)), max_bits)]
+    for at, n in zip(start[size > PAIRS], size[size > PAIRS]):
+        links += [x + at for x in _large(sig[at : at + n], max_bits, depth)]
+    return order[np.concatenate(links).reshape(-1, 2)]
+
+
 def _match(max_bits: int):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
+        sig = np.stack([table.column(c).to_numpy() for c in ("a", "b")], 1).view(np.uint64)
         key = table.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        sig = np.stack([table.column(c).to_numpy() for c in ("a", "b")], 1).view(np.uint64)[order]
-        del table, order
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(start, len(key)))
-        twos = start[size == 2]
-        near = np.bitwise_count(sig[twos] ^ sig[twos + 1]).sum(1) <= max_bits
-        links = [np.stack([twos[near], twos[near] + 1], 1)]
-        for at, n in zip(start[size > 2], size[size > 2]):
-            if found := forest(sig[at : at + n], max_bits):
-                links.append(np.array(found) + at)
-        links = np.concatenate(links)
+        del table, batches
+        links = linked(key, sig, max_bits)
         left, right = sig[links[:, 0]].view(np.int64), sig[links[:, 1]].view(np.int64)
         swap = (left[:, 0] > right[:, 0]) | ((left[:, 0] == right[:, 0]) & (left[:, 1] > right[:, 1]))
         left[swap], right[swap] = right[swap], left[swap].copy()
@@ -181,7 +251,12 @@ def _match(max_bits: int):
 
 
 def links(sigs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct verified links a1, b1, a2, b2 among distinct signatures ``a``, ``b`` (columns of a written table)."""
+    """Distinct links a1, b1, a2, b2 among distinct signatures ``a``, ``b`` (columns of a written table).
+
+    They join exactly what the pairs of at most ``max_bits`` (MAX_BITS at most) differing bits join.
+    """
+    if max_bits > MAX_BITS:
+        raise ValueError(f"{SEGMENTS} segments find pairs of up to {MAX_BITS} bits")
     spark = sigs.sparkSession
     n = sigs.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * BITS // TASK_ROWS))
@@ -189,40 +264,18 @@ def links(sigs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return keyed.repartition(parts, "key").mapInArrow(_match(max_bits), "a1 bigint, b1 bigint, a2 bigint, b2 bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v), root the least node it is joined with.
-
-    Alternates large-star and small-star steps; each round is a written table, so
-    the plan does not grow and a lost executor costs one round at most.  Rounds
-    grow with the logarithm of the longest chain.
-    """
-    now = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        both = now.union(now.select(F.col("v"), F.col("u"))).toDF("x", "y")
-        least = both.groupBy("x").agg(F.min("y").alias("m"))
-        star = both.join(least, "x").select(F.least("x", "m").alias("m"), "x", "y")
-        large = star.where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v")
-        step = small.where("u <> m").select(F.col("m").alias("a"), F.col("u").alias("b")).union(small.select(F.col("m"), F.col("v"))).toDF("u", "v").where("u <> v").distinct()
-        following = written(step, "edges")
-        shape = following.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        drop_written(now)
-        now = following
-        if shape == before:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        before = shape
-
-
 def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """grp, doc_id, text_hash of the rows in groups of two or more, and kept_id, kept_hash of the row that stays."""
     narrow = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_")).where("text_ is not null")
     narrow = written(narrow.select("doc_id", F.xxhash64("text_").alias("text_hash"), signature(F.col("text_")).alias("sig")).select("doc_id", "text_hash", "sig.a", "sig.b"), "signatures")
-    nodes = written(narrow.select("a", "b").distinct(), "nodes")
+    nodes = written(narrow.select("a", "b").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = links(nodes, max_bits)
-    joined = components(found.select(F.xxhash64("a1", "b1").alias("u"), F.xxhash64("a2", "b2").alias("v")))
-    rows = narrow.withColumn("node", F.xxhash64("a", "b")).join(joined, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("grp"))
+    for u, a, b in (("u", "a1", "b1"), ("v", "a2", "b2")):
+        ends = nodes.select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.col("node").alias(u))
+        found = found.join(ends, (F.col(a) == F.col("a_")) & (F.col(b) == F.col("b_"))).drop("a_", "b_")
+    joined = aligned_groups(found.select("u", "v"))
+    named = nodes.join(joined.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.coalesce("root", "node").alias("grp"))
+    rows = narrow.join(named, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_"))).select("doc_id", "text_hash", "grp")
     kept = rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept"), F.count("*").alias("n")).where("n > 1")
     return rows.join(kept, "grp").select("grp", "doc_id", "text_hash", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
 
