@@ -1,9 +1,13 @@
 import random
+import time
 from collections import defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import bloom, linefreq
+from tracewell.llm.html import html_lines, sql_lines
 
 DOCS = "doc_id bigint, text string, source string, lines string, host string, h string"
 PAGES = "page_id bigint, url string, html string, host string, id string"
@@ -18,6 +22,9 @@ def _docs():
     common = [f"Common line {k} of all" for k in range(12)]
     out = []
     for k in range(200):
+        if out and rng.random() < 0.1:
+            out.append((k, *rng.choice(out)[1:]))
+            continue
         lines = [rng.choice(common) if rng.random() < 0.4 else f"own {k} {i} text" for i in range(rng.randrange(1, 12))]
         out.append((k, "\n".join(lines).replace(" line", "  LINE" if k % 3 else "\tline"), f"s{rng.randrange(3)}", "x", "y", "z"))
     return out
@@ -25,9 +32,9 @@ def _docs():
 
 def _brute(docs, limit, kept):
     seen = defaultdict(set)
-    for _, text, source, *_ in docs:
+    for doc_id, text, source, *_ in docs:
         for line in _norm(text):
-            seen[source, line.lower()].add(text)
+            seen[source, line.lower()].add(doc_id)
     out = []
     for doc_id, text, source, *_ in docs:
         lines = _norm(text)
@@ -81,7 +88,7 @@ def test_pages_equal_brute_force(spark):
     want = []
     for k, host, lines in plain:
         limit = len(total[host]) * linefreq.MAX_RATIO
-        left = [x for x in lines if len(total[host]) < linefreq.MIN_PAGES or len(seen[host, x]) < 2 or len(seen[host, x]) <= limit]
+        left = [x for x in lines if len(seen[host, x]) < 2 or len(seen[host, x]) <= limit]
         want.append((k, host, "\n".join(left), len(lines), len(lines) - len(left)))
     got = sorted(tuple(r) for r in linefreq.clean_pages(spark.createDataFrame(pages, PAGES)).collect())
     assert got == sorted(want) and sum(w[4] for w in want) > 50
@@ -102,3 +109,21 @@ def test_pages_edge_rows(spark):
     assert len(got) == 6 and all(r.n_removed == 0 for r in got)
     assert {r.page_id: r.host for r in got} == {1: None, 2: None, 3: "h.org", None: "h.org", 4: "h.org"}
     assert linefreq.clean_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_hostile_pages_take_time_in_proportion(spark):
+    """Signs that begin tags, comments and scripts which never end."""
+    heads = ["<", "<p", "<!--", "<script ", "<style>", "</script ", "<!-- -->", "&amp;", "<" + " " * 50]
+    pages = [(k, f"http://h{k}.org/", "first<br>" + head * (5_000_000 // len(head))) for k, head in enumerate(heads)]
+    began = time.monotonic()
+    out = linefreq.clean_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")).select("page_id", F.substring("text", 1, 5).alias("text")).collect()
+    assert {r.page_id for r in out} == set(range(len(heads))) and all(r.text == "first" for r in out)
+    assert time.monotonic() - began < 90
+
+
+def test_what_a_page_leaves_open_ends_with_it(spark):
+    rows = [(1, "<p>a<!-- b"), (2, "a<script>b<p>c"), (3, "a<STYLE>b"), (4, "a<b c"), (5, "a</script>b"), (6, "a --> b"), (7, "a<!-- x --><script>y</script ><style>z</style>b")]
+    got = {r.k: r.x for r in spark.createDataFrame(rows, "k int, h string").select("k", html_lines(F.col("h")).alias("x")).collect()}
+    assert got == {1: ["a"], 2: ["a"], 3: ["a"], 4: ["a"], 5: ["ab"], 6: ["a --> b"], 7: ["a b"]}
+    sql = duckdb.execute(f"SELECT k, {sql_lines('h')} FROM (VALUES {', '.join(map(str, rows))}) t(k, h)").fetchall()
+    assert dict(sql) == got

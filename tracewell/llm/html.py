@@ -1,7 +1,10 @@
 """Text lines of HTML and the host and path of URLs, as JVM expressions with SQL twins.
 
 Comments, scripts and styles go; block tags end a line, other tags vanish; common
-entities are decoded; white space is collapsed; empty lines are dropped.
+entities are decoded; white space is collapsed; empty lines are dropped.  What a page
+leaves open (a comment, script, style or tag) ends with the page and goes whole.  For that
+``END`` closes all of them behind the page, so that no pattern ever looks in vain for an
+end and a page of any signs takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
 TAG = r"<[^>]*>"
+#: Ends whatever a page leaves open; gives no text itself.
+END = "<!-- --></script></style>"
 BLANKS = "[ \\t\\r\\f ]+"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -27,7 +32,7 @@ def trimmed_lines(text: Column) -> Column:
 
 def html_lines(html: Column) -> Column:
     """The text lines of a page; null for a null."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCK, "\n"), TAG, "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.concat(html, F.lit(END)), HIDDEN, " "), BLOCK, "\n"), TAG, "")
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     return trimmed_lines(text)
@@ -49,7 +54,7 @@ def _quoted(text: str) -> str:
 
 def sql_lines(html: str) -> str:
     """DuckDB for :func:`html_lines` of the expression ``html``."""
-    text = f"regexp_replace(regexp_replace(regexp_replace({html}, {_quoted(HIDDEN)}, ' ', 'g'), {_quoted(BLOCK)}, chr(10), 'g'), {_quoted(TAG)}, '', 'g')"
+    text = f"regexp_replace(regexp_replace(regexp_replace({html} || {_quoted(END)}, {_quoted(HIDDEN)}, ' ', 'g'), {_quoted(BLOCK)}, chr(10), 'g'), {_quoted(TAG)}, '', 'g')"
     for name, sign in ENTITIES:
         text = f"replace({text}, {_quoted(name)}, {_quoted(sign)})"
     return f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(regexp_replace(x, {_quoted(BLANKS)}, ' ', 'g'))), lambda x: x <> '')"

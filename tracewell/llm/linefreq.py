@@ -37,8 +37,6 @@ from tracewell.plans.lineage import written
 MAX_DOCS = 20
 MIN_KEPT = 0.5
 MAX_RATIO = 0.3
-#: PAGES_SQL alone exempts hosts of fewer pages; :func:`clean_pages` has no such floor.
-MIN_PAGES = 5
 
 
 def _hashes(lines: Column) -> Column:
@@ -114,8 +112,8 @@ _DOC_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x:
 
 DOCUMENTS_SQL = f"""
 WITH d AS (SELECT doc_id AS id, source AS host, text, row_number() OVER () AS k, {_DOC_LINES} AS lines FROM documents),
-l AS (SELECT id, host, k, text, unnest(lines) AS line, unnest(range(len(lines))) AS pos, lower(unnest(lines)) AS h FROM d),
-o AS (SELECT host, h FROM l GROUP BY host, h HAVING count(DISTINCT text) > {MAX_DOCS}),
+l AS (SELECT id, host, k, id AS doc_id, text, unnest(lines) AS line, unnest(range(len(lines))) AS pos, lower(unnest(lines)) AS h FROM d),
+o AS (SELECT host, h FROM l GROUP BY host, h HAVING count(DISTINCT coalesce('d' || doc_id, 't' || text)) > {MAX_DOCS}),
 {_REST}
 SELECT id AS doc_id, host AS source, text, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed
 FROM a WHERE n_removed < n_lines AND after >= before * {MIN_KEPT}
@@ -124,7 +122,7 @@ FROM a WHERE n_removed < n_lines AND after >= before * {MIN_KEPT}
 PAGES_SQL = f"""
 WITH d AS (SELECT page_id AS id, {sql_host('url')} AS host, row_number() OVER () AS k, {sql_lines('html')} AS lines FROM pages),
 l AS (SELECT id, host, k, unnest(lines) AS line, unnest(range(len(lines))) AS pos, lower(unnest(lines)) AS h FROM d),
-t AS (SELECT host, count(DISTINCT id) AS total FROM d GROUP BY host HAVING count(DISTINCT id) >= {MIN_PAGES}),
+t AS (SELECT host, count(DISTINCT id) AS total FROM d GROUP BY host),
 o AS (SELECT l.host, l.h FROM l JOIN t ON l.host IS NOT DISTINCT FROM t.host GROUP BY l.host, l.h, total HAVING count(DISTINCT l.id) > 1 AND count(DISTINCT l.id) > total * CAST({MAX_RATIO} AS DOUBLE)),
 {_REST}
 SELECT d.id AS page_id, d.host, coalesce(a.text, '') AS text, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
