@@ -7,8 +7,9 @@ are deleted.  Templates, navigation and notices go, what is the page's own stays
 
 Neighbours are found in range partitions (:mod:`tracewell.plans.sequence`), so one
 huge host is many tasks.  Only line hashes travel to a page's partner; lines are
-shuffled once, and only those of pages that lose some.  The alignment works on bit vectors, one row of the
-length of the partner for each line, after equal beginnings and ends are taken off.
+shuffled once, and only those of pages that lose some.  The alignment works on bit
+vectors of the length of the partner, after equal beginnings and ends and lines of one
+page alone are taken off; of n lines left it holds about the root of n vectors at a time.
 
 Defined results: a page without a host, or alone in its host, keeps all lines; a null
 or empty page has no lines and no effect on its partner; rows equal in page_id, url
@@ -20,6 +21,7 @@ aligned whole; an empty table gives an empty result; other columns are not looke
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -33,6 +35,26 @@ from tracewell.plans.lineage import written
 from tracewell.plans.sequence import neighbours
 
 
+def _masks(where: dict[int, list[int]], size: int):
+    """Bit vectors of a line's places; those of lines that stand in many places are kept, no more than the root of ``size`` of them."""
+    many, kept = math.isqrt(size) + 1, {}
+
+    def mask(line: int) -> int:
+        places = where[line]
+        if len(places) == 1:
+            return 1 << places[0]
+        if (held := kept.get(line)) is None:
+            bits = bytearray((places[-1] >> 3) + 1)
+            for j in places:
+                bits[j >> 3] |= 1 << (j & 7)
+            held = int.from_bytes(bits, "little")
+            if len(places) >= many:
+                kept[line] = held
+        return held
+
+    return mask
+
+
 def common(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``."""
     head = 0
@@ -41,25 +63,41 @@ def common(a: list[int], b: list[int]) -> list[int]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    mid_a, mid_b = a[head : len(a) - tail], b[head : len(b) - tail]
-    where: dict[int, int] = {}
-    for j, x in enumerate(mid_b):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(mid_b)) - 1
-    rows, now = [], full
-    for x in mid_a:
-        match = now & where.get(x, 0)
-        now = ((now + match) | (now - match)) & full
-        rows.append(now)
-    i, j, found = len(mid_a), len(mid_b), []
+    both = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    at = [i for i in range(head, len(a) - tail) if a[i] in both]
+    lines = [a[i] for i in at]
+    where: dict[int, list[int]] = {}
+    for j, x in enumerate(x for x in b[head : len(b) - tail] if x in both):
+        where.setdefault(x, []).append(j)
+    size = sum(map(len, where.values()))
+    full, mask = (1 << size) - 1, _masks(where, size)
+
+    def after(now: int, line: int) -> int:
+        match = now & mask(line)
+        return ((now + match) | (now - match)) & full
+
+    # One vector in front of each block of lines is kept; the way back makes a block's vectors again when it gets there.
+    step = math.isqrt(len(lines)) + 1
+    fronts, now = [], full
+    for i, x in enumerate(lines):
+        if i % step == 0:
+            fronts.append(now)
+        now = after(now, x)
+    i, j, block, rows, found = len(lines), size, -1, [full], []
     while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
+        if (i - 1) // step != block:
+            block = (i - 1) // step
+            rows = [fronts[block]]
+            for x in lines[block * step : (block + 1) * step]:
+                rows.append(after(rows[-1], x))
+        k = i - block * step
+        if rows[k] >> (j - 1) & 1:
             j -= 1
-        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+        elif not rows[k - 1] >> (j - 1) & 1:
             i -= 1
         else:
             i, j = i - 1, j - 1
-            found.append(head + i)
+            found.append(at[i])
     return [*range(head), *found[::-1], *range(len(a) - tail, len(a))]
 
 
