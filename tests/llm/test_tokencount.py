@@ -1,5 +1,6 @@
 import base64
 import random
+import tracemalloc
 
 import pytest
 import tiktoken
@@ -41,6 +42,12 @@ def test_merging_equals_the_plain_way():
         word = bytes(rng.choice(b"aabcdeehhilnoorsttt \xc3\xa9\xf0") for _ in range(rng.randrange(1, 60)))
         assert tokencount.count_merged(word, ranks) == _plain(word, ranks)
     assert tokencount.count_merged(b"", ranks) == 0
+    tokencount_long = tokencount.LONG
+    try:
+        tokencount.LONG = 8
+        assert all(tokencount.count_merged(w, ranks) == _plain(w, ranks) for w in (b"hello world of merges", "é".encode() * 9, b"a" * 50))
+    finally:
+        tokencount.LONG = tokencount_long
     few = {b"aa": 0, b"aaaa": 1}
     for n in range(1, 40):
         assert tokencount.count_merged(b"a" * n, few) == _plain(b"a" * n, few)
@@ -56,3 +63,12 @@ def test_edge_rows(spark, monkeypatch):
     assert abs(got[5][1] - 100 * _plain(b"a" * 3000, tokencount.read_ranks())) <= 100
     assert got[6][1] == len(encoding.encode_ordinary(rows[6][1]))
     assert tokencount.token_counts(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_memory_of_one_long_word():
+    ranks = tokencount.read_ranks()
+    word = b"a" * 200_000
+    tracemalloc.start()
+    assert tokencount.count_merged(word, ranks) == len(word) / 4
+    assert tracemalloc.get_traced_memory()[1] < 90 * len(word)
+    tracemalloc.stop()
