@@ -58,3 +58,18 @@ def test_edge_rows(spark):
     assert out.count() == mixing.copies(frame).count() > 0
     assert mixing.mix(frame.limit(0)).count() == 0 and mixing.copies(frame.limit(0)).count() == 0
     assert mixing.mix(frame, weights={}).count() == 0
+
+
+def test_clashing_columns(spark):
+    rows = [(k, "x" * (k + 1), "ab"[k % 2], k, k, k, k) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, m_source int, m_place int, nth int, text_hash int")
+    out = mixing.mix(frame)
+    assert out.columns == frame.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in mixing.copies(frame).collect())
+
+
+def test_sums_beyond_a_long(spark):
+    frame = spark.createDataFrame([(99, 2 * 10**8 + 1, 10**12, 3)], "start bigint, rate bigint, place bigint, n bigint")
+    ((got,),) = frame.select(mixing._copies(*map(F.col, frame.columns))).collect()
+    sums = [99 + p * (2 * 10**8 + 1) for p in (10**12, 10**12 + 3)]
+    assert got == sums[1] // mixing.UNIT - sums[0] // mixing.UNIT

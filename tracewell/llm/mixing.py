@@ -6,9 +6,10 @@ as many characters as the input, shared out by the weights, so every document of
 source has the same expected number of copies.  Documents of a source stand in the
 order of doc_id (then of the text's hash); their expected copies are summed up to
 each of them, one offset drawn for the source is added, and a document is emitted
-once for each whole number that the sum crosses.  Sums are of integers, in units
-of 1 / UNIT copies, so they are the same on any cluster; they run in range
-partitions, so a source that holds most of the corpus is not one task.
+once for each whole number that the sum crosses.  As the documents of a source have
+equal expected copies, the sum up to one is its place times that; places are counted
+in range partitions, so a source that holds most of the corpus is not one task, and
+sums are decimals in units of 1 / UNIT copies, the same on any cluster and at any size.
 
 Defined results: a null source is a source of its own; a null or empty text counts
 as one character; a null doc_id stands first; rows that repeat in all of doc_id,
@@ -50,35 +51,45 @@ def rates(narrow: DataFrame, weights: dict[str, float] | None = None, alpha: flo
 
 
 def plan(documents: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """source, doc_id, text_hash, n (equal rows), rate, before (the sum before the first of them)."""
+    """source, doc_id, text_hash, n (equal rows), rate, start, place (rows of the source before the first of them)."""
     narrow = documents.select(F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"), F.greatest(F.coalesce(F.length(F.col(text_col)), F.lit(0)), F.lit(1)).cast("bigint").alias("chars"))
     narrow = written(narrow, "mix")
     rate = rates(narrow, weights, alpha, seed)
     rows = narrow.groupBy("source", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    rows = rows.join(rate.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumn("share", F.col("rate") * F.col("n"))
-    summed = running_sum(rows, "source", ["doc_id", "text_hash"], "share", "upto", "mix")
-    return summed.select("source", "doc_id", "text_hash", "n", "rate", (F.col("start") + F.col("upto") - F.col("share")).alias("before"))
+    summed = running_sum(rows, "source", ["doc_id", "text_hash"], "n", "upto", "mix")
+    placed = summed.select("source", "doc_id", "text_hash", "n", (F.col("upto") - F.col("n")).alias("place"))
+    return placed.join(rate.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
 
+def _crossed(start: Column, rate: Column, place: Column) -> Column:
+    """Whole numbers crossed by the sum over the first ``place`` rows of a source."""
+    return (start.cast("decimal(20,0)") + place.cast("decimal(19,0)") * rate.cast("decimal(18,0)")).cast("decimal(38,0)")
+
+
+def _copies(start: Column, rate: Column, place: Column, n: Column) -> Column:
+    """Copies of the ``n`` rows from ``place`` on."""
+    one, two = (F.floor(_crossed(start, rate, p) / F.lit(UNIT)) for p in (place, place + n))
+    return (two - one).cast("int")
+
 
 def copies(documents: DataFrame, **options) -> DataFrame:
     """doc_id, source, copy (from 1): one row for each document of the mixture."""
     rows = plan(documents, **options)
-    n = F.expr(f"cast((before + n * rate) div {UNIT} - before div {UNIT} as int)")
-    return rows.withColumn("k", n).where("k > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"))
+    rows = rows.withColumn("k", _copies(F.col("start"), F.col("rate"), F.col("place"), F.col("n"))).where("k > 0")
+    return rows.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy"))
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mixture with their own columns, one row per copy; one shuffle of the texts at most."""
-    key, nth, many = fresh(documents, "text_hash", "nth", "copies")
+    key, nth, many, *own = fresh(documents, "text_hash", "nth", "copies", "m_source", "m_id", "m_hash", "m_rate", "m_start", "m_place")
     rows = plan(documents, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    rows = rows.where(f"(before + n * rate) div {UNIT} > before div {UNIT}").select(*[F.col(c).alias(f"{c}__mix") for c in rows.columns])
+    rows = rows.where(_copies(F.col("start"), F.col("rate"), F.col("place"), F.col("n")) > 0)
+    rows = rows.select(*[F.col(c).alias(name) for c, name in zip(("source", "doc_id", "text_hash", "rate", "start", "place"), own)])
+    source, doc_id, text_hash, rate, start, place = map(F.col, own)
     docs = documents.withColumn(key, F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)))
     docs = docs.withColumn(nth, F.row_number().over(Window.partitionBy(source_col, id_col, key).orderBy(F.lit(1))).cast("bigint"))
-    same = F.col(source_col).eqNullSafe(F.col("source__mix")) & F.col(id_col).eqNullSafe(F.col("doc_id__mix")) & (F.col(key) == F.col("text_hash__mix"))
-    joined = docs.join(rows, same)
-    k = F.expr(f"cast((before__mix + `{nth}` * rate__mix) div {UNIT} - (before__mix + (`{nth}` - 1) * rate__mix) div {UNIT} as int)")
-    joined = joined.withColumn(many, k).where(F.col(many) > 0)
+    same = F.col(source_col).eqNullSafe(source) & F.col(id_col).eqNullSafe(doc_id) & (F.col(key) == text_hash)
+    joined = docs.join(rows, same).withColumn(many, _copies(start, rate, place + F.col(nth) - 1, F.lit(1))).where(F.col(many) > 0)
     return joined.withColumn(many, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
