@@ -10,12 +10,14 @@ dual coordinate descent.  Two models are fitted: one for low quality and one for
 toxicity.  A text is rejected if either says so.
 
 The fit uses a bounded sample of labelled rows: in each of the label combinations
-the ``per_class`` rows of least hash of ``doc_id`` (default PER_CLASS).  The model
-holds at most as many features as that sample has.  Every document is scored.
+the ``per_class`` labels of least hash of ``doc_id`` (default PER_CLASS), one text each.
+The model holds at most as many features as that sample has, those of ``min_texts``
+texts at least (default MIN_TEXTS).  Every document is scored on all its features.
 
 Defined results: a null or empty text and a text without tokens are rejected, as
 there is nothing to keep; a null or repeated ``doc_id`` and ties do not matter to
-scoring, which looks at the text alone; labels that are null or without a document
+scoring, which looks at the text alone; ids may have any type; of several texts of one
+labelled id the fit takes the one of least hash; labels that are null or without a document
 are not used, and of contradicting labels of one document the sum counts as worse
 (least quality, most toxic); with no labels of one of the classes its model rejects
 nothing; empty tables give empty results; texts are read whole; other columns pass
@@ -38,7 +40,7 @@ from tracewell.plans.lineage import drop_written, fresh, written
 
 #: Labelled rows of each (quality, toxic) combination that the fit uses at most.
 PER_CLASS = 3000
-#: A feature of fewer sample texts than this has no weight.
+#: A feature of fewer sample texts than this has no weight, unless the caller says otherwise.
 MIN_TEXTS = 3
 #: Lengths in bytes of the beginnings of longer words that are features.
 PREFIXES = range(4, 9)
@@ -153,21 +155,25 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     """text_, quality, toxic of the labelled rows that the fit uses.
 
     At most ``4 * per_class`` labels are chosen, so they are broadcast and the
-    texts of the others never leave their tasks.
+    texts of the others never leave their tasks.  A label whose id stands in many rows
+    gives one text, so the sample is bounded however often an id repeats.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     one = one.groupBy(F.col("doc_id").alias("doc_")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = Window.partitionBy("quality", "toxic").orderBy(F.xxhash64("doc_"), "doc_")
     chosen = one.withColumn("nth_", F.row_number().over(order)).where(F.col("nth_") <= per_class).drop("nth_")
     docs = documents.select(F.col(id_col).alias("doc_"), F.col(text_col).alias("text_")).where("text_ is not null")
-    return docs.join(F.broadcast(chosen), "doc_")
+    found = docs.join(F.broadcast(chosen), "doc_")
+    whole = dict(found.dtypes)["doc_"] in ("tinyint", "smallint", "int", "bigint")
+    found = found.groupBy("doc_", "quality", "toxic").agg(F.min_by("text_", F.xxhash64("text_")).alias("text_"))
+    return found.withColumn("doc_", F.col("doc_").cast("bigint") if whole else F.xxhash64("doc_"))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **columns: str) -> tuple[Linear, Linear]:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, min_texts: int = MIN_TEXTS, **columns: str) -> tuple[Linear, Linear]:
     """The models of low quality and of toxicity.
 
     The sample's features are counted on the cluster; the driver gets those of
-    MIN_TEXTS texts and more, and the texts as places among them.
+    ``min_texts`` texts and more, and the texts as places among them.
     """
     spark = documents.sparkSession
 
@@ -180,7 +186,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, *
                 yield pa.RecordBatch.from_arrays([part.column("doc_"), part.column("quality").cast(pa.int32()), part.column("toxic").cast(pa.int32()), lists], names=["doc_", "quality", "toxic", "value"])
 
     rows = written(sample(documents, labels, per_class, **columns).mapInArrow(extract, "doc_ bigint, quality int, toxic int, value array<bigint>"), "sample")
-    common = rows.select(F.explode("value").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS).select("f").toArrow()
+    common = rows.select(F.explode("value").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("f").toArrow()
     keys = np.sort(np.asarray(common.column("f").combine_chunks()).view(np.uint64))
     del common
     shared = spark.sparkContext.broadcast(keys)
@@ -221,23 +227,23 @@ def _score(shared):
     return score
 
 
-def scores(documents: DataFrame, labels: DataFrame, text: Column, per_class: int = PER_CLASS, **columns: str) -> Column:
+def scores(documents: DataFrame, labels: DataFrame, text: Column, **options) -> Column:
     """A struct of the two models' scores of ``text``: low, toxic. NaN for a text without tokens. Trains when called."""
-    models = train(documents, labels, per_class, **columns)
+    models = train(documents, labels, **options)
     shared = documents.sparkSession.sparkContext.broadcast([(m.keys, m.weights, m.bias) for m in models])
     return F.arrow_udf(_score(shared), "struct<low:double,toxic:double>").asNondeterministic()(text)
 
 
-def kept(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id and both scores of the documents that pass (scores at most 0)."""
-    found = scores(documents, labels, F.col("text_"), per_class, id_col=id_col, text_col=text_col)
+    found = scores(documents, labels, F.col("text_"), id_col=id_col, text_col=text_col, **options)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_"))
     return docs.select("doc_id", found.alias("s_")).where("s_.low <= 0 and s_.toxic <= 0").select("doc_id", F.col("s_.low").alias("low_quality"), F.col("s_.toxic").alias("toxic"))
 
 
-def drop_rejected(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_rejected(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that pass, with their own columns."""
     (name,) = fresh(documents, "scores")
-    found = scores(documents, labels, F.col(text_col), per_class, id_col=id_col, text_col=text_col)
+    found = scores(documents, labels, F.col(text_col), id_col=id_col, text_col=text_col, **options)
     passed = documents.withColumn(name, found).where((F.col(f"{name}.low") <= 0) & (F.col(f"{name}.toxic") <= 0))
     return passed.select(*[F.col(f"`{c}`") for c in documents.columns])
