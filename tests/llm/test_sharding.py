@@ -1,4 +1,8 @@
+import datetime
 import random
+from decimal import Decimal
+
+import pytest
 
 from tracewell.llm import sharding
 
@@ -44,8 +48,10 @@ def test_shards_equal_brute_force(spark, monkeypatch):
     docs = _docs()
     rows = [((_code(lang), _code(source), n, k), len(text.encode())) for k, text, lang, source, n, _, _ in docs]
     frame = spark.createDataFrame(docs, DOCS)
-    for target, slots in ((3000, 1 << 16), (900, 64), (10**9, 64)):
+    for target, slots, finish in ((3000, 1 << 16, 1 << 20), (900, 64, 100), (2000, 1 << 16, 0), (10**9, 64, 0)):
         monkeypatch.setattr(sharding, "SLOTS", slots)
+        monkeypatch.setattr(sharding, "NODE_SLOTS", min(slots, 7))
+        monkeypatch.setattr(sharding, "FINISH_ROWS", finish)
         want = {docs[i][0]: s for s, part in enumerate(_brute(rows, target, 4)) for i in part}
         got = {r.doc_id: r.shard_id for r in sharding.shards(frame.repartition(3), target_bytes=target).collect()}
         assert got == want
@@ -66,6 +72,41 @@ def test_texts_that_begin_alike_are_told_apart(spark):
     assert len(set(got.values())) == len({(r[2], r[3]) for r in docs})
 
 
+@pytest.mark.parametrize("finish", [1 << 20, 5])
+def test_one_dimension_of_each_type(spark, monkeypatch, finish):
+    """Splits tell apart values however close: twenty sources that share twelve bytes are twenty shards."""
+    monkeypatch.setattr(sharding, "FINISH_ROWS", finish)
+    rng = random.Random(5)
+    values = {
+        "string": [f"commoncrawl-{k}" for k in range(20)],
+        "double": [0.0, 1e-9, 2e-9, -1e-300, 1e300, float("inf"), float("-inf"), float("nan"), 0.1, 0.1 + 2**-55],
+        "float": [0.5, 0.25, -3.0],
+        "decimal(18,4)": [Decimal(k) / 10000 for k in range(10)],
+        "decimal(38,2)": [Decimal(f"{10**28}.{k:02}") for k in range(8)],
+        "bigint": [-(2**63), 2**63 - 1, 0, 1],
+        "int": [3, 4],
+        "boolean": [True, False],
+        "date": [datetime.date(2024, 1, 1 + k) for k in range(9)],
+    }
+    for kind, some in values.items():
+        rows = [(v, "x" * 500) for v in some for _ in range(rng.randrange(1, 4))] + [(None, "x" * 500)]
+        rng.shuffle(rows)
+        frame = spark.createDataFrame(rows, f"v {kind}, text string")
+        out = sharding.with_shard(frame.repartition(3), dimensions=("v",), target_bytes=400).collect()
+        shard = {}
+        for r in out:
+            shard.setdefault("nan" if r.v != r.v else r.v, set()).add(r.shard_id)
+        assert all(len(x) == 1 for x in shard.values()) and len(set.union(*shard.values())) == len(some) + 1
+        if kind != "string":
+            order = [min(shard["nan" if v != v else v]) for v in sorted(some, key=lambda v: (v != v, v))]
+            assert order == sorted(order) and (kind == "bigint" or shard[None] == {0})
+
+
+def test_without_dimensions_all_is_one_shard(spark):
+    frame = spark.createDataFrame([("a",), (None,)], "text string")
+    assert {r.shard_id for r in sharding.with_shard(frame, dimensions=()).collect()} == {0}
+
+
 def test_edge_rows(spark):
     rows = [(None, None, None, None, None, "x", "y"), (1, "", "en", "s", 0, "x", "y"), (2, "a" * 1_000_000, "en", "s", 5, "x", "y"), (2, "a" * 1_000_000, "en", "s", 5, "x", "y"), (3, "b", "de", "t", 1, "x", "y")]
     frame = spark.createDataFrame(rows, DOCS)

@@ -6,25 +6,33 @@ itself included, lies half of the node's bytes (the value before it if it is the
 greatest).  Width is measured against the width over all documents; of equally
 wide dimensions the first named is taken.  All nodes of a level are split at once.
 
-Medians are exact and found without sorting or moving rows: each pass sums bytes
-in at most ``SLOTS`` equal slots over all open nodes, inside the tasks, and the slot
-with the median becomes the next pass's range.  The driver holds the tree and one
-pass's sums, both bounded by the number of shards and SLOTS, never rows.
-
-Text dimensions count by their first seven bytes where these tell all values of the
-column apart, else by the rank of the whole value among the column's distinct values,
-in byte order: equal codes mean equal values.  Ranks are found in range partitions and
-joined to the metadata; the assignment compares whole values with those at the splits.
-
-Defined results: a null in any
-dimension counts as -1; a null or empty text has 0 bytes; a node whose documents
-agree in all dimensions stays whole above the target (so does a single document);
-rows that repeat land in one shard; an empty table gives an empty result; other
-columns pass through under any name.  Shards are numbered from 0 in tree order.
+Medians are exact.  Nodes of more than ``FINISH_ROWS`` documents find theirs without
+sorting or moving rows: each pass sums bytes in equal slots over all such nodes, inside
+the tasks, and the slot with the median becomes the next pass's range.  Once a node has
+fewer documents, their metadata (five longs a document, no text) go to one task, which
+splits the node down to its leaves.  So passes over the metadata grow with the logarithm
+of its rows over FINISH_ROWS, the metadata are shuffled once, and no task gets more than
+FINISH_ROWS of them.  The driver holds the tree and one pass's sums, both bounded by the
+number of shards, of large nodes and SLOTS, never rows.
+
+Numbers count exactly: floating ones by their bits in order, decimals of up to 18 digits
+unscaled.  Text dimensions count by their first seven bytes where these tell all values of
+the column apart, else by the rank of the whole value among the column's distinct values,
+in byte order, as wider decimals do by value: equal codes mean equal values.  Ranks are
+found in range partitions and joined to the metadata; the assignment compares whole values
+with those at the splits.
+
+Defined results: a null in any dimension counts as -1, in floating ones as less than any
+number (not-a-number is the greatest); a null or empty text has 0 bytes; a node whose
+documents agree in all dimensions stays whole above the target (so does a single document);
+rows that repeat land in one shard; an empty table gives an empty result; without
+dimensions all is one shard; other columns pass through under any name.  Shards are
+numbered from 0 in tree order.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,28 +47,40 @@ from tracewell.plans.sequence import running_sum
 
 TARGET_BYTES = 32 << 20
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
-#: Sums of one pass, over all nodes.
+#: Sums of one pass, over all nodes, and the least for each node.
 SLOTS = 1 << 16
+NODE_SLOTS = 64
+#: Documents of a node that one task splits down to its leaves.
+FINISH_ROWS = 1 << 20
 
 
 @dataclass
 class Tree:
     """Splits by node: dimension (-1 for a leaf) and value; a row goes left if its value is at most that."""
 
-    dim: list[int] = field(default_factory=lambda: [-1])
-    value: list[int] = field(default_factory=lambda: [0])
-    left: list[int] = field(default_factory=lambda: [-1])
+    dim: array = field(default_factory=lambda: array("h", [-1]))
+    value: array = field(default_factory=lambda: array("q", [0]))
+    left: array = field(default_factory=lambda: array("i", [-1]))
 
     def split(self, node: int, dim: int, value: int) -> tuple[int, int]:
         at = len(self.dim)
         self.dim[node], self.value[node], self.left[node] = dim, value, at
-        self.dim += [-1, -1]
-        self.value += [0, 0]
-        self.left += [-1, -1]
+        self.dim.extend((-1, -1))
+        self.value.extend((0, 0))
+        self.left.extend((-1, -1))
         return at, at + 1
 
+    def grow(self, node: int, dims: np.ndarray, values: np.ndarray) -> None:
+        """Put the subtree of :func:`subtree` under a leaf."""
+        todo, cuts = [node], iter(values.tolist())
+        for dim in dims.tolist():
+            node = todo.pop()
+            if dim >= 0:
+                left, right = self.split(node, dim, next(cuts))
+                todo += [right, left]
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.dim), np.array(self.value, np.int64), np.array(self.left)
+        return np.array(self.dim, np.int16), np.array(self.value, np.int64), np.array(self.left, np.int32)
 
     def leaves(self) -> np.ndarray:
         """For each node its number among the leaves in tree order, -1 for the others."""
@@ -86,15 +106,37 @@ def descend(tree: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray)
     return node
 
 
+def _in_order(values: pa.Array) -> np.ndarray:
+    """Floating numbers as longs in the same order; null as the least."""
+    plain = np.asarray(values.cast(pa.float64()).fill_null(0.0)) + 0.0
+    bits = np.where(np.isnan(plain), np.nan, plain).view(np.int64)
+    bits = bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+    return np.where(np.asarray(values.is_null()), np.int64(-(2**63)), bits)
+
+
+def _floating(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array(_in_order(batch))
+
+
+def _by_rank(kind: str) -> bool:
+    """Whether a type's values have no code of their own, so that ranks may be needed."""
+    return kind == "string" or (kind.startswith("decimal") and int(kind[8:].split(",")[0]) > 18)
+
+
 def code(column: Column, kind: str) -> Column:
-    """A dimension as a long that keeps its order."""
+    """A dimension as a long that keeps its order; of texts the beginning, of wide decimals nothing but null."""
     if kind == "string":
         bytes_ = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0")
         column = F.conv(bytes_, 16, 10)
     elif kind in ("timestamp", "date", "timestamp_ntz"):
         column = F.unix_micros(column.cast("timestamp"))
-    elif kind in ("double", "float") or kind.startswith("decimal"):
-        column = F.floor(column * 1000)
+    elif kind in ("double", "float"):
+        column = F.arrow_udf(_floating, "bigint")(column)
+    elif _by_rank(kind):
+        column = F.when(column.isNotNull(), F.lit(0))
+    elif kind.startswith("decimal"):
+        column = column * F.lit(10 ** int(kind[8:-1].split(",")[1])).cast("decimal(19,0)")
     return F.coalesce(column.cast("bigint"), F.lit(-1).cast("bigint"))
 
 
@@ -103,30 +145,30 @@ def _values(batch: pa.RecordBatch, n: int) -> np.ndarray:
 
 
 def _stats(tree, n: int):
-    """Per open node: bytes, and least and greatest value of each dimension."""
+    """Per open node: bytes, rows, and least and greatest value of each dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splits = tree.value
         size = len(splits[0])
-        total, seen = np.zeros(size, np.int64), np.zeros(size, bool)
+        total, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
         low, high = np.full((n, size), np.iinfo(np.int64).max), np.full((n, size), np.iinfo(np.int64).min)
         for batch in batches:
             values = _values(batch, n)
             node = descend(splits, values)
             np.add.at(total, node, np.asarray(batch.column(n)))
-            seen[node] = True
+            count += np.bincount(node, minlength=size)
             for d in range(n):
                 np.minimum.at(low[d], node, values[d])
                 np.maximum.at(high[d], node, values[d])
-        at = np.flatnonzero(seen)
-        columns = [at, total[at], *[x[d][at] for d in range(n) for x in (low, high)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "bytes", *[f"{x}{d}" for d in range(n) for x in ("low", "high")]])
+        at = np.flatnonzero(count)
+        columns = [at, total[at], count[at], *[x[d][at] for d in range(n) for x in (low, high)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "bytes", "n", *[f"{x}{d}" for d in range(n) for x in ("low", "high")]])
 
     return run
 
 
 def _histogram(shared, n: int):
-    """Bytes by node and slot of the node's present range; slot -1 is what lies below it."""
+    """Bytes by node and slot of the node's present range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splits, nodes, dims, lows, widths, slots = shared.value
@@ -148,47 +190,121 @@ def _histogram(shared, n: int):
     return run
 
 
+def widest(low: list[int], high: list[int], root: list[int]) -> int | None:
+    """The widest dimension against ``root``, the first of equals; None if all agree."""
+    span = [h - x for x, h in zip(low, high)]
+    return max(range(len(span)), key=lambda d: (span[d] / root[d], -d)) if any(span) else None
+
+
+def subtree(values: np.ndarray, size: np.ndarray, root: list[int], target: int) -> tuple[list[int], list[int]]:
+    """Dimensions (-1 for a leaf) of the nodes below one node, in tree order, and the values at its splits in that order."""
+    dims: list[int] = []
+    cuts: list[int] = []
+    todo = [np.arange(values.shape[1])]
+    while todo:
+        at = todo.pop()
+        own, total = values[:, at], int(size[at].sum())
+        high = own.max(1).tolist()
+        dim = widest(own.min(1).tolist(), high, root) if total > target else None
+        if dim is None:
+            dims.append(-1)
+            continue
+        order = np.argsort(own[dim], kind="stable")
+        median = int(own[dim][order[np.searchsorted(2 * np.cumsum(size[at][order]), total)]])
+        cut = median - 1 if median == high[dim] else median
+        dims.append(dim)
+        cuts.append(cut)
+        left = own[dim] <= cut
+        todo += [at[~left], at[left]]
+    return dims, cuts
+
+
+def _tagged(shared, n: int):
+    """The rows of the nodes that tasks finish, with their node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splits, nodes = shared.value
+        wanted = np.zeros(len(splits[0]), bool)
+        wanted[nodes] = True
+        for batch in batches:
+            node = descend(splits, _values(batch, n))
+            some = pa.array(np.flatnonzero(wanted[node]))
+            yield pa.RecordBatch.from_arrays([pa.array(node).take(some), *[c.take(some) for c in batch.columns]], names=["node", *batch.schema.names])
+
+    return run
+
+
+def _finish(rows: DataFrame, n: int, tree: Tree, nodes: list[int], root: list[int], target: int) -> None:
+    """Split each of ``nodes`` down to its leaves in one task, and put what comes out under it."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((tree.arrays(), np.array(nodes)))
+
+    def below(table: pa.Table) -> pa.Table:
+        columns = [table.column(i).to_numpy() for i in range(1, n + 2)]
+        dims, cuts = subtree(np.stack(columns[:n]), columns[n], root, target)
+        return pa.table({"node": table.column(0)[:1], "dims": pa.array([dims], pa.list_(pa.int16())), "cuts": pa.array([cuts], pa.list_(pa.int64()))})
+
+    names = ", ".join(f"`{c}` bigint" for c in ("node", *rows.columns))
+    found = rows.mapInArrow(_tagged(shared, n), names).groupBy("node").applyInArrow(below, "node bigint, dims array<smallint>, cuts array<bigint>").toArrow()
+    for node, dims, cuts in sorted(zip(found.column("node").to_pylist(), *[[x.values.to_numpy() for x in found.column(c)] for c in ("dims", "cuts")]), key=lambda x: x[0]):
+        tree.grow(node, dims, cuts)
+    shared.unpersist()
+
+
+def _medians(rows: DataFrame, n: int, tree: Tree, splits: list[list]) -> list[int]:
+    """The weighted median of each of ``splits``: node, dimension, least and greatest value, bytes."""
+    sc = rows.sparkSession.sparkContext
+    nodes, dims, sizes = (np.array([s[i] for s in splits], np.int64) for i in (0, 1, 4))
+    low, high, below = [s[2] for s in splits], [s[3] for s in splits], np.zeros(len(splits), np.int64)
+    todo = list(range(len(splits)))
+    while todo:
+        slots = max(NODE_SLOTS, SLOTS // len(todo))
+        widths = [-(-(high[i] - low[i] + 1) // slots) for i in todo]
+        shared = sc.broadcast((tree.arrays(), nodes[todo], dims[todo], np.array([low[i] for i in todo], np.int64), np.array(widths, np.uint64), slots))
+        table = rows.mapInArrow(_histogram(shared, n), "slot bigint, bytes bigint").groupBy("slot").agg(F.sum("bytes").alias("bytes")).toArrow()
+        shared.unpersist()
+        place, size = (table.column(c).to_numpy() for c in ("slot", "bytes"))
+        order = np.argsort(place)
+        place, size = place[order], size[order]
+        first = np.searchsorted(place, np.arange(len(todo) + 1) * slots)
+        total = np.concatenate(([0], np.cumsum(size)))
+        for k, i in enumerate(todo):
+            sums = total[first[k] : first[k + 1] + 1] - total[first[k]] + below[i]
+            at = int(np.searchsorted(2 * sums[1:], sizes[i]))
+            slot = int(place[first[k] + at]) - k * slots
+            low[i], high[i], below[i] = low[i] + slot * widths[k], min(high[i], low[i] + (slot + 1) * widths[k] - 1), sums[at]
+        todo = [i for i in todo if high[i] > low[i]]
+    return low
+
+
 def build(rows: DataFrame, n: int, target: int) -> Tree:
     """The tree over ``rows``: ``n`` long columns and the bytes."""
     spark = rows.sparkSession
     tree, root = Tree(), None
-    open_nodes = {0}
-    stat_type = ", ".join(["node bigint", "bytes bigint", *[f"{x}{d} bigint" for d in range(n) for x in ("low", "high")]])
+    open_nodes, finish = {0}, []
+    stat_type = ", ".join(["node bigint", "bytes bigint", "n bigint", *[f"{x}{d} bigint" for d in range(n) for x in ("low", "high")]])
     while open_nodes:
         shared = spark.sparkContext.broadcast(tree.arrays())
         part = rows.mapInArrow(_stats(shared, n), stat_type)
-        wanted = [F.sum("bytes").alias("bytes"), *[F.min(f"low{d}").alias(f"low{d}") for d in range(n)], *[F.max(f"high{d}").alias(f"high{d}") for d in range(n)]]
-        found = part.groupBy("node").agg(*wanted).collect()
+        wanted = [*[F.sum(c).alias(c) for c in ("bytes", "n")], *[F.min(f"low{d}").alias(f"low{d}") for d in range(n)], *[F.max(f"high{d}").alias(f"high{d}") for d in range(n)]]
+        found = part.groupBy("node").agg(*wanted).where(F.col("bytes") > target if root else F.lit(True)).collect()
+        shared.unpersist()
         splits = []
-        for row in found:
+        for row in sorted(found):
             if row["node"] not in open_nodes:
                 continue
-            span = [row[f"high{d}"] - row[f"low{d}"] for d in range(n)]
-            root = root or [max(1, s) for s in span]
-            if row["bytes"] > target and any(span):
-                dim = max(range(n), key=lambda d: (span[d] / root[d], -d))
-                splits.append([row["node"], dim, row[f"low{dim}"], row[f"high{dim}"], row["bytes"], 0, row[f"high{dim}"]])
-        shared.unpersist()
-        todo = [s for s in splits]
-        while todo:
-            slots = max(2, SLOTS // len(todo))
-            widths = [-(-(s[3] - s[2] + 1) // slots) for s in todo]
-            shared = spark.sparkContext.broadcast((tree.arrays(), np.array([s[0] for s in todo]), np.array([s[1] for s in todo]), np.array([s[2] for s in todo], np.int64), np.array(widths, np.uint64), slots))
-            sums: dict[int, list[tuple[int, int]]] = {}
-            for slot, size in rows.mapInArrow(_histogram(shared, n), "slot bigint, bytes bigint").groupBy("slot").agg(F.sum("bytes")).collect():
-                sums.setdefault(slot // slots, []).append((slot % slots, size))
-            shared.unpersist()
-            for i, s in enumerate(todo):
-                below = s[5]
-                for slot, size in sorted(sums[i]):
-                    if 2 * (below + size) >= s[4]:
-                        break
-                    below += size
-                s[2], s[3], s[5] = s[2] + slot * widths[i], min(s[3], s[2] + (slot + 1) * widths[i] - 1), below
-            todo = [s for s in todo if s[3] > s[2]]
+            low, high = ([row[f"{x}{d}"] for d in range(n)] for x in ("low", "high"))
+            root = root or [max(1, h - x) for x, h in zip(low, high)]
+            if row["bytes"] > target and (dim := widest(low, high, root)) is not None:
+                if row["n"] <= FINISH_ROWS:
+                    finish.append(row["node"])
+                else:
+                    splits.append([row["node"], dim, low[dim], high[dim], row["bytes"]])
         open_nodes = set()
-        for node, dim, value, _, _, _, high in sorted(splits):
+        for (node, dim, _, high, _), value in zip(splits, _medians(rows, n, tree, splits)):
             open_nodes.update(tree.split(node, dim, value - 1 if value == high else value))
+    if finish:
+        _finish(rows, n, tree, finish, root, target)
     return tree
 
 
@@ -201,17 +317,18 @@ def _ranks(narrow: DataFrame, i: int) -> DataFrame | None:
     return written(ranked.select("v", (F.col("rank") - 1).alias("rank")), "ranks")
 
 
-def _bounds(tree: Tree, i: int, ranks: DataFrame) -> list[bytes]:
+def _bounds(tree: Tree, i: int, ranks: DataFrame) -> list:
     """The values at the splits of dimension ``i`` in order; the tree's ranks become places among them (null stays -1)."""
     nodes = [k for k, d in enumerate(tree.dim) if d == i and tree.value[k] >= 0]
-    found = sorted((r["rank"], bytes(r["v"])) for r in ranks.where(F.col("rank").isin({tree.value[k] for k in nodes})).collect()) if nodes else []
+    wanted = ranks.sparkSession.createDataFrame([(r,) for r in sorted({tree.value[k] for k in nodes})], "r_ bigint")
+    found = sorted((r["rank"], bytes(r["v"]) if isinstance(r["v"], bytearray) else r["v"]) for r in ranks.join(wanted, F.col("rank") == F.col("r_")).collect())
     place = {rank: at for at, (rank, _) in enumerate(found)}
     for k in nodes:
         tree.value[k] = place[tree.value[k]]
     return [value for _, value in found]
 
 
-def _places(array: pa.Array, bounds: list[bytes]) -> np.ndarray:
+def _places(array: pa.Array, bounds: list) -> np.ndarray:
     """How many of ``bounds`` lie below each value; -1 for null."""
     words = array.dictionary_encode()
     at = np.array([*(bisect_left(bounds, w) for w in words.dictionary.to_pylist()), -1], np.int64)
@@ -230,9 +347,11 @@ def _assign(shared):
 
 def shard(documents: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, target_bytes: int = TARGET_BYTES, text_col: str = "text") -> Column:
     """The shard of each document. Builds the tree when called; assigning moves no row."""
+    if not dimensions:
+        return F.lit(0).cast("bigint")
     kinds = dict(documents.dtypes)
     codes = [code(F.col(f"`{d}`"), kinds[d]) for d in dimensions]
-    whole = {i: F.col(f"`{d}`").cast("binary") for i, d in enumerate(dimensions) if kinds[d] == "string"}
+    whole = {i: F.col(f"`{d}`").cast("binary") if kinds[d] == "string" else F.col(f"`{d}`") for i, d in enumerate(dimensions) if _by_rank(kinds[d])}
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint").alias("bytes")
     narrow = written(documents.select(*[c.alias(f"d{i}") for i, c in enumerate(codes)], size, *[v.alias(f"v{i}") for i, v in whole.items()]), "metadata")
     ranks = {i: r for i in whole if (r := _ranks(narrow, i)) is not None}
@@ -251,7 +370,8 @@ def shard(documents: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, target
     for r in ranks.values():
         drop_written(r)
     shared = documents.sparkSession.sparkContext.broadcast((tree.arrays(), tree.leaves(), bounds))
-    return F.arrow_udf(_assign(shared), "bigint").asNondeterministic()(*[whole[i] if i in ranks else c for i, c in enumerate(codes)])
+    # A function of one column would get arrays instead of tuples; the last one is never split on.
+    return F.arrow_udf(_assign(shared), "bigint").asNondeterministic()(*[whole[i] if i in ranks else c for i, c in enumerate(codes)], F.lit(0).cast("bigint"))
 
 
 def shards(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
