@@ -3,16 +3,22 @@
 ``spark.checkpoint.dir`` names the folder that every executor can read.  A table
 written there survives the loss of any executor, and its readers get Parquet
 statistics and column pruning that an RDD checkpoint would not give them.
+
+Frames that operators return read such tables, so they stand until :func:`sweep` is
+called by who has used up the frames, or until the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PREFIX = "tracewell-"
+#: Tables of this process that stand, with their sessions.
+_STANDING: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +43,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{_PREFIX}{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STANDING[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
     return out
@@ -46,9 +53,33 @@ def drop_written(df: DataFrame) -> None:
     """Delete the table behind a frame of :func:`written` that nothing reads any more."""
     path = getattr(df, "_tracewell_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(path, df.sparkSession)
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _STANDING.pop(path, None)
+
+
+def standing() -> set[str]:
+    """The tables that stand now, for a later :func:`sweep`."""
+    return set(_STANDING)
+
+
+def sweep(before: set[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Delete the tables written since ``before``, but for that of ``keep``. Frames that read them cannot be used any more."""
+    for path, spark in list(_STANDING.items()):
+        if path not in before and path != getattr(keep, "_tracewell_path", None):
+            _delete(path, spark)
+
+
+@atexit.register
+def _at_the_end() -> None:
+    try:
+        sweep()
+    except Exception:  # noqa: BLE001 - the session may be gone, and with it what could delete
+        _STANDING.clear()
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
