@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns the documents that go on, with the columns of ``documents``; the last one
 adds ``shard_id``.  Every stage sees all that the one before it kept.
+
+Defined results: documents with a null, empty or wordless text go in the first stage;
+of rows that repeat one stays in the second; a null doc_id, lang or source is a value
+like others; texts of any length pass whole; an empty table gives an empty result with
+the same columns; further columns pass through under any name, and where one is called
+``shard_id`` the last stage's column is ``shard_id_``.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import classifier, decontam, mixing, sharding, simhash
-from tracewell.plans.lineage import drop_written, written
+from tracewell.plans.lineage import standing, sweep, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +59,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``. A stage's table goes once the next one is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over ``documents``. A stage's tables go once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), standing()
     for name, stage in STAGES:
-        following = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        drop_written(docs)
-        docs = following
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        sweep(before, docs)
     return docs
