@@ -29,7 +29,7 @@ def ingest(spark: SparkSession, folder: str, root: str, run: str, mode: str, can
     pages = parsers.route(taken, mode, candidates)
     ids = pages.withColumn("doc_id", T.stable_id(F.col("path")))
     lines = ids.where("error is null").select("doc_id", "page", F.posexplode(F.split("text", r"\R")).alias("line", "text")).where(T.strip(F.col("text")) != "")
-    blocks = lines.select("doc_id", "page", (F.col("page").cast("bigint") * 1_000_000 + F.col("line")).cast("int").alias("pos"), "text", F.lit("text").alias("observed_type"))
+    blocks = lines.select("doc_id", "page", (F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("line")).alias("pos"), "text", F.lit("text").alias("observed_type"))
     made = documents.build(blocks)
     for name, table in STORED.items():
         artifacts.put(made[table], root, name, run)

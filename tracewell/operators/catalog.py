@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators.hierarchy import closure
+from tracewell.operators.hierarchy import below
 
 LOCAL_PATH = r"^(/|~|\.{1,2}(/|$)|[A-Za-z]:[\\/]|\\\\|file:)"
 SECRET_WORDS = ("password", "passwd", "secret", "token", "credential", "credentials", "apikey")
@@ -54,22 +54,31 @@ def run_manifest(results: DataFrame) -> DataFrame:
 
 def bundle_assets(bundles: DataFrame, assets: DataFrame, roots: DataFrame) -> DataFrame:
     """Assets of the bundles in ``roots`` (root_id) and of all bundles below them."""
-    below = closure(bundles, "bundle_id", "parent_id").join(roots.select(F.col("root_id").alias("w_")).distinct(), F.col("root") == F.col("w_"), "left_semi")
-    return below.select("root", F.col("node").alias("n_")).join(assets, F.col("n_") == F.col("bundle_id")).drop("n_")
+    under = below(bundles, "bundle_id", "parent_id", roots.select(F.col("root_id").alias("root")))
+    return under.select("root", F.col("node").alias("n_")).join(assets, F.col("n_") == F.col("bundle_id")).drop("n_")
 
 
 def soft_delete(bundles: DataFrame, assets: DataFrame, doomed: DataFrame, recursive: bool = True) -> DataFrame:
     """The assets with ``deleted`` set below the bundles of ``doomed`` (root_id); deleted ones stay so.
 
-    Without ``recursive`` only bundles that have no live asset may go, so nothing changes but empty bundles.
+    Without ``recursive`` only bundles without bundles below and without live assets
+    may go (see :func:`not_empty`); if one of ``doomed`` has some, that is a ValueError.
     """
-    if not recursive:
-        return assets
-    gone = closure(bundles, "bundle_id", "parent_id").join(doomed.select(F.col("root_id").alias("w_")).distinct(), F.col("root") == F.col("w_"), "left_semi").select(F.col("node").alias("n_")).distinct()
+    if not recursive and (full := not_empty(bundles, assets, doomed).first()):
+        raise ValueError(f"bundle {full.root_id} is not empty")
+    gone = below(bundles, "bundle_id", "parent_id", doomed.select(F.col("root_id").alias("root"))).select(F.col("node").alias("n_")).distinct()
     marked = assets.join(gone, F.col("bundle_id") == F.col("n_"), "left")
     return marked.withColumn("deleted", F.col("deleted") | F.col("n_").isNotNull()).drop("n_")
 
 
+def not_empty(bundles: DataFrame, assets: DataFrame, doomed: DataFrame) -> DataFrame:
+    """root_id, bundles, assets of those of ``doomed`` that have bundles or live assets of their own."""
+    inner = bundles.where("parent_id is not null").groupBy(F.col("parent_id").alias("p_")).agg(F.count("*").alias("bundles"))
+    live = assets.where(~F.col("deleted")).groupBy(F.col("bundle_id").alias("b_")).agg(F.count("*").alias("assets"))
+    rows = doomed.select("root_id").distinct().join(inner, F.col("root_id") == F.col("p_"), "left").join(live, F.col("root_id") == F.col("b_"), "left")
+    return rows.select("root_id", F.coalesce("bundles", F.lit(0)).alias("bundles"), F.coalesce("assets", F.lit(0)).alias("assets")).where("bundles + assets > 0")
+
+
 def unreferenced(blobs: DataFrame, sources: DataFrame, older_than: Column | None = None) -> DataFrame:
     """Blobs (profile, key) that no live source refers to, older than a moment if one is given."""
     live = sources.where(~F.col("deleted")).select(F.col("profile").alias("p_"), F.col("key").alias("k_"))
@@ -118,7 +127,7 @@ def safe_configuration(configuration: DataFrame) -> DataFrame:
 def limit_violations(documents: DataFrame, limits: DataFrame) -> DataFrame:
     """doc_id, rule, actual, allowed of documents beyond the limits (rule, allowed) on size and pages."""
     facts = documents.select("doc_id", F.expr("stack(2, 'max_bytes', cast(size as bigint), 'max_pages', cast(pages as bigint)) as (rule, actual)"))
-    return facts.join(F.broadcast(limits.withColumnRenamed("rule", "r_")), (F.col("rule") == F.col("r_")) & (F.col("actual") > F.col("allowed"))).select("doc_id", "rule", "actual", "allowed")
+    return facts.join(limits.withColumnRenamed("rule", "r_"), (F.col("rule") == F.col("r_")) & (F.col("actual") > F.col("allowed"))).select("doc_id", "rule", "actual", "allowed")
 
 
 def enrichment_id(source_hash: Column, anchors: Column, kind: Column, method: Column, model: Column, config: Column) -> Column:

@@ -34,7 +34,7 @@ def table_rows(blocks: DataFrame) -> DataFrame:
     facts = F.when(F.col("own_code").isNotNull(), F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(1)))).otherwise(F.col("lines"))
     rows = rows.withColumn("facts", facts).withColumn("code", F.coalesce("own_code", "next_code"))
     sound = (F.size("lines") > 0) & F.coalesce(F.get("facts", F.lit(0)).rlike(ROW), F.lit(False)) & F.col("code").isNotNull() & (F.size("facts") >= 4)
-    cells = F.array(F.get("facts", F.lit(0)), F.get("facts", F.lit(1)), F.get("facts", F.lit(2)), F.array_join(F.slice("facts", 4, 100_000), " "), F.col("code"))
+    cells = F.array(F.get("facts", F.lit(0)), F.get("facts", F.lit(1)), F.get("facts", F.lit(2)), F.array_join(F.slice("facts", 4, F.size("facts")), " "), F.col("code"))
     return rows.where(sound).select("doc_id", "page", "at", F.get("facts", F.lit(0)).cast("int").alias("row_no"), cells.alias("cells"), F.col("own_code").isNull().alias("code_beside"))
 
 

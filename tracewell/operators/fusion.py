@@ -168,7 +168,7 @@ def adjudicate(observations: DataFrame, rules: DataFrame) -> DataFrame:
         F.count_distinct("parser_id").alias("parsers"), F.count_distinct("value_sha256").alias("values"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unsafe").alias("unsafe"), F.min("value").alias("one"), F.collect_set("value").alias("seen"), F.count("*").alias("n_observations")
     )
     family = rules.select(*[F.col(c).alias(f"f_{c}") for c in rules.columns])
-    rows = rows.join(F.broadcast(rules), F.col("fact") == F.col("p_fact"), "left").join(F.broadcast(family), F.substring_index("fact", ".", 1) == F.col("f_p_fact"), "left")
+    rows = rows.join(rules, F.col("fact") == F.col("p_fact"), "left").join(family, F.substring_index("fact", ".", 1) == F.col("f_p_fact"), "left")
     strategy, resolution, gold, preferred = (F.coalesce(F.col(c), F.col(f"f_{c}")) for c in ("strategy", "p_resolution", "p_gold", "preferred"))
     single = (F.col("values") == 1) & ~F.col("ambiguous")
     agreed = single & (F.col("parsers") >= 2)

@@ -46,10 +46,10 @@ def matches(requires: Column, ratio: Column, triggers: Column, least: Column) ->
 def plan(requests: DataFrame, rule_table: DataFrame, able: DataFrame) -> DataFrame:
     """doc_id, parser_id, rule_no (of the first rule that chose it), purposes (required capabilities it serves, sorted)."""
     r = rule_table.select("rule_no", "triggers", F.col("parser_id").alias("parser"), "least_ratio")
-    rows = requests.join(F.broadcast(r), matches(F.col("requires"), F.col("native_ratio"), F.col("triggers"), F.col("least_ratio")))
+    rows = requests.join(r, matches(F.col("requires"), F.col("native_ratio"), F.col("triggers"), F.col("least_ratio")))
     rows = rows.withColumn("purpose", F.explode(F.array_intersect("requires", "triggers")))
     a = able.select(F.col("parser_id").alias("a_"), F.col("capability").alias("k_"))
-    rows = rows.join(F.broadcast(a), (F.col("parser") == F.col("a_")) & (F.col("purpose") == F.col("k_")), "left_semi")
+    rows = rows.join(a, (F.col("parser") == F.col("a_")) & (F.col("purpose") == F.col("k_")), "left_semi")
     return rows.groupBy("doc_id", F.col("parser").alias("parser_id")).agg(F.min("rule_no").alias("rule_no"), F.array_join(F.sort_array(F.collect_set("purpose")), ",").alias("purposes"))
 
 
@@ -60,7 +60,7 @@ def validate(requests: DataFrame, chosen: DataFrame, able: DataFrame, budget: in
     """
     need = requests.select(F.col("doc_id").alias("d_"), F.explode("requires").alias("need"))
     a = able.select(F.col("parser_id").alias("a_"), F.col("capability").alias("k_"))
-    marked = chosen.join(F.broadcast(a.withColumn("able_", F.lit(True))), (F.col("parser_id") == F.col("a_")) & (F.col("purpose") == F.col("k_")), "left")
+    marked = chosen.join(a.withColumn("able_", F.lit(True)), (F.col("parser_id") == F.col("a_")) & (F.col("purpose") == F.col("k_")), "left")
     covered = marked.where("able_").select(F.col("doc_id").alias("cd_"), F.col("purpose").alias("cp_")).distinct()
     lacking = need.join(covered, (F.col("d_") == F.col("cd_")) & (F.col("need") == F.col("cp_")), "left_anti").groupBy("d_").agg(F.count("*").alias("lacking"))
     runs = marked.groupBy(F.col("doc_id").alias("m_")).agg(F.count_distinct("parser_id").alias("runs"), F.count_if(F.col("able_").isNull()).alias("unable"))
@@ -100,5 +100,5 @@ def select_target(requests: DataFrame, targets: DataFrame) -> DataFrame:
     ``requests``: request_id, classification, permit_remote; ``targets``: ord, target_id, local, healthy.
     """
     guarded = F.col("classification").isin("sensitive", "restricted", "confidential") & ~F.col("permit_remote")
-    rows = requests.join(F.broadcast(targets.where("healthy")), F.col("local") | ~guarded, "left")
+    rows = requests.join(targets.where("healthy"), F.col("local") | ~guarded, "left")
     return rows.groupBy("request_id").agg(F.min_by("target_id", "ord").alias("target_id"))

@@ -136,10 +136,15 @@ def violations(spans: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cache_identity(spans: DataFrame) -> DataFrame:
-    """strategy, cache_id: the SHA-256 of a view's spans in order, whatever order its rows come in."""
+    """strategy, cache_id: the SHA-256 of a view's spans, whatever order its rows come in.
+
+    Segments are hashed first, then put together by the first two bytes of the hash, so
+    no task holds more than the hashes of a 65,536th of a view's segments.
+    """
     row = F.concat_ws("\x1f", "segment_id", "role", F.format_string("%06d", F.col("ord")), "node_id", "char_start", "char_end")
     per_segment = spans.groupBy("strategy", "segment_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\x1e"), 256).alias("h"))
-    return per_segment.groupBy("strategy").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment_id", "h"))), lambda x: x["h"]), ""), 256).alias("cache_id"))
+    parts = per_segment.groupBy("strategy", F.substring("h", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("p"))
+    return parts.groupBy("strategy").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "p"))), lambda x: x["p"]), ""), 256).alias("cache_id"))
 
 
 def all_views(*views: DataFrame) -> DataFrame:

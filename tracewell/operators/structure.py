@@ -6,14 +6,16 @@ windows run inside a document, so one exchange by ``doc_id`` serves them all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tracewell.functions import text as T
 
-#: Heading levels that stacks are kept for; deeper ones count as this one.
-LEVELS = 8
-
 
 def document_order(*keys: str) -> Window:
     return Window.partitionBy(*(keys or ("doc_id",))).orderBy("pos")
@@ -58,36 +60,86 @@ def fragments(blocks: DataFrame) -> DataFrame:
 
 
 def sentence_spans(blocks: DataFrame) -> DataFrame:
-    """doc_id, pos, sentence, char_start, char_end: half-open spans that end before the white space."""
-    marked = F.split(F.regexp_replace("text", T.SENTENCE_GAP, "\x01$1"), "\x01")
-    pieces = blocks.select("doc_id", "pos", F.posexplode(marked).alias("n", "piece"))
-    before = Window.partitionBy("doc_id", "pos").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))
-    bare = F.regexp_replace("piece", r"(?U)^\s+", "")
-    spans = pieces.select("doc_id", "pos", "n", bare.alias("bare"), (at + F.length("piece")).alias("char_end"))
-    spans = spans.where("bare <> ''").withColumn("char_start", F.col("char_end") - F.length("bare"))
-    order = Window.partitionBy("doc_id", "pos").orderBy("n")
-    return spans.select("doc_id", "pos", (F.row_number().over(order) - 1).alias("sentence"), F.col("char_start").cast("int"), F.col("char_end").cast("int"))
-
-
-def _by_level(pick) -> Column:
-    """``pick(level)`` of the row's own level."""
-    out = pick(LEVELS)
-    for level in range(LEVELS - 1, 0, -1):
-        out = F.when(F.col("level") <= level, pick(level)).otherwise(out)
-    return out
+    """doc_id, pos, sentence, char_start, char_end: half-open spans that end before the white space.
+
+    Offsets are summed within the row, so no text is shuffled.
+    """
+    pieces = F.split(F.regexp_replace("text", T.SENTENCE_GAP, "\x01$1"), "\x01")
+    rows = blocks.select("doc_id", "pos", pieces.alias("p_")).withColumn("w_", F.transform("p_", lambda x: F.length(F.regexp_replace(x, r"(?U)^\s+", ""))))
+    rows = rows.withColumn("e_", F.arrow_udf(_ends, "array<int>")(F.transform("p_", F.length)))
+    spans = F.filter(F.zip_with("w_", "e_", lambda w, e: F.struct((e - w).alias("s"), e.alias("e"))), lambda x: x["s"] < x["e"])
+    return rows.select("doc_id", "pos", F.posexplode(spans).alias("sentence", "x_")).select("doc_id", "pos", "sentence", F.col("x_.s").alias("char_start"), F.col("x_.e").alias("char_end"))
+
+
+def _ends(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Running sums within each list."""
+    for batch in batches:
+        yield pa.array([None if x is None else list(accumulate(x)) for x in batch.to_pylist()], pa.list_(pa.int32()))
+
+
+def _nest(keys: list, positions: list, levels: list) -> tuple[list, list]:
+    """For headings in order of document and place: the last earlier one of a lower level, and the next one of the same or a lower."""
+    parents, following = [None] * len(keys), [None] * len(keys)
+    stack: list[int] = []
+    for i, (key, level) in enumerate(zip(keys, levels)):
+        if i and key != keys[i - 1]:
+            stack.clear()
+        while stack and levels[stack[-1]] >= level:
+            following[stack.pop()] = positions[i]
+        if stack:
+            parents[i] = positions[stack[-1]]
+        stack.append(i)
+    return parents, following
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by document and place, with both columns of :func:`_nest`; a document that goes on is held back."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        at = table.column("pos").type
+        both = _nest(*(table.column(c).to_pylist() for c in ("doc_id", "pos", "level")))
+        yield from table.append_column("parent_pos", pa.array(both[0], at)).append_column("next_pos", pa.array(both[1], at)).combine_chunks().to_batches()
+
+    for batch in batches:
+        ids = batch.column("doc_id")
+        last, cut = ids[-1], batch.num_rows - 1
+        while cut and ids[cut - 1] == last:
+            cut -= 1
+        if held and (cut or held[-1].column("doc_id")[-1] != last):
+            held.append(batch.slice(0, cut))
+            yield from out()
+            held = [batch.slice(cut)]
+        elif cut:
+            held = [batch.slice(0, cut)]
+            yield from out()
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield from out()
+
+
+def nested_sections(heads: DataFrame) -> DataFrame:
+    """The headings with ``parent_pos``, the last earlier heading of a lower level, and ``next_pos``, the next one of their level or a lower.
+
+    One pass with a stack over the sorted headings of a document, at any depth and
+    number of headings; a heading without a level is none and goes.
+    """
+    rows = heads.where("level is not null").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    kind = rows.schema["pos"].dataType
+    return rows.mapInArrow(_nested, StructType([*rows.schema.fields, StructField("parent_pos", kind), StructField("next_pos", kind)]))
 
 
 def section_parents(heads: DataFrame) -> DataFrame:
     """The headings with ``parent_pos``: the last earlier heading of a lower level, null at the top."""
-    before = document_order().rowsBetween(Window.unboundedPreceding, -1)
-    return heads.withColumn("parent_pos", _by_level(lambda level: F.last(F.when(F.col("level") < level, F.col("pos")), ignorenulls=True).over(before)))
+    return nested_sections(heads).drop("next_pos")
 
 
 def section_spans(heads: DataFrame, lengths: DataFrame) -> DataFrame:
     """The headings with ``end_pos``, the block before the next heading of their level or a lower one, else the last."""
-    after = document_order().rowsBetween(1, Window.unboundedFollowing)
-    found = heads.withColumn("next_pos", _by_level(lambda level: F.first(F.when(F.col("level") <= level, F.col("pos")), ignorenulls=True).over(after)))
+    found = nested_sections(heads).drop("parent_pos")
     return found.join(lengths, "doc_id").withColumn("end_pos", F.coalesce(F.col("next_pos") - 1, F.col("last_pos"))).drop("next_pos", "last_pos")
 
 

@@ -49,7 +49,7 @@ def gold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gold_split(relations(spark, sf_dir).withColumn("status", F.lower("status"))).select("relation_id", "bucket")
 
 
-_IDS = "i AS (SELECT DISTINCT 'u' || c_custkey AS id FROM customer WHERE c_nationkey < 5)"
+_IDS = "i AS (SELECT DISTINCT 'u' || c_custkey AS id FROM customer)"
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,12 @@ def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.neighbours_of(edges(spark, sf_dir))
 
 
-@query(f"""WITH {_RELATIONS}, k AS (SELECT 'u' || c_custkey AS id FROM customer)
+@query(f"""WITH {_RELATIONS}, k AS (SELECT 'u' || c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT 'relations' AS table_name, CAST(relation_id AS VARCHAR) AS row_key, 'source_id' AS column_name, source_id AS value FROM r WHERE source_id NOT IN (SELECT id FROM k)
 UNION ALL SELECT 'relations', CAST(relation_id AS VARCHAR), 'target_id', target_id FROM r WHERE target_id NOT IN (SELECT id FROM k)""")
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "customer").select(F.expr("concat('u', c_custkey)").alias("id"))
+    """Relations of users, against a table of users that lacks those of one segment."""
+    known = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.expr("concat('u', c_custkey)").alias("id"))
     return C.dangling(relations(spark, sf_dir), "relations", "relation_id", [("source_id", known, "id"), ("target_id", known, "id")])
 
 
@@ -150,7 +151,7 @@ def resolve_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir)
 
 
-@query("""WITH r AS (SELECT p_brand AS fam, p_partkey AS rid, p_partkey % 4 <> 0 AS versioned FROM part), d AS (SELECT DISTINCT l_partkey AS rid, CAST(l_linenumber AS VARCHAR) AS number FROM lineitem WHERE l_quantity > 40),
+@query("""WITH r AS (SELECT p_brand AS fam, p_partkey AS rid, p_partkey % 4 <> 0 AS versioned FROM part), d AS (SELECT DISTINCT l_partkey AS rid, CAST(l_linenumber AS VARCHAR) AS number FROM lineitem),
 a AS (SELECT DISTINCT p_brand || '#' || k AS address_id, p_brand AS fam, CAST(k AS VARCHAR) AS ref FROM part, (SELECT unnest(range(1, 9)) AS k)),
 j AS (SELECT a.address_id, r.rid, r.rid % 3 <> 0 AS allowed FROM a LEFT JOIN (SELECT r.fam, r.rid, d.number FROM r JOIN d USING (rid) WHERE versioned) r ON r.fam = a.fam AND r.number = a.ref),
 g AS (SELECT address_id, count(rid) AS candidates, count(rid) FILTER (allowed) AS al, min(rid) AS one FROM j GROUP BY address_id)
@@ -158,7 +159,7 @@ SELECT address_id, CASE WHEN candidates = 0 THEN 'unresolved' WHEN al = 0 THEN '
 def resolve_logical(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     resources = part.select(F.col("p_partkey").alias("resource_id"), F.col("p_brand").alias("family_id"), F.when(F.expr("p_partkey % 4 <> 0"), "1").alias("version"))
-    divisions = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("resource_id"), F.col("l_linenumber").cast("string").alias("number"))
+    divisions = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("resource_id"), F.col("l_linenumber").cast("string").alias("number"))
     addresses = part.select("p_brand").distinct().select("p_brand", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).select(F.expr("concat(p_brand, '#', k)").alias("address_id"), F.col("p_brand").alias("resource_family_id"), F.col("k").cast("string").alias("division_reference"))
     forbidden = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("resource_id"))
     return G.resolve_logical(addresses, resources, divisions, forbidden)

@@ -55,7 +55,7 @@ def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASSETS = "a AS (SELECT o_orderkey AS asset_id, 'c' || o_custkey AS bundle_id, o_orderpriority AS name, o_orderstatus = 'P' AS deleted FROM orders)"
 
 
-@query(f"WITH RECURSIVE {BUNDLES}, {CLOSURE}, {_ASSETS} SELECT root, asset_id, bundle_id FROM c JOIN a ON c.node = a.bundle_id WHERE root IN ('r1', 'n7', 'n8')")
+@query(f"WITH RECURSIVE {BUNDLES}, {CLOSURE}, {_ASSETS} SELECT root, asset_id, bundle_id FROM c JOIN a ON c.node = a.bundle_id")
 def bundle_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = bundles(spark, sf_dir)
     return C.bundle_assets(tree, _assets(spark, sf_dir), tree.select(F.col("bundle_id").alias("root_id"))).select("root", "asset_id", "bundle_id")

@@ -118,7 +118,7 @@ def block_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _observations(spark, sf_dir)
-    return rows.withColumn("group_id", F.substring("region_id", 2, 1000)).withColumn("ambiguous", F.expr("length(region_id) % 7 = 0")).withColumn("unsafe", F.expr("fact = 'text' and parser_id = 'structure' and length(region_id) % 5 = 0"))
+    return rows.withColumn("group_id", F.expr("substring(region_id, 2)")).withColumn("ambiguous", F.expr("length(region_id) % 7 = 0")).withColumn("unsafe", F.expr("fact = 'text' and parser_id = 'structure' and length(region_id) % 5 = 0"))
 
 
 _DECIDED = f"""f AS (SELECT parser_id, region_id, unnest(['text', 'object_type', 'reading_order', 'native_link_target']) AS fact, unnest([text, block_type, CAST(pos AS VARCHAR), CASE WHEN parser_id = 'geometry' THEN anchor END]) AS value FROM x),

@@ -141,7 +141,7 @@ def _row(order: str) -> str:
 
 
 @query(f"""WITH {LINES}, {_NODES}, s AS (SELECT {_id('paragraph', 'row_number() OVER (PARTITION BY doc_id ORDER BY sequence_number)')} AS segment_id, node_id, n_chars FROM n WHERE node_kind = 'paragraph'),
-h AS (SELECT segment_id, sha256({_row('0')}) AS h FROM s) SELECT 'paragraph' AS strategy, sha256(string_agg(h, '' ORDER BY segment_id)) AS cache_id FROM h""")
+h AS (SELECT segment_id, sha256({_row('0')}) AS h FROM s), bk AS (SELECT substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS p FROM h GROUP BY ALL) SELECT 'paragraph' AS strategy, sha256(string_agg(p, '' ORDER BY b)) AS cache_id FROM bk""")
 def seg_cache_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cache_identity(G.paragraphs(nodes(spark, sf_dir)))
 

@@ -16,14 +16,13 @@ from tracewell.operators import references as R
 from tracewell.operators import structure as S
 from tracewell.queries.registry import LINES, lines, query, sid, table
 
-_MARKS = {0: "1.2. ", 1: "Figure 3-1. ", 2: "Footnote 4 — ", 3: "https://example.com/a ", 4: "• ", 5: "NOTE-A1 ", 6: "Appendix B. "}
+#: Numbers of the headings, at every ninth line: one to twelve levels in a fixed turn.
+_NUMBERS = {9 * k: ".".join(str(n + 1) for n in range(k + 1)) + ". " for k in range(12)}
+_MARKS = {1: "Figure 3-1. ", 2: "Footnote 4 — ", 3: "https://example.com/a ", 4: "• ", 5: "NOTE-A1 ", 6: "Appendix B. "}
 _OBSERVED = ("text", "table", "list", "page_header")
 #: mark and observed type by position, in both languages
-_MARK = "CASE pos % 9 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _MARKS.items()) + " ELSE '' END"
+_MARK = "CASE pos % 9 WHEN 0 THEN CASE (pos * 5) % 108 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _NUMBERS.items()) + " END " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _MARKS.items()) + " ELSE '' END"
 _SEEN = "CASE (pos + doc_id) % 4 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_OBSERVED)) + " END"
-#: level of a line as heading; every third line is one
-_LEVEL = "CAST(1 + (pos * 7 + doc_id) % 4 AS INT)"
-_HEADS = f"h AS (SELECT doc_id, pos, {_LEVEL} AS level FROM l WHERE pos % 3 = 0)"
 _BOX = {"x0": "10.0", "y0": "20.0 * pos", "x1": "10.0 + least(500.0, 5.0 * length(line))", "y1": "20.0 * pos + 14.0"}
 
 
@@ -35,12 +34,17 @@ _MARKED = f"m AS (SELECT doc_id, pos, {_MARK} || line AS text, {_SEEN} AS observ
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where("pos % 3 = 0").select("doc_id", "pos", F.expr(_LEVEL).alias("level"))
+    """The headings found in the marked lines."""
+    return S.headings(marked(spark, sf_dir)).select("doc_id", "pos", "level")
 
 
 _NUM = r"'^(?:Appendix\s+)?([A-Z](?:[.]\d+)*|(?:\d+[.])*\d+)[.]\s+(\S.*)$'"
 
 
+_HEADS = f"""{_MARKED}, h AS (SELECT doc_id, pos, CAST(length(number) - length(replace(number, '.', '')) + 1 AS INTEGER) AS level
+FROM (SELECT doc_id, pos, nullif(regexp_extract(trim(text), {_NUM}, 1), '') AS number FROM m) WHERE number IS NOT NULL)"""
+
+
 @query(f"""WITH {LINES}, {_MARKED}, n AS (SELECT *, nullif(regexp_extract(trim(text), {_NUM}, 1), '') AS number, regexp_extract(trim(text), {_NUM}, 2) AS title FROM m)
 SELECT doc_id, pos, number, title, CAST(length(number) - length(replace(number, '.', '')) + 1 AS INTEGER) AS level FROM n WHERE number IS NOT NULL""")
 def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +111,7 @@ SELECT s.doc_id, s.pos, s.level, s.end_pos, CASE WHEN min(t.pos) FILTER (t.pos <
   min(t.pos) FILTER (t.pos < end_pos) AS continues_from, min(t.nx) FILTER (t.pos < end_pos) AS continues_to
 FROM s LEFT JOIN t ON s.doc_id = t.doc_id AND t.pos BETWEEN s.pos AND s.end_pos GROUP BY s.doc_id, s.pos, s.level, s.end_pos""")
 def section_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = lines(spark, sf_dir).select("doc_id", "pos", F.expr("pos div 5").alias("page"), F.when(F.expr("pos % 3 = 0"), F.expr(_LEVEL)).alias("level"))
+    blocks = marked(spark, sf_dir).select("doc_id", "pos", F.expr("pos div 5").alias("page"), T.heading_level(T.heading_number(F.col("text"))).alias("level"))
     return S.section_continuation(_spans(spark, sf_dir), blocks)
 
 
@@ -150,12 +154,12 @@ def footnote_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.footnote_markers(blocks).select("doc_id", "page", "pos", "marker_pos")
 
 
-@query(f"""WITH {LINES}, t AS (SELECT doc_id, pos, pos // 4 AS page, CASE WHEN pos % 4 = 0 AND doc_id % 2 = 0 THEN '2. ' ELSE '' END || line AS text, 20.0 * (pos % 4) + 14 AS y1 FROM l),
+@query(f"""WITH {LINES}, t AS (SELECT doc_id, pos, pos // 4 AS page, CASE WHEN pos % 4 = 0 AND doc_id % 2 = 0 THEN '2. ' ELSE '' END || line AS text, 20.0 * (pos % 4) + 14 + CASE WHEN pos % 8 > 3 THEN 30 ELSE 0 END AS y1 FROM l),
 p AS (SELECT doc_id, page, arg_min(text, pos) AS f, arg_max(text, pos) AS z, max(pos) AS pos, arg_max(y1, pos) AS bottom FROM t GROUP BY ALL),
 q AS (SELECT *, lead(f) OVER (PARTITION BY doc_id ORDER BY page) AS nf FROM p)
-SELECT doc_id, CAST(page AS INTEGER) AS page, pos FROM q WHERE regexp_matches(trim(nf), {_NUM}) AND bottom <= 200 * 0.3 AND regexp_matches(z, '[.!?]\\s+\\S')""")
+SELECT doc_id, CAST(page AS INTEGER) AS page, pos FROM q WHERE regexp_matches(trim(nf), {_NUM}) AND bottom <= 300 * 0.3 AND regexp_matches(z, '[.!?]\\s+\\S')""")
 def early_page_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = lines(spark, sf_dir).select("doc_id", "pos", F.expr("pos div 4").cast("int").alias("page"), F.expr("concat(if(pos % 4 = 0 and doc_id % 2 = 0, '2. ', ''), line)").alias("text"), F.expr("20.0 * (pos % 4) + 14").alias("y1"), F.lit(200.0).alias("height"))
+    blocks = lines(spark, sf_dir).select("doc_id", "pos", F.expr("pos div 4").cast("int").alias("page"), F.expr("concat(if(pos % 4 = 0 and doc_id % 2 = 0, '2. ', ''), line)").alias("text"), F.expr("20.0 * (pos % 4) + 14 + CASE WHEN pos % 8 > 3 THEN 30 ELSE 0 END").alias("y1"), F.lit(300.0).alias("height"))
     return S.early_page_ends(blocks)
 
 
@@ -269,8 +273,8 @@ def figure_caption_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.figure_captions(blocks.where("pos % 4 = 0"), blocks.where("pos % 4 = 2"))
 
 
-@query(f"""WITH {LINES}, {_HEADS}, {_SPANS}, m AS (SELECT s.doc_id, l.pos AS block, s.pos AS section, s.level FROM s JOIN l ON s.doc_id = l.doc_id AND l.pos BETWEEN s.pos AND s.end_pos),
-d AS (SELECT *, max(level) OVER (PARTITION BY doc_id, block) AS d FROM m)
+@query(f"""WITH {LINES}, {_HEADS}, {_SPANS}, mm AS (SELECT s.doc_id, l.pos AS block, s.pos AS section, s.level FROM s JOIN l ON s.doc_id = l.doc_id AND l.pos BETWEEN s.pos AND s.end_pos),
+d AS (SELECT *, max(level) OVER (PARTITION BY doc_id, block) AS d FROM mm)
 SELECT doc_id, block, min(section) AS section, count(DISTINCT section) > 1 AS tied FROM d WHERE level = d GROUP BY doc_id, block""")
 def deepest_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir).select(F.col("doc_id").alias("d_"), F.col("pos").alias("section"), "level", "end_pos")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.plans.lineage import written
 
 Parser = Callable[[bytes], list[tuple[str | None, str]]]
 PAGES = "path string, parser_id string, page int, label string, text string, error string"
@@ -74,7 +75,8 @@ def route(files: DataFrame, mode: str, candidates: tuple[str, ...], parsers: dic
         raise ValueError(f"no mode is called {mode}")
     done, rest = [], files
     for c in candidates:
-        now = parse(rest, c, parsers)
+        # Written, since both what it read and what it left are used; a parser runs once on a file.
+        now = written(parse(rest, c, parsers), "pages")
         done.append(now.where("error is null"))
         rest = rest.join(now.where("error is not null").select(F.col("path").alias("f_")).distinct(), F.col("path") == F.col("f_"), "left_semi")
     failed = now.where("error is not null")
