@@ -14,7 +14,7 @@ OBS = "group_id string, fact string, parser_id string, value string, ambiguous b
     [
         ([("text", "a", "x"), ("text", "b", "x")], ("agreement", "x", "exact-typed-value", None, True)),
         ([("native_link_target", "a", "u")], ("complementary", "u", "retain-complementary-fact", None, True)),
-        ([("blocks", "a", "2"), ("blocks", "b", "1")], ("conflict", None, "keep-both-segmentations", None, False)),
+        ([("blocks", "a", "2"), ("blocks", "b", "1")], ("conflict", None, "align-by-source-span-then-preserve-both-segmentation-observations", None, False)),
         ([("reading_order", "a", "1"), ("reading_order", "b", "2")], ("unresolved", None, "unresolved-reading-order", "selective-review-or-third-parser", False)),
         ([("bbox", "a", "1"), ("bbox", "b", "2")], ("conflict", None, "fact-specific-policy", None, False)),
         ([("object_type", "a", "table"), ("object_type", "b", "text")], ("conflict", "table", "richer-validated-structure", None, False)),

@@ -72,3 +72,16 @@ def resolve(document: Column, pointer: Column) -> Column:
 def strict(document: Column) -> Column:
     """Whether a text is JSON without repeated keys."""
     return F.try_parse_json(document).isNotNull()
+
+
+#: Names of fields that could hold a source's text a second time.
+COPY_FIELDS = ("text", "content", "excerpt", "quote", "body", "source_text", "normalized_text", "embedding")
+
+
+def copies_text(raw: Column) -> Column:
+    """Whether a JSON text has, at any depth, a field that could hold source text; null if it is no JSON."""
+    names = "|".join(COPY_FIELDS)
+    # Strings are taken whole, so that no quote inside one counts; those before a colon are names and stay.
+    text = r'"(?:[^"\\]|\\.)*+"'
+    bare = F.regexp_replace(raw, rf"({text}\s*+:)|{text}", "$1")
+    return F.when(F.try_parse_json(raw).isNotNull(), bare.rlike(rf'"(?:{names})"\s*:'))

@@ -105,6 +105,17 @@ def is_date(text: Column) -> Column:
     return text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
 
 
+def public_source(url: Column, retrieved_on: Column) -> Column:
+    """Whether evidence names a public web address, without user or password and not of the own network, and a real date.
+
+    Addresses in digits count as public unless they are of a range set apart.
+    """
+    host = F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?#@:]+)(?::\d+)?(?:[/?#].*)?$", 1))
+    number = r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2\d|3[01])|22[4-9]|2[3-5]\d)\."
+    public = (host != "") & (host != "localhost") & ~host.endswith(".local") & ~(host.rlike(r"^\d+(?:\.\d+){3}$") & host.rlike(number))
+    return F.coalesce(public & is_date(retrieved_on), F.lit(False))
+
+
 def stable_id(*parts: Column) -> Column:
     """16 hexadecimal signs of the SHA-256 of the parts, a null being empty."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)

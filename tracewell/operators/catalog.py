@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from tracewell.functions import text as T
 from tracewell.operators.hierarchy import below
 
 LOCAL_PATH = r"^(/|~|\.{1,2}(/|$)|[A-Za-z]:[\\/]|\\\\|file:)"
+PATH_WORDS = ("path", "dir", "directory", "folder", "file", "root", "cache")
 SECRET_WORDS = ("password", "passwd", "secret", "token", "credential", "credentials", "apikey")
 
 
@@ -124,6 +131,71 @@ def safe_configuration(configuration: DataFrame) -> DataFrame:
     return configuration.where(~is_secret_key(F.col("key")) & ~F.coalesce(F.col("value").rlike(LOCAL_PATH), F.lit(False)))
 
 
+#: Bounds of a parser's configuration: depth, values, entries of one map or list, signs of a text and of a key.
+CONFIGURATION_BOUNDS = (32, 4096, 1024, 4096, 128)
+
+
+def _problem(raw: str | None) -> str | None:
+    """The first thing wrong with a configuration in JSON, or None. Depth and size are checked before anything is kept."""
+    depth_bound, value_bound, entry_bound, text_bound, key_bound = CONFIGURATION_BOUNDS
+    try:
+        top = json.loads(raw or "", parse_constant=lambda name: float("nan"))
+    except (ValueError, RecursionError):
+        return "not-json"
+    if not isinstance(top, dict):
+        return "not-a-mapping"
+    seen, todo = 0, [(top, 0, False)]
+    while todo:
+        item, depth, pathlike = todo.pop()
+        seen += 1
+        if seen > value_bound:
+            return "too-many-values"
+        if depth > depth_bound:
+            return "too-deep"
+        if isinstance(item, float) and not math.isfinite(item):
+            return "number-not-finite"
+        if isinstance(item, str):
+            if len(item) > text_bound:
+                return "text-too-long"
+            if pathlike and re.match(LOCAL_PATH, item):
+                return "local-path"
+        elif isinstance(item, (dict, list)) and len(item) > entry_bound:
+            return "collection-too-large"
+        elif isinstance(item, dict):
+            for key, inner in item.items():
+                if not key or len(key) > key_bound:
+                    return "key-not-bounded"
+                spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", key)
+                words = [w for w in re.split(r"[^a-z0-9]+", spaced.lower()) if w]
+                if set(words) & set(SECRET_WORDS) or any(f" {x} " in f" {' '.join(words)} " for x in ("api key", "private key", "run id", "job id")):
+                    return "forbidden-key"
+                todo.append((inner, depth + 1, bool(set(words) & set(PATH_WORDS))))
+        elif isinstance(item, list):
+            todo += [(inner, depth, False) for inner in item]
+    return None
+
+
+def _problems(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([_problem(x) for x in batch.to_pylist()], pa.string())
+
+
+def configuration_problem(raw: Column) -> Column:
+    """What keeps a nested configuration in JSON from being part of an identity, or null: shape, depth, size, secrets, local paths."""
+    return F.arrow_udf(_problems, "string")(raw)
+
+
+def authorised(requests: DataFrame, grants: DataFrame) -> DataFrame:
+    """Requests (request_id, owner_id, action) with ``allowed`` and ``reason``: the newest grant of the owner and action decides, none denies.
+
+    ``grants``: owner_id, action, allowed, policy_version.
+    """
+    latest = grants.groupBy(F.col("owner_id").alias("o_"), F.col("action").alias("a_")).agg(F.max_by("allowed", "policy_version").alias("g_"), F.max("policy_version").alias("policy_version"))
+    rows = requests.join(latest, (F.col("owner_id") == F.col("o_")) & (F.col("action") == F.col("a_")), "left")
+    reason = F.when(F.col("g_").isNull(), "no-grant").when(F.col("g_"), "granted").otherwise("denied")
+    return rows.select("request_id", F.coalesce("g_", F.lit(False)).alias("allowed"), reason.alias("reason"), "policy_version")
+
+
 def limit_violations(documents: DataFrame, limits: DataFrame) -> DataFrame:
     """doc_id, rule, actual, allowed of documents beyond the limits (rule, allowed) on size and pages."""
     facts = documents.select("doc_id", F.expr("stack(2, 'max_bytes', cast(size as bigint), 'max_pages', cast(pages as bigint)) as (rule, actual)"))

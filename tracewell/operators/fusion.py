@@ -6,6 +6,8 @@ value.  Alignment pairs are found by equality joins and never by pairing all reg
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +21,12 @@ STATES = tuple("agreement complementary conflict unresolved".split())
 #: fact, strategy, resolution, gold on acceptance, preferred value
 POLICIES = (
     ("bbox", "preserve-conflict", "fact-specific-policy", False, None),
-    ("blocks", "preserve-segmentation-variants", "keep-both-segmentations", False, None),
+    ("blocks", "preserve-segmentation-variants", "align-by-source-span-then-preserve-both-segmentation-observations", False, None),
     ("native_link_target", "retain-complementary", "retain-complementary-fact", True, None),
     ("object_type", "prefer-explicit-value", "richer-validated-structure", False, "table"),
     ("owner_division", "retain-complementary", "retain-complementary-fact", True, None),
     ("reading_order", "require-review", "unresolved-reading-order", False, None),
-    ("segmentation", "preserve-segmentation-variants", "keep-both-segmentations", False, None),
+    ("segmentation", "preserve-segmentation-variants", "align-by-source-span-then-preserve-both-segmentation-observations", False, None),
     ("text", "exact-agreement", "exact-typed-value", False, None),
 )
 
@@ -58,15 +60,93 @@ def align_exact(regions: DataFrame, keys: list[str], method: str) -> DataFrame:
     return pairs.select(F.col("l_region_id").alias("left_id"), F.col("r_region_id").alias("right_id"), F.lit(method).alias("method"), F.when((peers_left == 1) & (peers_right == 1), "exact").otherwise("ambiguous").alias("status"))
 
 
-def align_by_priority(regions: DataFrame, steps: list[tuple[str, list[str]]]) -> DataFrame:
-    """The steps' alignments in order; a region that a step paired, even ambiguously, is left out of later ones."""
-    found, rest = None, regions
-    for method, keys in steps:
-        now = align_exact(rest, keys, method)
-        found = now if found is None else found.unionByName(now)
-        used = now.select(F.col("left_id").alias("u_")).union(now.select("right_id")).distinct()
-        rest = rest.join(used, F.col("region_id") == F.col("u_"), "left_anti")
-    return found
+#: What a pair of regions may agree in, the strongest first, by the name its evidence gets.
+METHODS = ("exact-resource-page-anchor", "exact-selector", "exact-character-span", "exact-relation-signature", "bbox-iou-mutual-best", "exact-text-digest-occurrence")
+SHARED_ID = "exact-source-region-id"
+_PLACE = ("resource_id", "page", "anchor", "char_start", "char_end", "box")
+
+
+def _equal(rows: DataFrame, keys: list[str], priority: int) -> DataFrame:
+    """Pairs of regions without a common parser that agree in ``keys``, nulls being equal."""
+    left = rows.select(F.col("region_id").alias("left_id"), F.col("parsers").alias("left_parser"), *[F.col(k).alias(f"l_{k}") for k in keys])
+    right = rows.select(F.col("region_id").alias("right_id"), F.col("parsers").alias("right_parser"), *[F.col(k).alias(f"r_{k}") for k in keys])
+    both = left.join(right, [*[F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for k in keys], F.col("left_id") < F.col("right_id")])
+    apart = ~F.arrays_overlap(F.split("left_parser", "[|]"), F.split("right_parser", "[|]"))
+    shown = F.col("l_selector") if "selector" in keys else F.lit("")
+    return both.where(apart).select("left_id", "right_id", "left_parser", "right_parser", F.lit(priority).alias("priority"), F.lit(1.0).alias("score"), shown.alias("selector"))
+
+
+def candidates(regions: DataFrame) -> DataFrame:
+    """Each pair of regions of one kind with its strongest agreement: left_id, right_id, parsers, priority, score, selectors.
+
+    Six equality joins, one for each way to agree; boxes meet in bands (:func:`bbox_scores`),
+    and pairs of boxes that do not overlap are no candidates.
+    """
+    located = regions.where("kind <> 'relation' and resource_id is not null and page is not null and anchor is not null")
+    selected = regions.withColumn("selector", F.explode("selectors"))
+    spans = regions.where("char_start is not null")
+    signed = regions.where("kind = 'relation' and signature is not null")
+    nowhere = F.coalesce(F.size("selectors"), F.lit(0)) <= 0
+    for column in _PLACE:
+        nowhere = nowhere & F.col(column).isNull()
+    texts = regions.where((F.col("kind") == "generic") & F.col("digest").isNotNull() & nowhere)
+    boxes = regions.where("kind <> 'generic' and page is not null and box is not null").withColumn("doc_id", F.coalesce("resource_id", F.lit(""))).withColumnRenamed("parsers", "parser_id")
+    boxed = bbox_scores(boxes).where(~F.arrays_overlap(F.split("left_parser", "[|]"), F.split("right_parser", "[|]")))
+    boxed = boxed.select("left_id", "right_id", "left_parser", "right_parser", F.lit(5).alias("priority"), "score", F.lit("").alias("selector"))
+    found = _equal(located, ["kind", "resource_id", "page", "anchor"], 1).unionByName(_equal(selected, ["kind", "selector"], 2)).unionByName(_equal(spans, ["kind", "resource_id", "page", "char_start", "char_end"], 3))
+    found = found.unionByName(_equal(signed, ["kind", "signature"], 4)).unionByName(boxed).unionByName(_equal(texts, ["kind", "digest"], 6))
+    least = F.min(F.struct("priority", "score")).alias("least_")
+    shared = F.array_join(F.sort_array(F.collect_set(F.when(F.col("priority") == 2, F.col("selector")))), "|").alias("selectors_")
+    rows = found.groupBy("left_id", "right_id", "left_parser", "right_parser").agg(least, shared)
+    return rows.select("left_id", "right_id", "left_parser", "right_parser", F.col("least_.priority").alias("priority"), F.col("least_.score").alias("score"), F.when(F.col("least_.priority") == 2, F.col("selectors_")).otherwise("").alias("selectors"))
+
+
+def align(regions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Evidence that regions of several parsers are one: left_id, right_id, method, score, selectors, status.
+
+    ``regions``: region_id, parser_id, kind, resource_id, page, anchor, selectors, char_start,
+    char_end, signature, box, digest; a region that several parsers share is ``exact`` by
+    its id.  Agreements are settled from the strongest to the weakest.  A pair is exact if
+    each is the other's only one of its parsers, else all its pairs are ambiguous; boxes
+    take part as in :func:`mutual_best`.  What is settled, ambiguity too, supersedes
+    weaker pairs.  Every step is a table, so the plan has one scan of the regions.
+    """
+    rest = [c for c in regions.columns if c not in ("region_id", "parser_id", "selectors")]
+    whole = regions.groupBy("region_id").agg(F.array_join(F.sort_array(F.collect_set("parser_id")), "|").alias("parsers"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("selectors", F.array().cast("array<string>"))))).alias("selectors"), *[F.min(c).alias(c) for c in rest])
+    whole = written(whole, "regions")
+    names = whole.where(F.contains("parsers", F.lit("|"))).withColumn("p_", F.split("parsers", "[|]"))
+    pairs = names.select("region_id", F.explode("p_").alias("a_"), "p_").select("region_id", "a_", F.explode("p_").alias("b_")).where("a_ < b_")
+    out = [pairs.select(F.col("region_id").alias("left_id"), F.col("region_id").alias("right_id"), F.lit(SHARED_ID).alias("method"), F.lit(1.0).alias("score"), F.lit("").alias("selectors"), F.lit("exact").alias("status"))]
+    found = written(candidates(whole), "candidates")
+    settled = names.select(F.col("region_id").alias("u_"))
+    for priority, method in enumerate(METHODS, 1):
+        rows = found.where(F.col("priority") == priority)
+        for side in ("left", "right"):
+            rows = rows.join(settled.select(F.col("u_").alias(f"{side}_u")), F.col(f"{side}_id") == F.col(f"{side}_u"), "left")
+        free = F.col("left_u").isNull() & F.col("right_u").isNull()
+        columns = ["left_id", "right_id", F.lit(method).alias("method"), "score", "selectors", "status"]
+        late = rows.where(~free).withColumn("status", F.lit("superseded"))
+        live = rows.where(free).drop("left_u", "right_u")
+        if method.startswith("bbox"):
+            live = mutual_best(live, threshold).withColumn("selectors", F.lit("")).withColumn("status", F.when(F.col("status") == "accepted", "accepted-candidate").otherwise(F.col("status")))
+        else:
+            only = (F.count("*").over(Window.partitionBy("left_id", "right_parser")) == 1) & (F.count("*").over(Window.partitionBy("right_id", "left_parser")) == 1)
+            live = live.withColumn("status", F.when(only, "exact").otherwise("ambiguous"))
+        now = written(live.select(*columns).unionByName(late.select(*columns)), "evidence")
+        out.append(now)
+        taken = now.where(F.col("status").isin("exact", "accepted-candidate", "ambiguous")).select(F.explode(F.array("left_id", "right_id")).alias("u_"))
+        settled = written(settled.union(taken).distinct(), "settled")
+    return reduce(DataFrame.unionByName, out)
+
+
+def alignment_groups(regions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """region_id, group_id, members: regions joined by exact or accepted evidence; a lone one is its own group, others go by the hash of their ids."""
+    edges = evidence.where(F.col("status").isin("exact", "accepted-candidate") & (F.col("left_id") != F.col("right_id"))).select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
+    roots = aligned_groups(edges).withColumnRenamed("node", "n_")
+    rows = regions.select("region_id").distinct().join(roots, F.col("region_id") == F.col("n_"), "left").select("region_id", F.coalesce("root", "region_id").alias("root"))
+    groups = rows.groupBy("root").agg(F.sort_array(F.collect_set("region_id")).alias("m_"))
+    name = F.when(F.size("m_") == 1, F.get("m_", F.lit(0))).otherwise(F.concat(F.lit("group-"), F.sha2(F.array_join("m_", "\x1f"), 256)))
+    return groups.select(F.explode("m_").alias("region_id"), name.alias("group_id"), F.size("m_").alias("members"))
 
 
 def bbox_scores(regions: DataFrame) -> DataFrame:

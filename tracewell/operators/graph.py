@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.operators.hierarchy import closure
 
 CONCRETE = tuple("validated human-validated resolved observed accepted".split())
 UNSAFE = tuple("ambiguous unresolved contradicted rejected".split())
@@ -19,6 +20,11 @@ def is_gold(target: Column, status: Column, state: Column) -> Column:
     return target.isNotNull() & F.coalesce(status.isin(*CONCRETE) & ~status.isin(*UNSAFE) & ~F.coalesce(state, F.lit("")).isin(*UNSAFE), F.lit(False))
 
 
+def has_target(target: Column, status: Column) -> Column:
+    """The older rule for a relation that can be followed: a target that was seen or resolved."""
+    return target.isNotNull() & F.coalesce(F.lower(status).isin("observed", "resolved"), F.lit(False))
+
+
 def edges_from(edges: DataFrame, ids: DataFrame, gold_only: bool = True) -> DataFrame:
     """Edges that go out of ``ids`` (id)."""
     chosen = edges.where("gold_eligible") if gold_only else edges
@@ -32,12 +38,14 @@ def edges_to(edges: DataFrame, ids: DataFrame, gold_only: bool = True) -> DataFr
 
 
 def owners(resources: DataFrame, divisions: DataFrame, nodes: DataFrame, representations: DataFrame) -> DataFrame:
-    """target_id, kind, resource_id of everything an address can point to; a representation belongs to its subject's resource."""
+    """target_id, kind, resource_id of everything an address can point to; a representation belongs to its subject's resource, through as many representations as there are."""
     base = [resources.select(F.col("resource_id").cast("string").alias("target_id"), F.lit("resource").alias("kind"), "resource_id")]
     base += [t.select(F.col(k).cast("string").alias("target_id"), F.lit(kind).alias("kind"), "resource_id") for t, k, kind in ((divisions, "division_id", "division"), (nodes, "node_id", "node"))]
     known = reduce(DataFrame.unionByName, base)
     subjects = known.select(F.col("target_id").alias("s_"), F.col("resource_id").alias("o_"))
-    of = representations.join(subjects, F.col("subject_id") == F.col("s_")).select(F.col("representation_id").cast("string").alias("target_id"), F.lit("representation").alias("kind"), F.col("o_").alias("resource_id"))
+    chain = representations.select(F.col("representation_id").cast("string").alias("r_"), F.col("subject_id").cast("string").alias("b_"))
+    up = closure(chain, "r_", "b_").where("depth > 0").select(F.col("node").alias("target_id"), "root")
+    of = up.join(subjects, F.col("root") == F.col("s_")).select("target_id", F.lit("representation").alias("kind"), F.col("o_").alias("resource_id"))
     return known.unionByName(of)
 
 
@@ -54,6 +62,13 @@ def revision(*tables: tuple[str, DataFrame]) -> DataFrame:
     return parts.agg(F.concat(F.lit("sg-"), F.sha2(whole, 256)).alias("revision"))
 
 
+def revision_status(claims: DataFrame, *tables: tuple[str, DataFrame]) -> DataFrame:
+    """The claims (revision) with ``status``: current, stale for another graph's revision, forged for what is no revision at all."""
+    now = revision(*tables).select(F.col("revision").alias("now_"))
+    status = F.when(~F.coalesce(F.col("revision").rlike("^sg-[0-9a-f]{64}$"), F.lit(False)), "forged").when(F.col("revision") == F.col("now_"), "current").otherwise("stale")
+    return claims.join(F.broadcast(now)).withColumn("status", status).drop("now_")
+
+
 def strong_addresses(nodes: DataFrame) -> DataFrame:
     """One address per node and its exact span: address_id, source_sha256, resource_id, node_id, char_start, char_end."""
     return nodes.select(F.concat(F.lit("addr-"), T.stable_id(F.col("source_sha256"), F.col("node_id"), F.col("char_start"), F.col("char_end"))).alias("address_id"), "source_sha256", "resource_id", "node_id", "char_start", "char_end")

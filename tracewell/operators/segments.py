@@ -125,16 +125,37 @@ def reconstruct(spans: DataFrame, nodes: DataFrame, separator: str = "\n") -> Da
     return rows.groupBy("segment_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s_")), lambda s: s["t"]), separator).alias("text"))
 
 
+#: The roles that spans of a strategy have.
+ROLES = {"paragraph": ("span",), "direct-division": ("span",), "parser-native": ("span",), "fixed-size": ("span",), "sentence-window": ("seed", "context"), "parent-child": ("retrieval", "return")}
+
+
 def violations(spans: DataFrame, nodes: DataFrame) -> DataFrame:
-    """segment_id, ord, rule of spans without a node, out of its text, empty, or overlapping the one before in their node."""
+    """segment_id, ord, rule of spans without a node, out of its text, empty, overlapping the one before in their
+    node, of a role their strategy has not, or out of the count from 0 within their segment (and role, of parent-child)."""
     rows = spans.join(nodes.select(F.col("node_id").alias("n_"), "n_chars"), F.col("node_id") == F.col("n_"), "left")
     before = F.lag("char_end").over(Window.partitionBy("segment_id", "role", "node_id").orderBy("ord"))
-    rows = rows.withColumn("before_", before)
-    rules = [("missing_node", F.col("n_").isNull()), ("outside_text", F.col("char_end") > F.col("n_chars")), ("empty_span", F.col("char_start") >= F.col("char_end")), ("overlap", F.col("before_") > F.col("char_start"))]
+    counted = F.when(F.col("strategy") == "parent-child", F.col("role")).otherwise("")
+    rows = rows.withColumn("before_", before).withColumn("nth_", F.row_number().over(Window.partitionBy("segment_id", counted).orderBy("ord", "node_id")) - 1)
+    known = F.concat("strategy", F.lit(" "), "role").isin(*[f"{s} {r}" for s, roles in ROLES.items() for r in roles])
+    rules = [("missing_node", F.col("n_").isNull()), ("outside_text", F.col("char_end") > F.col("n_chars")), ("empty_span", F.col("char_start") >= F.col("char_end")), ("overlap", F.col("before_") > F.col("char_start")), ("role", ~known), ("order", F.col("ord") != F.col("nth_"))]
     found = F.array(*[F.when(broken, rule) for rule, broken in rules])
     return rows.select("segment_id", "ord", F.explode(F.filter(found, lambda r: r.isNotNull())).alias("rule"))
 
 
+def window_violations(spans: DataFrame, nodes: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
+    """segment_id, node_id, rule of window spans that are not a seed's exact neighbours (``extra``) and of neighbours that have none (``missing``)."""
+    columns = ["segment_id", "role", "ord", "node_id", "char_start", "char_end"]
+    given, wanted = spans.select(*columns), sentence_windows(nodes, before, after).select(*columns)
+    extra, missing = given.exceptAll(wanted), wanted.exceptAll(given)
+    return extra.select("segment_id", "node_id", F.lit("extra").alias("rule")).unionByName(missing.select("segment_id", "node_id", F.lit("missing").alias("rule")))
+
+
+def digest_violations(spans: DataFrame, recorded: DataFrame) -> DataFrame:
+    """strategy, cache_id, recorded of views whose spans are not those their record (strategy, cache_id) was made of, or that have no record."""
+    was = recorded.select(F.col("strategy").alias("s_"), F.col("cache_id").alias("recorded"))
+    return cache_identity(spans).join(was, F.col("strategy") == F.col("s_"), "left").where("recorded is null or recorded <> cache_id").select("strategy", "cache_id", "recorded")
+
+
 def cache_identity(spans: DataFrame) -> DataFrame:
     """strategy, cache_id: the SHA-256 of a view's spans, whatever order its rows come in.
 

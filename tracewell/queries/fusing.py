@@ -47,16 +47,6 @@ def align_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.align_exact(blocks(spark, sf_dir), ["doc_id", "anchor"], "anchor")
 
 
-@query(f"""WITH {LINES}, {_BLOCKS}, p AS (SELECT a.region_id AS left_id, b.region_id AS right_id FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.anchor = b.anchor AND a.parser_id < b.parser_id),
-u AS (SELECT left_id AS r FROM p UNION SELECT right_id FROM p), y AS (SELECT * FROM x WHERE region_id NOT IN (SELECT r FROM u)),
-q AS (SELECT a.region_id AS left_id, b.region_id AS right_id FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.text = b.text AND a.parser_id < b.parser_id),
-z AS (SELECT *, 'anchor' AS method FROM p UNION ALL SELECT *, 'digest' FROM q)
-SELECT *, CASE WHEN count(*) OVER (PARTITION BY method, left_id) = 1 AND count(*) OVER (PARTITION BY method, right_id) = 1 THEN 'exact' ELSE 'ambiguous' END AS status FROM z""")
-def align_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blocks(spark, sf_dir).withColumn("digest", F.sha2("text", 256))
-    return U.align_by_priority(rows, [("anchor", ["doc_id", "anchor"]), ("digest", ["doc_id", "digest"])])
-
-
 _SCORED = f"""p AS (SELECT a.region_id AS left_id, b.region_id AS right_id, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i,
   (a.x1 - a.x0) * (a.y1 - a.y0) AS m, (b.x1 - b.x0) * (b.y1 - b.y0) AS n FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.region_id < b.region_id AND a.parser_id <> b.parser_id AND a.y0 < b.y1 AND b.y0 < a.y1),
 s AS (SELECT left_id, right_id, i / (m + n - i) AS score FROM p WHERE i > 0)"""
@@ -81,6 +71,59 @@ def align_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("left_id", "right_id", F.round("score", 9).alias("score"), "status")
 
 
+#: Regions with a way to agree by the line's place: relations by signature, texts without a place, blocks by anchor, selectors, characters or box alone.
+_REGION_COLUMNS = {
+    "kind": "CASE pos % 6 WHEN 0 THEN 'relation' WHEN 1 THEN 'generic' ELSE 'block' END",
+    "resource_id": "CASE WHEN pos % 6 <> 1 THEN 'd' || doc_id END",
+    "page": "CASE WHEN pos % 6 <> 1 THEN 0 END",
+    "anchor": "CASE WHEN pos % 6 = 2 THEN '#/b/' || (pos - pos % (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 12 END)) END",
+    "selectors": "CASE WHEN pos % 6 = 3 THEN [('s' || doc_id || ':' || pos), (parser_id || doc_id || ':' || pos)] WHEN pos % 6 = 2 THEN [('q' || doc_id || ':' || (pos - pos % 24))] END",
+    "char_start": "CASE WHEN pos % 6 = 4 THEN 100 * pos + CASE WHEN parser_id = 'structure' AND doc_id % 5 = 0 THEN 1 ELSE 0 END END",
+    "char_end": "CASE WHEN pos % 6 = 4 THEN 100 * pos + 50 END",
+    "signature": "CASE WHEN pos % 6 = 0 AND NOT (parser_id = 'structure' AND doc_id % 3 = 1) THEN 'sig' || doc_id || ':' || (pos - pos % (CASE WHEN doc_id % 3 = 0 THEN 12 ELSE 1 END)) END",
+    "digest": "CASE WHEN pos % 6 = 1 THEN doc_id || ':' || text END",
+}
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.expr(v.replace("[", "array(").replace("]", ")")).alias(k) for k, v in _REGION_COLUMNS.items()]
+    return blocks(spark, sf_dir).select("region_id", "parser_id", *columns, F.when(F.expr("pos % 6 <> 1"), F.col("box")).alias("box"))
+
+
+def _aligned() -> str:
+    """The evidence in SQL, one step for each way to agree."""
+    same = {1: "a.kind <> 'relation' AND a.resource_id = b.resource_id AND a.page = b.page AND a.anchor = b.anchor", 2: "a.resource_id = b.resource_id AND list_has_any(a.selectors, b.selectors)", 3: "a.resource_id = b.resource_id AND a.page = b.page AND a.char_start = b.char_start AND a.char_end = b.char_end", 4: "a.kind = 'relation' AND a.signature = b.signature", 6: "a.kind = 'generic' AND a.digest = b.digest"}
+    steps = [f"SELECT a.region_id AS l, b.region_id AS r, {k} AS p, 1.0::DOUBLE AS score FROM r a JOIN r b ON a.parser_id < b.parser_id AND a.kind = b.kind AND {on}" for k, on in same.items()]
+    steps.append("SELECT a.region_id, b.region_id, 5, i / (m + n - i) FROM (SELECT a.region_id AS a, b.region_id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS m, (b.x1 - b.x0) * (b.y1 - b.y0) AS n FROM r a JOIN r b ON a.parser_id < b.parser_id AND a.kind = b.kind AND a.kind <> 'generic' AND a.resource_id = b.resource_id AND a.y0 < b.y1 AND b.y0 < a.y1) z JOIN r a ON a.region_id = z.a JOIN r b ON b.region_id = z.b WHERE i > 0")
+    sql = ["r AS (SELECT x.*, " + ", ".join(f"{v} AS {k}" for k, v in _REGION_COLUMNS.items() if k != "anchor") + ", " + _REGION_COLUMNS["anchor"] + " AS anchor FROM (SELECT * EXCLUDE (anchor) FROM x) x)", "k AS (" + " UNION ALL ".join(steps) + ")", "c AS (SELECT l, r, min(p) AS p, arg_min(score, p) AS score FROM k GROUP BY l, r)", "u0 AS (SELECT '' AS u WHERE false)"]
+    for p in range(1, 7):
+        sql.append(f"f{p} AS (SELECT *, l NOT IN (SELECT u FROM u{p - 1}) AND r NOT IN (SELECT u FROM u{p - 1}) AS free FROM c WHERE p = {p})")
+        if p == 5:
+            sql.append("b5 AS (SELECT l, r, score, score >= 0.8 AND abs(score - max(score) OVER (PARTITION BY l)) <= 1e-9 * score AND abs(score - max(score) OVER (PARTITION BY r)) <= 1e-9 * score AS top FROM f5 WHERE free)")
+            sql.append("n5 AS (SELECT b.l, b.r, top AND (SELECT count(*) FROM b5 o WHERE o.l = b.l AND abs(o.score - b.score) <= 1e-9 * b.score) = 1 AND (SELECT count(*) FROM b5 o WHERE o.r = b.r AND abs(o.score - b.score) <= 1e-9 * b.score) = 1 AS ok, score FROM b5 b)")
+            sql.append("t5 AS (SELECT l AS t FROM n5 WHERE ok UNION SELECT r FROM n5 WHERE ok)")
+            sql.append("s5 AS (SELECT l, r, 5 AS p, score, CASE WHEN ok THEN 'accepted-candidate' WHEN l IN (SELECT t FROM t5) OR r IN (SELECT t FROM t5) THEN 'superseded' WHEN score < 0.8 THEN 'rejected' ELSE 'ambiguous' END AS status FROM n5 UNION ALL SELECT l, r, 5, score, 'superseded' FROM f5 WHERE NOT free)")
+        else:
+            sql.append(f"s{p} AS (SELECT l, r, p, score, CASE WHEN count(*) OVER (PARTITION BY l) = 1 AND count(*) OVER (PARTITION BY r) = 1 THEN 'exact' ELSE 'ambiguous' END AS status FROM f{p} WHERE free UNION ALL SELECT l, r, p, score, 'superseded' FROM f{p} WHERE NOT free)")
+        sql.append(f"u{p} AS (SELECT u FROM u{p - 1} UNION SELECT unnest([l, r]) FROM s{p} WHERE status IN ('exact', 'ambiguous', 'accepted-candidate'))")
+    names = "[" + ", ".join(f"'{m}'" for m in U.METHODS) + "]"
+    sql.append("e AS (SELECT l AS left_id, r AS right_id, " + names + "[p] AS method, round(score, 9) AS score, CASE WHEN p = 2 THEN (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT unnest(list_intersect(a.selectors, b.selectors)) AS v)) ELSE '' END AS selectors, status FROM (" + " UNION ALL ".join(f"SELECT * FROM s{p}" for p in range(1, 7)) + ") q JOIN r a ON a.region_id = q.l JOIN r b ON b.region_id = q.r)")
+    return ", ".join(sql)
+
+
+@query(f"WITH {LINES}, {_BLOCKS}, {_aligned()} SELECT * FROM e")
+def align_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.align(regions(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {LINES}, {_BLOCKS}, {_aligned()}, g AS (SELECT left_id, right_id FROM e WHERE status IN ('exact', 'accepted-candidate'))
+SELECT region_id, region_id AS group_id, 1 AS members FROM x WHERE region_id NOT IN (SELECT left_id FROM g) AND region_id NOT IN (SELECT right_id FROM g)
+UNION ALL SELECT unnest([left_id, right_id]), 'group-' || sha256(left_id || chr(31) || right_id), 2 FROM g""")
+def align_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = regions(spark, sf_dir)
+    return U.alignment_groups(own, U.align(own))
+
+
 @query(f"""WITH {LINES}, {_BLOCKS}, g AS (SELECT * FROM x WHERE parser_id = 'geometry'), s AS (SELECT * FROM x WHERE parser_id = 'structure')
 SELECT g.region_id, round((least(g.y1, s.y1) - greatest(g.y0, s.y0)) * (g.x1 - g.x0) / (2 * (g.x1 - g.x0) * 14 - (least(g.y1, s.y1) - greatest(g.y0, s.y0)) * (g.x1 - g.x0)), 9) AS iou FROM g JOIN s USING (doc_id, pos)""")
 def bbox_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
