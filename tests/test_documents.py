@@ -64,3 +64,31 @@ def test_parsers(spark):
     fallback = P.route(files, "fallback", ("text", "latin"), own).collect()
     assert sorted((r.path, r.parser_id) for r in fallback) == [("a", "text"), ("a", "text"), ("b", "latin")]
     assert P.route(files, "compare", ("text", "latin"), own).count() == 4
+
+
+def test_build_with_images_links_and_bare_pages(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    at = lambda y: (0.0, float(y), 90.0, float(y) + 8.0)
+    rows = [(1, 0, 0, "1. Start", "text", at(0), 100.0), (1, 0, 1, "See printed page iv and http://x.org/a.", "text", at(10), 100.0), (1, 0, 2, "Figure 1. A map", "text", at(40), 100.0), (1, 0, 3, "\u2022\none\n\u2022\ntwo", "list", at(60), 100.0), (1, 1, 4, "Ends here. Early.", "text", at(5), 100.0), (1, 2, 5, "2. Next", "text", at(0), 100.0)]
+    blocks = spark.createDataFrame(rows, f"doc_id bigint, page int, pos int, text string, observed_type string, box {box}, height double")
+    pages = spark.createDataFrame([(1, 0, "x"), (1, 3, "Scanned page."), (1, 4, "  ")], "doc_id bigint, page int, text string")
+    images = spark.createDataFrame([(1, 0, 0, at(25))], f"doc_id bigint, page int, pos int, box {box}")
+    labels = spark.createDataFrame([(1, "iv", "p4")], "doc_id bigint, label string, page_id string")
+    links = spark.createDataFrame([(1, 0, "a", at(11), "http://x.org/a", None), (1, 0, "b", at(41), "http://y.org", None), (1, 0, "c", at(61), None, 9)], f"doc_id bigint, page int, link_id string, box {box}, target_text string, target_page int")
+    made = D.build(blocks, pages, images, links, labels)
+    order = [(r.page, r.block_type, r.text) for r in made["blocks"].orderBy("pos").collect()]
+    assert order == [(0, "heading", "1. Start"), (0, "url", rows[1][3]), (0, "figure", ""), (0, "caption", "Figure 1. A map"), (0, "list_item", "one"), (0, "list_item", "two"), (1, "paragraph", "Ends here."), (1, "paragraph", "Early."), (2, "heading", "2. Next"), (3, "paragraph", "Scanned page.")]
+    assert [(r.number, r.title, r.caption_pos) for r in made["figures"].collect()] == [("1", "A map", 3)]
+    got = {(r.source_pos, r.relation_type, r.target_id, r.method) for r in made["relations"].collect()}
+    assert got == {(1, "references", "p4", "printed_page_label"), (1, "links_to", "http://x.org/a", "deterministic_url"), (3, "links_to", "http://y.org", "parser_link"), (2, "owned_by", "1:s0", "deterministic_exact")}
+    assert {(r.pos, r.kind) for r in made["unresolved"].collect()} == {(4, "parser_link")}
+    assert {(r.section_id, r.first_page, r.last_page) for r in made["section_pages"].collect()} == {("1:s0", 0, 1), ("1:s8", 2, 3)}
+    assert "text" not in made["graph_nodes"].columns + made["graph_edges"].columns
+
+
+def test_a_parser_runs_once_on_a_file(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")
+    own = {f"p{k}": P.plain_text for k in range(4)}
+    for n in (1, 2, 4):
+        plan = P.route(files, "fallback", tuple(own)[:n], own)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 0 and plan.count("Relation") == n + 1

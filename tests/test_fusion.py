@@ -68,3 +68,50 @@ def test_closure_and_cycles(spark):
     assert H.cyclic(tree, "k", "p").count() == 0
     ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1), (5, 5)], "k int, p int")
     assert {r.node for r in H.cyclic(ring, "k", "p").collect()} == {1, 2, 3, 5}
+
+
+def test_a_tail_on_a_cycle_ends(spark):
+    ring = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("e", None)], "k string, p string")
+    got = {tuple(r) for r in H.closure(ring, "k", "p").collect()}
+    assert got == {(x, x, 0) for x in "abcde"} | {("b", "a", 1), ("a", "b", 1), ("a", "c", 1), ("b", "c", 2), ("c", "d", 1), ("a", "d", 2), ("b", "d", 3)}
+    assert {r.node for r in H.cyclic(ring, "k", "p").collect()} == {"a", "b"}
+    roots = spark.createDataFrame([("a",), ("x",)], "root string")
+    assert {tuple(r) for r in H.below(ring, "k", "p", roots).collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 2)}
+
+
+def test_deep_trees_take_few_rounds(spark):
+    chain = spark.range(300).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    assert H.closure(chain, "id", "up").agg(F.max("depth"), F.count("*")).first() == (299, 300 * 301 // 2)
+    assert H.cyclic(chain, "id", "up").count() == 0
+
+
+REGION = "region_id string, parser_id string, kind string, resource_id string, page int, anchor string, selectors array<string>, char_start int, char_end int, signature string, box struct<x0:double,y0:double,x1:double,y1:double>, digest string"
+
+
+def _region(name, parser, kind="block", **facts):
+    empty = {"resource_id": None, "page": None, "anchor": None, "selectors": None, "char_start": None, "char_end": None, "signature": None, "box": None, "digest": None}
+    return (name, parser, kind, *{**empty, **facts}.values())
+
+
+def test_stronger_evidence_supersedes(spark):
+    at = lambda y: (0.0, float(y), 10.0, float(y) + 10.0)
+    rows = [
+        _region("a1", "a", resource_id="r", page=0, anchor="x", box=at(0)), _region("b1", "b", resource_id="r", page=0, anchor="x", box=at(100)),
+        _region("b2", "b", resource_id="r", page=0, box=at(0)), _region("a3", "a", resource_id="r", page=0, box=at(100)),
+        _region("a4", "a", "relation", signature="s"), _region("b4", "b", "relation", signature="s"), _region("c4", "c", "relation", signature="s"),
+        _region("a5", "a", "generic", digest="t"), _region("b5", "b", "generic", digest="t"), _region("c5", "c", "generic", digest="t", page=3),
+        _region("a6", "a", selectors=["p", "q"]), _region("b6", "b", selectors=["q"]), _region("b7", "b", selectors=["p"]),
+        _region("z", "a"), _region("z", "b"), _region("y", "a", resource_id="r", page=2, box=at(0)), _region("w", "b", "table", resource_id="r", page=2, box=at(0)),
+    ]
+    frame = spark.createDataFrame(rows, REGION)
+    evidence = U.align(frame)
+    got = {(r.left_id, r.right_id): (r.method, r.selectors, r.status) for r in evidence.collect()}
+    digest, signature, selector, box = U.METHODS[5], U.METHODS[3], U.METHODS[1], U.METHODS[4]
+    assert got == {
+        ("a1", "b1"): (U.METHODS[0], "", "exact"), ("a1", "b2"): (box, "", "superseded"), ("a3", "b1"): (box, "", "superseded"), ("z", "z"): (U.SHARED_ID, "", "exact"),
+        ("a4", "b4"): (signature, "", "exact"), ("a4", "c4"): (signature, "", "exact"), ("b4", "c4"): (signature, "", "exact"), ("a5", "b5"): (digest, "", "exact"),
+        ("a6", "b6"): (selector, "q", "ambiguous"), ("a6", "b7"): (selector, "p", "ambiguous"),
+    }
+    groups = {r.region_id: (r.group_id, r.members) for r in U.alignment_groups(frame, evidence).collect()}
+    assert groups["z"] == ("z", 1) and groups["a4"] == groups["b4"] == groups["c4"] and groups["a4"][1] == 3 and groups["a1"][0].startswith("group-")
+    assert evidence._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 8, "one table for each step"

@@ -53,7 +53,7 @@ def test_sentence_spans_equal_a_plain_version(spark):
 
 def test_parents_and_spans_equal_a_stack(spark):
     rng = random.Random(2)
-    heads = [(d, p, rng.randrange(1, 6)) for d in range(30) for p in sorted(rng.sample(range(60), 20))]
+    heads = [(d, p, rng.randrange(1, 6 if d % 2 else 15)) for d in range(30) for p in sorted(rng.sample(range(60), 20))]
     rows = spark.createDataFrame(heads, "doc_id bigint, pos int, level int")
     ends = spark.createDataFrame([(d, 60) for d in range(30)], "doc_id bigint, last_pos int")
     parents = {(r.doc_id, r.pos): r.parent_pos for r in S.section_parents(rows).collect()}
@@ -107,3 +107,14 @@ def test_strings(spark):
     row = spark.createDataFrame([("\u00a0 a \x1c b\n", "Report printed  page iv ", "see page A-7")], "a string, b string, c string")
     got = row.select(T.strip(F.col("a")), T.collapse(F.col("a")), T.margin_text(F.col("b")), T.page_label(F.col("b")), T.page_label(F.col("c")), T.stable_id(F.col("a"), F.lit(None))).first()
     assert tuple(got)[:5] == ("a \x1c b", "a b", "Report <page-label>", "iv", "A-7") and len(got[5]) == 16
+
+
+def test_headings_of_any_number_and_depth(spark):
+    """100,000 headings in one document, and one document that goes over many batches between others."""
+    rows = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("pos"), (F.col("id") % 50 + 1).cast("int").alias("level"))
+    rows = rows.union(spark.createDataFrame([(0, 5, 12), (0, 7, 13), (2, 0, 9), (2, 1, None)], "doc_id int, pos int, level int"))
+    got = S.nested_sections(rows.repartition(1))
+    assert got.count() == 100_003
+    assert got.where("doc_id = 1 and parent_pos is distinct from if(pos % 50 = 0, null, pos - 1)").count() == 0
+    assert got.where("doc_id = 1 and next_pos is distinct from if(pos < 99950, pos - pos % 50 + 50, null)").count() == 0
+    assert {tuple(r) for r in got.where("doc_id <> 1").collect()} == {(0, 5, 12, None, None), (0, 7, 13, 5, None), (2, 0, 9, None, None)}

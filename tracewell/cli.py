@@ -19,7 +19,7 @@ from tracewell.sources import artifacts, files, parsers
 from tracewell.streaming import events
 
 #: Which table of a built document is stored under which name.
-STORED = {"document": "blocks", "canonical": "nodes", "provenance": "relations", "evidence": "evidence"}
+STORED = {"document": "blocks", "canonical": "nodes", "provenance": "relations", "evidence": "evidence", "graph": "graph_edges", "addresses": "graph_nodes"}
 
 
 def ingest(spark: SparkSession, folder: str, root: str, run: str, mode: str, candidates: tuple[str, ...], suffix: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators import canonical, graph, references, structure
+from tracewell.operators import canonical, graph, objects, references, structure
+from tracewell.plans.lineage import written
 
 MARGINS = ("page_header", "page_footer")
 CAPTION = r"(?U)^Table\s+((?:\d+-)*\d+)[.]\s+\S"
@@ -89,43 +92,138 @@ def parser_links(links: DataFrame, blocks: DataFrame, sections: DataFrame) -> Da
     return rows.select("doc_id", "link_id", "pos", target.alias("target_id"), F.when(target.isNotNull(), "observed").otherwise("unresolved").alias("status"))
 
 
-def build(blocks: DataFrame) -> dict[str, DataFrame]:
-    """All tables of documents from blocks (doc_id, pos, page, text, observed_type): lazily, and partitioned by document.
+#: What blocks may lack, and the type of it.
+_OPTIONAL = {"observed_type": "string", "box": "struct<x0:double,y0:double,x1:double,y1:double>", "height": "double", "split_last": "boolean"}
+_RELATION = ("doc_id", "source_pos", "literal", "target_id", "relation_type", "status", "method")
+
+
+def canonical_blocks(blocks: DataFrame, pages: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """The blocks of documents in one reading order: doc_id, pos, page, text, block_type, method, box, height.
 
-    A document without numbered headings has the one division of the document itself.
+    ``blocks``: doc_id, pos, page, text, and where known observed_type, box, height (of the
+    page) and split_last.  A page of ``pages`` (doc_id, page, text) without a block gives one
+    of its text; blocks are cut at bullets, tables and page ends that come early; images
+    (doc_id, page, pos, box) take part as figures; then all are numbered anew.  An empty
+    block keeps a number.
     """
-    typed = structure.typed(blocks)
-    heads = structure.headings(blocks).select("doc_id", "pos", "number", "title", "level")
-    lengths = blocks.groupBy("doc_id").agg(F.max("pos").alias("last_pos"))
-    parents = structure.section_parents(heads).select(F.col("doc_id").alias("p_doc"), F.col("pos").alias("p_at"), "parent_pos")
-    spans = structure.section_spans(heads, lengths)
+    for name, kind in _OPTIONAL.items():
+        if name not in blocks.columns:
+            blocks = blocks.withColumn(name, F.lit(None).cast(kind))
+    columns = ["doc_id", "page", "pos", "text", *_OPTIONAL]
+    rows = blocks.select(*columns)
+    # A last block of a page that ends early has its last sentence cut off; without boxes no page is known to.
+    high = rows.where("box is not null and height is not null").withColumn("y1", F.col("box.y1"))
+    early = structure.early_page_ends(high).select(F.col("doc_id").alias("e_"), F.col("pos").alias("at_"))
+    rows = rows.join(early, (F.col("doc_id") == F.col("e_")) & (F.col("pos") == F.col("at_")), "left")
+    rows = rows.withColumn("split_last", F.coalesce("split_last", F.lit(False)) | F.col("at_").isNotNull()).drop("e_", "at_")
+    if pages is not None:
+        # A page of its own has nothing to stand before or behind, so any number will do.
+        lone = objects.page_fallback(pages, rows).withColumn("pos", F.lit(0))
+        rows = rows.unionByName(lone, allowMissingColumns=True).withColumn("split_last", F.coalesce("split_last", F.lit(False)))
+    pieces = structure.fragments(rows).withColumn("ord", F.struct(F.col("pos").cast("bigint").alias("pos"), F.col("fragment").cast("bigint").alias("fragment")))
+    shown = ["doc_id", "page", "ord", "text", "block_type", "method", "box", "height"]
+    # Text stands in the order its parser gave it, as most parsers have no boxes for it.
+    layers = [pieces.select(*shown).withColumn("y0", F.lit(None).cast("double"))]
+    if images is not None:
+        figure = F.struct(F.col("pos").cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("fragment"))
+        layers[0] = layers[0].withColumn("y0", F.col("box.y0"))
+        layers.append(images.select("doc_id", "page", figure.alias("ord"), F.lit("").alias("text"), F.lit("figure").alias("block_type"), F.lit("image").alias("method"), "box", F.lit(None).cast("double").alias("height"), F.col("box.y0").alias("y0")))
+    return objects.canonical_order(*layers).drop("ord", "y0")
+
+
+def _related(rows: DataFrame, kind: str, status: str | Column, method: str) -> DataFrame:
+    """Relations from rows of doc_id, pos, literal, target_id."""
+    known = status if isinstance(status, Column) else F.lit(status)
+    return rows.select("doc_id", F.col("pos").alias("source_pos"), F.col("literal"), F.col("target_id"), F.lit(kind).alias("relation_type"), known.alias("status"), F.lit(method).alias("method"))
+
+
+def relations(blocks: DataFrame, sections: DataFrame, labels: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All references of blocks, each once by block, literal, type, target and method, and the tasks that are left.
+
+    ``labels``: doc_id, label, page_id; ``links``: as for :func:`parser_links`.  A link of a
+    parser whose block names the same address in its text is handled by that and gives no
+    relation of its own; one that finds no target is a task, as is a document named with a
+    version.
+    """
+    urls = references.url_references(blocks).select("doc_id", "pos", F.col("url").alias("literal"), F.col("url").alias("target_id"))
+    found = [_related(references.section_references(blocks, sections), "references", "resolved", "deterministic_exact"), _related(urls, "links_to", "observed", "deterministic_url")]
+    tasks = references.unresolved_mentions(blocks).select("doc_id", "pos", "literal", "task_id", F.lit("cross_document_reference").alias("kind"))
+    if labels is not None:
+        pages = references.page_references(blocks, labels).withColumnRenamed("page_id", "target_id")
+        found.append(_related(pages, "references", "resolved", "printed_page_label"))
+    if links is not None:
+        starts = sections.select("doc_id", "section_id", "page", "title")
+        own = parser_links(links, blocks, starts).withColumn("literal", F.coalesce("target_id", F.col("link_id").cast("string")))
+        handled = urls.select(F.col("doc_id").alias("h_"), F.col("pos").alias("p_"), F.col("target_id").alias("t_"))
+        same = (F.col("doc_id") == F.col("h_")) & (F.col("pos") == F.col("p_")) & (F.col("target_id") == F.col("t_"))
+        found.append(_related(own.where("status = 'observed'").join(handled, same, "left_anti"), "links_to", "observed", "parser_link"))
+        left = own.where("status = 'unresolved'").select("doc_id", "pos", "literal", T.stable_id(F.col("doc_id"), F.col("link_id"), F.lit("parser_link")).alias("task_id"), F.lit("parser_link").alias("kind"))
+        tasks = tasks.unionByName(left)
+    rows = reduce(DataFrame.unionByName, found)
+    key = T.stable_id(*[F.col(c) for c in ("doc_id", "source_pos", "literal", "relation_type", "target_id", "method")])
+    return rows.withColumn("relation_id", key).dropDuplicates(["relation_id"]), tasks
+
+
+def build(blocks: DataFrame, pages: DataFrame | None = None, images: DataFrame | None = None, links: DataFrame | None = None, labels: DataFrame | None = None, parsed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of documents from blocks (see :func:`canonical_blocks`), partitioned by document.
+
+    The blocks in their order are written once and everything is made from that table.
+    A document without numbered headings has the one division of the document itself;
+    its ``section_pages`` are the parser's (``parsed``: doc_id, section_id, first_page,
+    last_page) if there are any, else all its pages.
+    """
+    typed = written(canonical_blocks(blocks, pages, images).withColumn("observed_type", F.col("block_type")), "blocks")
+    heads = typed.where("block_type = 'heading'")
+    heads = heads.withColumn("number", T.heading_number(F.col("text"))).withColumn("title", T.heading_title(F.col("text"))).where("number is not null")
+    heads = heads.select("doc_id", "pos", "page", "number", "title", T.heading_level(F.col("number")).alias("level"))
+    lengths = typed.groupBy("doc_id").agg(F.max("pos").alias("last_pos"))
+    nested = structure.nested_sections(heads).join(lengths, "doc_id").withColumn("end_pos", F.coalesce(F.col("next_pos") - 1, F.col("last_pos"))).drop("next_pos", "last_pos")
 
     def section(pos: Column) -> Column:
         return F.concat(F.col("doc_id").cast("string"), F.lit(":s"), pos.cast("string"))
 
-    sections = spans.join(parents, (F.col("doc_id") == F.col("p_doc")) & (F.col("pos") == F.col("p_at"))).drop("p_doc", "p_at")
-    sections = sections.withColumn("section_id", section(F.col("pos"))).withColumn("parent_id", section(F.col("parent_pos")))
+    sections = written(nested.withColumn("section_id", section(F.col("pos"))).withColumn("parent_id", section(F.col("parent_pos"))), "sections")
     paging = typed.withColumn("level", T.heading_level(T.heading_number(F.col("text")))).select("doc_id", "pos", "page", "level")
     root = F.concat(F.col("doc_id").cast("string"), F.lit(":document"))
     divisions = lengths.select("doc_id", root.alias("division_id"), F.lit(None).cast("string").alias("parent_division_id")).unionByName(sections.select("doc_id", F.col("section_id").alias("division_id"), F.coalesce("parent_id", root).alias("parent_division_id")))
-    nodes = canonical.content_nodes(blocks)
     # The section a block stands in is the last heading at or before it: sections nest, so that is the deepest.
-    marked = nodes.join(heads.select(F.col("doc_id").alias("h_"), F.col("pos").alias("i_")), (F.col("doc_id") == F.col("h_")) & (F.col("pos") == F.col("i_")), "left")
+    marked = typed.join(heads.select(F.col("doc_id").alias("h_"), F.col("pos").alias("i_")), (F.col("doc_id") == F.col("h_")) & (F.col("pos") == F.col("i_")), "left")
     owner = F.last("i_", ignorenulls=True).over(structure.document_order().rowsBetween(Window.unboundedPreceding, 0))
-    kinds = typed.select(F.col("doc_id").alias("k_"), F.col("pos").alias("l_"), F.col("block_type").alias("node_kind"))
-    nodes = marked.withColumn("division_id", F.coalesce(section(owner), root)).drop("h_", "i_").join(kinds, (F.col("doc_id") == F.col("k_")) & (F.col("pos") == F.col("l_"))).drop("k_", "l_").withColumn("n_chars", F.length("text"))
-    found = references.section_references(typed, sections)
-    relations = found.select(T.stable_id(F.col("doc_id"), F.col("pos"), F.col("literal"), F.col("target_id")).alias("relation_id"), "doc_id", F.col("pos").alias("source_pos"), "literal", "target_id", F.lit("references").alias("relation_type"), F.lit("resolved").alias("status"), F.lit("deterministic_exact").alias("method"))
-    relations = relations.withColumn("epistemic_state", canonical.epistemic_state(F.col("status"), F.col("method")))
-    relations = relations.withColumn("gold_eligible", graph.is_gold(F.col("target_id"), F.col("status"), F.col("epistemic_state")))
+    placed = marked.withColumn("division_id", F.coalesce(section(owner), root)).drop("h_", "i_")
+    kinds = placed.select(F.col("doc_id").alias("k_"), F.col("pos").alias("l_"), F.col("block_type").alias("node_kind"), "division_id")
+    nodes = canonical.content_nodes(typed).join(kinds, (F.col("doc_id") == F.col("k_")) & (F.col("pos") == F.col("l_"))).drop("k_", "l_").withColumn("n_chars", F.length("text"))
+
+    page_at = typed.select(F.col("doc_id").alias("a_"), F.col("pos").alias("b_"), F.col("page").alias("last_page"))
+    counts = typed.groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
+    own = sections.join(page_at, (F.col("doc_id") == F.col("a_")) & (F.col("end_pos") == F.col("b_")), "left").select("doc_id", "section_id", F.col("page").alias("first_page"), "last_page")
+    none = own.where("false")
+    notes = objects.footnotes(typed)
+    tables = logical_tables(typed)
+    drawn = typed.where("block_type = 'figure' and method = 'image'").select("doc_id", "page", "pos", "box")
+    shown = objects.figures(typed.where("box is not null"), drawn)
+    found, tasks = relations(typed, sections, labels, links)
+    things = notes.select("doc_id", "pos").unionByName(drawn.select("doc_id", "pos"))
+    owned = things.join(placed.select(F.col("doc_id").alias("o_"), F.col("pos").alias("p_"), "division_id"), (F.col("doc_id") == F.col("o_")) & (F.col("pos") == F.col("p_")))
+    owned = _related(owned.select("doc_id", "pos", F.lit(None).cast("string").alias("literal"), F.col("division_id").alias("target_id")), "owned_by", "resolved", "deterministic_exact")
+    marks = _related(notes.where("marker_pos is not null").select("doc_id", "pos", F.col("marker").alias("literal"), F.concat(F.col("doc_id").cast("string"), F.lit(":b"), F.col("marker_pos").cast("string")).alias("target_id")), "annotates", "resolved", "deterministic_nearest")
+    more = owned.unionByName(marks)
+    more = more.withColumn("relation_id", T.stable_id(*[F.col(c) for c in ("doc_id", "source_pos", "literal", "relation_type", "target_id", "method")]))
+    every = found.unionByName(more).withColumn("epistemic_state", canonical.epistemic_state(F.col("status"), F.col("method")))
+    every = every.withColumn("gold_eligible", graph.is_gold(F.col("target_id"), F.col("status"), F.col("epistemic_state")))
+    graph_nodes = nodes.select("node_id", "doc_id", "division_id", "node_kind", "sequence_number", "text_sha256", "char_start", "char_end")
     return {
         "blocks": typed,
         "sections": sections,
+        "section_pages": objects.section_fallback(own, none if parsed is None else parsed, counts),
         "continuation": structure.section_continuation(sections.select("doc_id", "pos", "level", "end_pos"), paging),
         "divisions": divisions,
         "nodes": nodes,
-        "relations": relations,
-        "unresolved": references.unresolved_mentions(typed),
-        "evidence": structure.evidence_chain(blocks.select("doc_id", F.col("page").alias("pos")).distinct()),
+        "tables": tables,
+        "figures": shown,
+        "footnotes": notes,
+        "relations": every,
+        "unresolved": tasks,
+        "graph_nodes": graph_nodes,
+        "graph_edges": every.select("relation_id", "doc_id", "source_pos", "target_id", "relation_type", "status", "epistemic_state", "gold_eligible"),
+        "evidence": structure.evidence_chain(typed.select("doc_id", F.col("page").alias("pos")).distinct()),
     }
-

@@ -331,3 +331,53 @@ def parser_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = rows.select("doc_id", "page", F.col("pos").alias("link_id"), G.box(F.lit(12.0), y + 3, F.lit(20.0), y + 9).alias("box"), F.expr("case when pos % 4 = 0 then concat('https://x.org/', pos) when pos % 4 = 1 then 'mailto:a' end").alias("target_text"), F.expr("cast(pos div 5 + 1 as int)").alias("target_page"))
     sections = rows.groupBy("doc_id", F.expr("cast(pos div 5 as int)").alias("page")).agg(F.regexp_extract(F.min_by("line", "pos"), r"^\S+", 0).alias("title"))
     return D.parser_links(links, blocks, sections.withColumn("section_id", F.expr("concat('s', page)")))
+
+
+#: A document of lines: a heading at every ninth, references in the others.
+_BUILT_TEXT = "CASE WHEN pos % 9 = 0 THEN '1.' || (pos % 7) || '. ' || line WHEN pos % 9 = 1 THEN 'See Section 1.' || (pos % 5) || ' and Section 1.' || (pos % 5) || ', ' || line WHEN pos % 9 = 2 THEN 'Look at http://x.org/' || doc_id || ', or http://x.org/' || doc_id || '. ' || line WHEN pos % 9 = 3 THEN 'In Travel Policy, Version 2.' || (doc_id % 3) || ' it says: ' || line WHEN pos % 9 = 4 THEN 'On printed page ' || (pos % 4) || ' stands ' || line WHEN pos % 9 = 5 THEN 'Footnote ' || pos || ' — ' || line ELSE 'Body ' || line END"
+_BUILT = f"""q AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS place, pos // 6 AS page, pos % 9 AS k, {_BUILT_TEXT} AS text, pos FROM l),
+g AS (SELECT doc_id, place, '1.' || (pos % 7) AS number FROM q WHERE k = 0)"""
+
+
+def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    rows = lines(spark, sf_dir)
+    blocks = rows.select("doc_id", "pos", F.expr("cast(pos div 6 as int)").alias("page"), F.expr(_BUILT_TEXT).alias("text"), F.lit("text").alias("observed_type"))
+    labels = rows.select("doc_id", F.expr("cast(pos % 4 as string)").alias("label"), F.expr("concat('p', pos % 4)").alias("page_id")).distinct()
+    return D.build(blocks, labels=labels)
+
+
+_CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_RELATED = f"""c AS (SELECT doc_id, place, {_CLEAN} AS text FROM q WHERE k IN (1, 2, 3, 4) OR k > 5),
+e AS (SELECT DISTINCT doc_id, place, literal, target_id FROM (SELECT doc_id, place, unnest(regexp_extract_all(text, '\\bSection\\s+(?:\\d+\\.)*\\d+')) AS literal FROM c) x JOIN (SELECT doc_id AS d, number, doc_id || ':s' || max(place) AS target_id FROM g GROUP BY doc_id, number) s ON d = doc_id AND number = regexp_extract(literal, '(?:\\d+\\.)*\\d+$')),
+u AS (SELECT DISTINCT doc_id, place, rtrim(url, '.,;:') AS url FROM (SELECT doc_id, place, unnest(regexp_extract_all(text, 'https?://[^()<>\\[\\]\\s]+')) AS url FROM c)),
+pp AS (SELECT DISTINCT doc_id, place, literal, 'p' || right(literal, 1) AS target_id FROM (SELECT doc_id, place, unnest(regexp_extract_all(text, '(?i)\\bprinted page\\s+(?:[A-Z]-\\d+|\\d+|[ivxlcdm]+)\\b')) AS literal FROM c) WHERE (doc_id, right(literal, 1)) IN (SELECT DISTINCT doc_id, CAST(pos % 4 AS VARCHAR) FROM l)),
+o AS (SELECT doc_id, place, page, pos FROM q WHERE k = 5), m AS (SELECT o.doc_id, o.place, o.pos, max(x.place) AS near FROM o JOIN q x ON x.doc_id = o.doc_id AND x.page = o.page AND x.place < o.place AND x.k <> 0 GROUP BY ALL),
+w AS (SELECT o.doc_id, o.place, coalesce(o.doc_id || ':s' || max(g.place), o.doc_id || ':document') AS owner FROM o LEFT JOIN g ON g.doc_id = o.doc_id AND g.place <= o.place GROUP BY o.doc_id, o.place)"""
+
+
+@query(f"""WITH {LINES}, {_BUILT}, {_RELATED}
+SELECT doc_id, place AS source_pos, literal, target_id, 'references' AS relation_type, 'resolved' AS status, 'deterministic_exact' AS method FROM e UNION ALL SELECT doc_id, place, url, url, 'links_to', 'observed', 'deterministic_url' FROM u
+UNION ALL SELECT doc_id, place, literal, target_id, 'references', 'resolved', 'printed_page_label' FROM pp UNION ALL SELECT doc_id, place, NULL, owner, 'owned_by', 'resolved', 'deterministic_exact' FROM w
+UNION ALL SELECT doc_id, place, CAST(pos AS VARCHAR), doc_id || ':b' || near, 'annotates', 'resolved', 'deterministic_nearest' FROM m""")
+def document_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All relations of documents built whole."""
+    return _built(spark, sf_dir)["relations"].select(*D._RELATION)
+
+
+@query(f"""WITH {LINES}, {_BUILT} SELECT q.doc_id, q.place AS pos, coalesce(q.doc_id || ':s' || max(g.place), q.doc_id || ':document') AS division_id, sha256(q.text) AS text_sha256, CASE WHEN q.k = 0 THEN 'heading' WHEN q.k = 5 THEN 'footnote' WHEN regexp_matches(q.text, 'https?://\\S+') THEN 'url' ELSE 'paragraph' END AS node_kind
+FROM q LEFT JOIN g ON g.doc_id = q.doc_id AND g.place <= q.place GROUP BY q.doc_id, q.place, q.text, q.k""")
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir)["graph_nodes"].select("doc_id", F.col("sequence_number").alias("pos"), "division_id", "text_sha256", "node_kind")
+
+
+@query(f"""WITH {LINES}, {_BUILT}, n AS (SELECT g.doc_id, g.place, lead(g.place) OVER (PARTITION BY g.doc_id ORDER BY g.place) - 1 AS e FROM g), z AS (SELECT doc_id, max(place) AS last_at, CAST(max(page) AS INTEGER) AS last_page FROM q GROUP BY ALL)
+SELECT n.doc_id, n.doc_id || ':s' || n.place AS section_id, CAST(a.page AS INTEGER) AS first_page, CAST(b.page AS INTEGER) AS last_page, 'numbered' AS method FROM n JOIN z ON z.doc_id = n.doc_id JOIN q a ON a.doc_id = n.doc_id AND a.place = n.place JOIN q b ON b.doc_id = n.doc_id AND b.place = coalesce(n.e, z.last_at)
+UNION ALL SELECT doc_id, doc_id || ':all', 0, last_page, 'document' FROM z WHERE doc_id NOT IN (SELECT doc_id FROM g)""")
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir)["section_pages"]
+
+
+@query(f"""WITH {LINES}, {_BUILT}, x AS (SELECT DISTINCT doc_id, place AS pos, unnest(regexp_extract_all({_CLEAN}, '[A-Z][-A-Za-z0-9’'' &]+(?:Policy|Manual|Handbook),\\s*Version\\s+(?:\\d+\\.)*\\d+')) AS literal FROM q WHERE k IN (1, 2, 3, 4) OR k > 5)
+SELECT *, {sid('doc_id', 'pos', 'literal', "'cross_document_reference'")} AS task_id, 'cross_document_reference' AS kind FROM x""")
+def document_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir)["unresolved"]
