@@ -1,13 +1,16 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import json as J
 from tracewell.operators import catalog as C
+from tracewell.operators import graph
 from tracewell.plans import sequence
 from tracewell.sources import artifacts as A
 from tracewell.sources import files
+from tracewell.sources import inference as I
 from tracewell.streaming import events as E
 
 
@@ -16,7 +19,21 @@ def test_scan(spark, tmp_path):
     for name, data in (("x.pdf", b"1"), ("a/Y.PDF", b"2"), ("a/z.txt", b"3"), ("a/empty.pdf", b"")):
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: r.status for r in files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"x.pdf": "accepted", "Y.PDF": "accepted", "z.txt": "unsupported_suffix"}
+    assert got == {"x.pdf": "accepted", "Y.PDF": "accepted", "z.txt": "unsupported_suffix", "empty.pdf": "empty"}
+
+
+def test_walk_gives_reasons_in_order(spark, tmp_path):
+    for name in ("b", "store", "a"):
+        (tmp_path / name).mkdir()
+    for name in ("b/x.pdf", "a/y.pdf", "store/blob", "cat.db", "cat.db-wal", "a/empty"):
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"1")
+    (tmp_path / "b/link.pdf").symlink_to(tmp_path / "a/y.pdf")
+    os.mkfifo(tmp_path / "pipe")
+    found = files.walk(spark, str(tmp_path), catalog=str(tmp_path / "cat.db"), stores=(str(tmp_path / "store"),))
+    rows = [(r.relative_path, r.reason) for r in found.collect()]
+    assert rows == [("a/empty", None), ("a/y.pdf", None), ("b/link.pdf", "symlink"), ("b/x.pdf", None), ("cat.db", "catalog"), ("cat.db-wal", "catalog"), ("pipe", "special_entry"), ("store", "storage_root")]
+    assert files.walk(spark, str(tmp_path), recursive=False).where("relative_path like 'a/%'").count() == 0
+    assert [r.reason for r in files.walk(spark, str(tmp_path / "nowhere")).collect()] == ["FileNotFoundError"]
 
 
 def test_payload(spark):
@@ -39,6 +56,13 @@ def test_artifacts(spark, tmp_path):
         A.put(rows.limit(1), str(tmp_path), "document", "r1")
     with pytest.raises(ValueError):
         A.read(spark, str(tmp_path), "other", "r1")
+    assert [tuple(r) for r in A.runs(spark, str(tmp_path)).collect()] == [("r1", "document")]
+    assert not [x for x in os.listdir(tmp_path / "r1") if x.startswith("_")], "no draft stays"
+    A.put(rows, str(tmp_path), "graph", "r1")
+    (now,) = graph.revision(("graph", rows)).first()
+    assert A.graph_of(spark, str(tmp_path), "r1", now).count() == 2
+    with pytest.raises(A.Conflict):
+        A.graph_of(spark, str(tmp_path), "r1", "sg-" + "0" * 64)
     A.write_json(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     nested = A.nested(rows.select("doc_id"), ("blocks", rows)).orderBy("doc_id").collect()
@@ -53,6 +77,34 @@ def test_native_store(spark):
     assert A.damaged(store).count() == 0 and A.damaged(store.withColumn("size", F.lit(9))).count() == 1
 
 
+def test_native_payloads_are_stored_whole_or_not(spark, tmp_path):
+    folder, schema = str(tmp_path / "native"), "artifact_id string, payload binary, media_type string"
+    first = spark.createDataFrame([("a", bytearray(b"x"), "j"), ("b", bytearray(b""), "j"), ("b", bytearray(b""), "j")], schema)
+    assert {r.status for r in A.put_native(first, folder).collect()} == {"stored"}
+    assert {r.status for r in A.put_native(first, folder).collect()} == {"unchanged"}
+    for bad in ([("c", bytearray(b"z"), "j"), ("a", bytearray(b"other"), "j")], [("c", bytearray(b"z"), "j"), ("c", bytearray(b"y"), "j")]):
+        with pytest.raises(A.Conflict):
+            A.put_native(spark.createDataFrame(bad, schema), folder)
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    assert sorted(r.artifact_id for r in stored.collect()) == ["a", "b"] and A.damaged(stored).count() == 0
+
+
+def test_models_only_propose(spark):
+    def client(prompt):
+        if "bad" in prompt:
+            return "[1]"
+        if "down" in prompt:
+            raise TimeoutError
+        return json.dumps({"target_id": prompt[-1], "confidence": 7, "title": "T", "tags": ["a"]})
+
+    tasks = spark.createDataFrame([("r", f"t{k}", "cites" if k else "other", p) for k, p in enumerate(["to a", "to a", "to z", "bad", "down", "to a"])], "run_id string, task_id string, relation_type string, prompt string")
+    anchors = spark.createDataFrame([("a",)], "anchor_id string")
+    got = {r.task_id: (r.target_id, r.confidence, r.status) for r in I.resolve(tasks, client, ("cites",), anchors, 5).collect()}
+    assert got == {"t0": (None, None, "relation_not_allowed"), "t1": ("a", 1.0, "inferred"), "t2": (None, None, "unknown_target"), "t3": (None, None, "inference_failed:ValueError"), "t4": (None, None, "inference_failed:TimeoutError"), "t5": (None, None, "inference_call_limit_reached")}
+    (row,) = I.enhance(spark.createDataFrame([("s", "text a")], "section_id string, text string"), client, "m").collect()
+    assert tuple(row) == ("s", "m", "T", ["a"], False, None)
+
+
 def test_pointers(spark):
     doc = '{"a/b": [10, {"m~n": "\u00e9"}], "k": null}'
     cases = {"#": '{"a/b":[10,{"m~n":"\u00e9"}],"k":null}', "#/a~1b/0": "10", "#/a~1b/1/m~0n": '"\u00e9"', "#/k": "null", "#/a~1b/00": None, "#/a~1b/2": None, "#/k/x": None, "#/a~2": None, "/k": None, "#/%6B": "null"}

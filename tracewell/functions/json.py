@@ -85,3 +85,24 @@ def copies_text(raw: Column) -> Column:
     text = r'"(?:[^"\\]|\\.)*+"'
     bare = F.regexp_replace(raw, rf"({text}\s*+:)|{text}", "$1")
     return F.when(F.try_parse_json(raw).isNotNull(), bare.rlike(rf'"(?:{names})"\s*:'))
+
+
+def _canonical(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        out = []
+        for raw in batch.to_pylist():
+            try:
+                out.append(None if raw is None else _compact(load(raw)))
+            except (ValueError, RecursionError):
+                out.append(None)
+        yield pa.array(out, pa.string())
+
+
+def canonical(raw: Column) -> Column:
+    """A JSON text in its one canonical form: keys in order, no blanks, signs as they are; null for what :func:`strict` refuses."""
+    return F.arrow_udf(_canonical, "string")(raw)
+
+
+def canonical_hash(raw: Column) -> Column:
+    """The SHA-256 of the canonical form."""
+    return F.sha2(canonical(raw), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,6 +118,11 @@ def public_source(url: Column, retrieved_on: Column) -> Column:
     return F.coalesce(public & is_date(retrieved_on), F.lit(False))
 
 
+def hex_of(name: str) -> str:
+    """A short name for a folder, made of a longer one."""
+    return hashlib.sha256(name.encode()).hexdigest()[:32]
+
+
 def stable_id(*parts: Column) -> Column:
     """16 hexadecimal signs of the SHA-256 of the parts, a null being empty."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.operators.hierarchy import below
+from tracewell.plans.sequence import running_sum
 
 LOCAL_PATH = r"^(/|~|\.{1,2}(/|$)|[A-Za-z]:[\\/]|\\\\|file:)"
 PATH_WORDS = ("path", "dir", "directory", "folder", "file", "root", "cache")
@@ -33,6 +34,52 @@ def register(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("bundle", "sha256", "source_key", outcome.alias("outcome"), F.concat(F.lit("asset-"), T.stable_id(F.col("bundle"), F.col("sha256"))).alias("asset_id"))
 
 
+def tree_bundle(root: str, relative_path: Column, structure: str = "preserve") -> Column:
+    """The bundle of a file of a tree: below ``root`` as its folder is (``preserve``), or ``root`` itself (``flat``)."""
+    if structure not in ("preserve", "flat"):
+        raise ValueError(f"no structure is called {structure}")
+    folder = F.regexp_extract(relative_path, "^(.*)/[^/]*$", 1)
+    return F.when((folder != "") & F.lit(structure == "preserve"), F.concat(F.lit(root + "/"), folder)).otherwise(F.lit(root))
+
+
+def register_tree(files: DataFrame, catalog: DataFrame, root: str, structure: str = "preserve", cancelled_after: int | None = None) -> DataFrame:
+    """relative_path, bundle, status, asset_id, error of the files of a tree (relative_path, sha256, error, reason).
+
+    One file's error fails that file alone; those with a reason are ``skipped``; beyond
+    ``cancelled_after`` files, in the order of their paths, the rest are ``cancelled``; what
+    is left is registered as :func:`register` does, the first path of equal contents first.
+    """
+    rows = files.withColumn("bundle", tree_bundle(root, F.col("relative_path"), structure)).withColumn("source_key", F.col("relative_path")).withColumn("ord", F.col("relative_path"))
+    stop = F.lit(False)
+    if cancelled_after is not None:
+        ranked = running_sum(files.select(F.lit(0).alias("tree_"), F.col("relative_path").alias("w_"), F.lit(1).alias("one_")), "tree_", ["w_"], "one_", "place_", "tree").select("w_", "place_")
+        rows, stop = rows.join(ranked, F.col("relative_path") == F.col("w_")).drop("w_"), F.col("place_") > cancelled_after
+    state = F.when(F.col("reason").isNotNull(), "skipped").when(stop, "cancelled").when(F.col("error").isNotNull() | F.col("sha256").isNull(), "failed")
+    rows = rows.withColumn("state_", state)
+    done = register(rows.where("state_ is null"), catalog).select(F.col("source_key").alias("relative_path"), "bundle", F.col("outcome").alias("status"), "asset_id", F.lit(None).cast("string").alias("error"))
+    rest = rows.where("state_ is not null").select("relative_path", "bundle", F.col("state_").alias("status"), F.lit(None).cast("string").alias("asset_id"), F.coalesce("error", "reason").alias("error"))
+    return done.unionByName(rest)
+
+
+def bundle_changes(wanted: DataFrame, bundles: DataFrame) -> DataFrame:
+    """path, parent, change of every bundle that paths (path) need, steps above them too: exists, restored or created.
+
+    ``bundles``: path, deleted.
+    """
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    every = wanted.where("path is not null and path <> ''").select(F.explode(above).alias("path")).distinct()
+    known = bundles.groupBy(F.col("path").alias("k_")).agg(F.bool_or(~F.col("deleted")).alias("live_"))
+    change = F.when(F.col("live_"), "exists").when(F.col("k_").isNotNull(), "restored").otherwise("created")
+    return every.join(known, F.col("path") == F.col("k_"), "left").select("path", F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")).alias("parent"), change.alias("change"))
+
+
+def unique_violations(table: DataFrame, keys: list[str], live: Column | None = None) -> DataFrame:
+    """The keys, and n, of rows that share them although only one may have them, among the ``live`` rows if those alone must be apart; null keys are apart."""
+    rows = table if live is None else table.where(live)
+    return rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def accepted_file(path: Column, media_type: Column) -> Column:
     """Whether a file is taken: by its suffix or its media type."""
     return F.lower(path).endswith(".pdf") | F.coalesce(media_type == "application/pdf", F.lit(False))
@@ -93,6 +140,16 @@ def unreferenced(blobs: DataFrame, sources: DataFrame, older_than: Column | None
     return rows if older_than is None else rows.where(F.col("created_at") < older_than)
 
 
+#: Days that a blob without a source is kept.
+GRACE_DAYS = 7
+
+
+def past_grace(blobs: DataFrame, sources: DataFrame, now: Column | None = None, days: int = GRACE_DAYS) -> DataFrame:
+    """Blobs that no live source refers to and that are older than ``days``, a week by default."""
+    moment = F.current_timestamp() if now is None else now
+    return unreferenced(blobs, sources, moment - F.make_dt_interval(F.lit(days)))
+
+
 def delete_batches(blobs: DataFrame, size: int) -> DataFrame:
     """Blobs with the number of their deletion batch of at most ``size`` (1 to 500), in key order within hash buckets."""
     if not 1 <= size <= 500:

@@ -210,6 +210,10 @@ def build(blocks: DataFrame, pages: DataFrame | None = None, images: DataFrame |
     more = more.withColumn("relation_id", T.stable_id(*[F.col(c) for c in ("doc_id", "source_pos", "literal", "relation_type", "target_id", "method")]))
     every = found.unionByName(more).withColumn("epistemic_state", canonical.epistemic_state(F.col("status"), F.col("method")))
     every = every.withColumn("gold_eligible", graph.is_gold(F.col("target_id"), F.col("status"), F.col("epistemic_state")))
+    shape = F.to_json(F.sort_array(F.collect_list(F.struct("row_no", "col_no", "column_name", "cell_text"))))
+    subject = F.concat(F.col("doc_id").cast("string"), F.lit(":table:"), F.col("number"))
+    representations = tables.groupBy("doc_id", "number").agg(shape.alias("payload")).select("doc_id", T.stable_id(F.col("doc_id"), F.col("number"), F.lit("cells")).alias("representation_id"), subject.alias("subject_id"), F.lit("application/json").alias("media_type"), "payload", F.sha2("payload", 256).alias("payload_sha256"))
+    sizes = typed.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_distinct("page").alias("pages"), F.sum(F.length("text")).alias("characters"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("content_sha256"))
     graph_nodes = nodes.select("node_id", "doc_id", "division_id", "node_kind", "sequence_number", "text_sha256", "char_start", "char_end")
     return {
         "blocks": typed,
@@ -223,6 +227,8 @@ def build(blocks: DataFrame, pages: DataFrame | None = None, images: DataFrame |
         "footnotes": notes,
         "relations": every,
         "unresolved": tasks,
+        "representations": representations,
+        "descriptors": sizes,
         "graph_nodes": graph_nodes,
         "graph_edges": every.select("relation_id", "doc_id", "source_pos", "target_id", "relation_type", "status", "epistemic_state", "gold_eligible"),
         "evidence": structure.evidence_chain(typed.select("doc_id", F.col("page").alias("pos")).distinct()),

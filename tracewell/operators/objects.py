@@ -98,6 +98,13 @@ def fact_sources(facts: DataFrame, observations: DataFrame) -> DataFrame:
     return rows.groupBy("region_id", "fact", "value_sha256").agg(F.array_join(F.sort_array(F.collect_set("parser_id")), "|").alias("parsers"), (F.count("parser_id") > 0).alias("bound"))
 
 
+def fact_source_maps(facts: DataFrame, observations: DataFrame) -> DataFrame:
+    """region_id, sources: for each region a map from its facts to the sorted parsers that observed just that value."""
+    rows = fact_sources(facts, observations)
+    entries = F.sort_array(F.collect_list(F.struct("fact", F.when(F.col("bound"), F.split("parsers", "[|]")).otherwise(F.array().cast("array<string>")).alias("parsers"))))
+    return rows.groupBy("region_id").agg(F.map_from_entries(entries).alias("sources"))
+
+
 def region_violations(observations: DataFrame) -> DataFrame:
     """Regions for which one parser gives several values of a fact: region_id, parser_id, fact, values."""
     return observations.groupBy("region_id", "parser_id", "fact").agg(F.count_distinct("value_sha256").alias("values")).where("values > 1")

@@ -7,7 +7,7 @@ Events: event_sequence, artifact_id, event_type, reference_id.  Types: ``registe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTITY = tuple("source_sha256 parser_id parser_version parser_configuration_hash model_version scope".split())
@@ -79,3 +79,44 @@ def reference_ids(*tables: tuple[DataFrame, str, str]) -> DataFrame:
         rows = table.where(F.col(reference).isNotNull()).select(F.col(artifact).alias("artifact_id"), F.col(reference).cast("string").alias("reference_id"))
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
+
+
+#: Requests and the event that each makes where it changes something.
+REQUESTS = {"register": "registered", "add": "reference_added", "remove": "reference_removed", "hold": "hold_set", "release": "hold_released", "expire": "expired"}
+
+
+def changes(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """request_id, artifact_id, reference_id, event_type, outcome of requests (request_id, artifact_id, request, reference_id).
+
+    A request that changes something gives its event (``changed``); one that asks for what
+    already is gives none (``unchanged``), so repeating it is harmless.  Of requests for the
+    same in one batch the first counts.  ``refused`` are those on unknown or purged
+    artifacts, registering one that was purged, and expiring under a hold or with references.
+    """
+    state = retention_state(events)
+    s = state.select(F.col("artifact_id").alias("s_"), "references", "legal_hold", "expired", "purged")
+    kind = F.col("event_type")
+    live = events.where(kind.isin("registered", "reference_added", "reference_removed") & F.col("reference_id").isNotNull())
+    live = live.groupBy(F.col("artifact_id").alias("l_"), F.col("reference_id").alias("f_")).agg(F.max_by(kind != "reference_removed", "event_sequence").alias("held"))
+    rows = requests.join(s, F.col("artifact_id") == F.col("s_"), "left").join(live, (F.col("artifact_id") == F.col("l_")) & (F.col("reference_id") == F.col("f_")), "left")
+    ask, known, held = F.col("request"), F.col("s_").isNotNull(), F.coalesce("held", F.lit(False))
+    first = F.row_number().over(Window.partitionBy("artifact_id", "request", "reference_id").orderBy("request_id")) == 1
+    refused = F.coalesce("purged", F.lit(False)) | (~known & (ask != "register")) | ((ask == "expire") & (F.col("legal_hold") | (F.col("references") > 0))) | ~ask.isin(*REQUESTS)
+    already = F.when(ask == "register", known).when(ask == "add", held).when(ask == "remove", ~held).when(ask == "hold", F.col("legal_hold")).when(ask == "release", ~F.col("legal_hold")).when(ask == "expire", F.col("expired"))
+    outcome = F.when(refused, "refused").when(already | ~first, "unchanged").otherwise("changed")
+    event = F.create_map(*[F.lit(x) for pair in REQUESTS.items() for x in pair])[ask]
+    return rows.withColumn("outcome", outcome).select("request_id", "artifact_id", "reference_id", F.when(F.col("outcome") == "changed", event).alias("event_type"), "outcome")
+
+
+def acquired(wanted: DataFrame, records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """request_id, artifact_id, outcome of requests (request_id, extraction_identity) for what has been extracted before.
+
+    The least validated artifact of the identity is taken (``reused``) if its payload
+    (artifact_id, sha256) still is what was recorded (artifact_sha256); else the reference
+    just taken is given back (``released_damaged``), and without one it is a ``miss``.
+    """
+    sound = records.where("state = 'validated' and not purged").groupBy(F.col("extraction_identity").alias("i_")).agg(F.min(F.struct("artifact_id", "artifact_sha256")).alias("r_"))
+    kept = payloads.select(F.col("artifact_id").alias("p_"), F.col("sha256").alias("h_"))
+    rows = wanted.join(sound, F.col("extraction_identity") == F.col("i_"), "left").join(kept, F.col("r_.artifact_id") == F.col("p_"), "left")
+    outcome = F.when(F.col("r_").isNull(), "miss").when(F.col("h_").eqNullSafe(F.col("r_.artifact_sha256")), "reused").otherwise("released_damaged")
+    return rows.select("request_id", F.col("r_.artifact_id").alias("artifact_id"), outcome.alias("outcome"))

@@ -13,6 +13,7 @@ from tracewell.operators import documents as D
 from tracewell.operators import graph as A
 from tracewell.operators import jobs as B
 from tracewell.operators import objects as O
+from tracewell.operators import retention as N
 from tracewell.operators import routing as P
 from tracewell.operators import segments as S
 from tracewell.queries.addressing import relations
@@ -381,3 +382,101 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT *, {sid('doc_id', 'pos', 'literal', "'cross_document_reference'")} AS task_id, 'cross_document_reference' AS kind FROM x""")
 def document_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir)["unresolved"]
+
+
+@query(f"""WITH {LINES}, {_BUILT}, h AS (SELECT doc_id, sha256(string_agg(sha256(text), '' ORDER BY place)) AS content_sha256, count(*) AS blocks, count(DISTINCT page) AS pages, CAST(sum(length(text)) AS BIGINT) AS characters FROM q GROUP BY ALL) SELECT * FROM h""")
+def document_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir)["descriptors"]
+
+
+_TREE = "CASE doc_id % 4 WHEN 0 THEN 'f' || doc_id || '.pdf' WHEN 1 THEN source || '/f' || doc_id || '.pdf' ELSE source || '/' || lang || '/f' || doc_id || '.pdf' END"
+
+
+@query(f"""WITH f AS (SELECT {_TREE} AS relative_path, doc_id, sha256(text) AS h FROM documents), b AS (SELECT *, CASE WHEN contains(relative_path, '/') THEN 'in/' || regexp_extract(relative_path, '^(.*)/[^/]*$', 1) ELSE 'in' END AS bundle, row_number() OVER (ORDER BY relative_path) AS n FROM f),
+s AS (SELECT *, CASE WHEN doc_id % 11 = 3 THEN 'skipped' WHEN n > 150 THEN 'cancelled' WHEN doc_id % 13 = 4 THEN 'failed' END AS st FROM b), k AS (SELECT bundle, h, bool_or(doc_id % 6 <> 0) AS live FROM b WHERE doc_id % 3 = 0 GROUP BY ALL),
+r AS (SELECT s.*, live, row_number() OVER (PARTITION BY s.bundle, s.h ORDER BY relative_path) AS i FROM s LEFT JOIN k ON k.bundle = s.bundle AND k.h = s.h WHERE st IS NULL)
+SELECT relative_path, bundle, CASE WHEN live OR i > 1 THEN 'already_registered' WHEN NOT live THEN 'restored' ELSE 'created' END AS status, NULL AS error FROM r
+UNION ALL SELECT relative_path, bundle, st, CASE WHEN doc_id % 13 = 4 THEN 'unreadable' WHEN doc_id % 11 = 3 THEN 'symlink' END FROM s WHERE st IS NOT NULL""")
+def register_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.expr(_TREE).alias("relative_path"), F.sha2("text", 256).alias("sha256"), F.expr("if(doc_id % 13 = 4, 'unreadable', null)").alias("error"), F.expr("if(doc_id % 11 = 3, 'symlink', null)").alias("reason"))
+    known = rows.where("doc_id % 3 = 0").select(C.tree_bundle("in", F.col("relative_path")).alias("bundle"), "sha256", (F.col("doc_id") % 6 == 0).alias("deleted"))
+    return C.register_tree(rows.drop("doc_id"), known, "in", cancelled_after=150).drop("asset_id")
+
+
+@query("""WITH w AS (SELECT DISTINCT source AS path FROM documents UNION SELECT DISTINCT source || '/' || lang FROM documents), b AS (SELECT DISTINCT source || '/' || lang AS path, lang = 'en' AS deleted FROM documents WHERE doc_id % 3 = 0)
+SELECT w.path, CASE WHEN contains(w.path, '/') THEN regexp_extract(w.path, '^(.*)/', 1) END AS parent, CASE WHEN b.path IS NULL THEN 'created' WHEN b.deleted THEN 'restored' ELSE 'exists' END AS change FROM w LEFT JOIN b ON b.path = w.path""")
+def bundle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang"))
+    return C.bundle_changes(docs.select("path"), docs.where("doc_id % 3 = 0").select("path", (F.col("lang") == "en").alias("deleted")).distinct())
+
+
+@query("""SELECT source, sha256(text) AS sha256, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL HAVING count(*) > 1""")
+def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 3 == 0).alias("deleted"))
+    return C.unique_violations(rows, ["source", "sha256"], ~F.col("deleted"))
+
+
+@query("""SELECT 'p' || user_id % 3 AS profile, event_id AS key FROM events WHERE event_id % 5 <> 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
+def blobs_past_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.expr("'p' || user_id % 3").alias("profile"), F.col("event_id").alias("key"), F.col("ts").alias("created_at"), (F.col("event_id") % 5 != 0).alias("deleted"))
+    now = rows.agg(F.max("created_at").alias("now"))
+    return C.past_grace(rows.join(F.broadcast(now)), rows, F.col("now")).select("profile", "key")
+
+
+@query("SELECT event_id, sha256(replace(CAST(json(props) AS VARCHAR), ' ', '')) AS canonical_sha256 FROM events")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", J.canonical_hash(F.col("props")).alias("canonical_sha256"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS strict FROM events")
+def strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr("""case event_id % 3 when 0 then props when 1 then '{"a":1,"a":2}' else '{"a":NaN}' end""")
+    return table(spark, sf_dir, "events").select("event_id", J.strict(raw).alias("strict"))
+
+
+_ASK = "['register', 'add', 'remove', 'hold', 'release', 'expire', 'other']"
+
+
+@query(f"""WITH e AS (SELECT user_id AS a, event_id AS s, CASE event_id % 4 WHEN 0 THEN 'registered' WHEN 1 THEN 'reference_added' WHEN 2 THEN 'reference_removed' ELSE CASE event_id % 7 WHEN 0 THEN 'purged' WHEN 1 THEN 'hold_set' WHEN 2 THEN 'hold_released' ELSE 'expired' END END AS t, 'r' || event_id % 3 AS r FROM events),
+f AS (SELECT a, r, arg_max(t <> 'reference_removed', s) AS held FROM e WHERE t IN ('registered', 'reference_added', 'reference_removed') GROUP BY ALL), n AS (SELECT a, count(*) FILTER (held) AS refs FROM f GROUP BY ALL),
+k AS (SELECT a, bool_or(t = 'purged') AS purged, bool_or(t = 'expired') AS expired, coalesce(arg_max(t = 'hold_set', s) FILTER (t IN ('hold_set', 'hold_released', 'purged')), false) AS hold FROM e GROUP BY ALL),
+q AS (SELECT o_orderkey AS id, o_custkey AS a, {_ASK}[o_orderkey % 7 + 1] AS ask, 'r' || o_orderkey % 3 AS r FROM orders),
+j AS (SELECT q.*, k.a IS NOT NULL AS known, purged, expired, hold, coalesce(refs, 0) AS refs, coalesce(held, false) AS held, row_number() OVER (PARTITION BY q.a, ask, q.r ORDER BY id) AS i FROM q LEFT JOIN k ON k.a = q.a LEFT JOIN n ON n.a = q.a LEFT JOIN f ON f.a = q.a AND f.r = q.r),
+o AS (SELECT *, CASE WHEN coalesce(purged, false) OR (NOT known AND ask <> 'register') OR (ask = 'expire' AND (hold OR refs > 0)) OR ask = 'other' THEN 'refused' WHEN i > 1 OR CASE ask WHEN 'register' THEN known WHEN 'add' THEN held WHEN 'remove' THEN NOT held WHEN 'hold' THEN hold WHEN 'release' THEN NOT hold ELSE expired END THEN 'unchanged' ELSE 'changed' END AS outcome FROM j)
+SELECT id AS request_id, a AS artifact_id, r AS reference_id, CASE WHEN outcome = 'changed' THEN CASE ask WHEN 'register' THEN 'registered' WHEN 'add' THEN 'reference_added' WHEN 'remove' THEN 'reference_removed' WHEN 'hold' THEN 'hold_set' WHEN 'release' THEN 'hold_released' ELSE 'expired' END END AS event_type, outcome FROM o""")
+def retention_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "case event_id % 4 when 0 then 'registered' when 1 then 'reference_added' when 2 then 'reference_removed' else case event_id % 7 when 0 then 'purged' when 1 then 'hold_set' when 2 then 'hold_released' else 'expired' end end"
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("event_sequence"), F.col("user_id").alias("artifact_id"), F.expr(kind).alias("event_type"), F.expr("'r' || event_id % 3").alias("reference_id"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("artifact_id"), F.expr(f"{_in_spark(_ASK)}[cast(o_orderkey % 7 as int)]").alias("request"), F.expr("'r' || o_orderkey % 3").alias("reference_id"))
+    return N.changes(asked, events)
+
+
+@query("""WITH r AS (SELECT o_custkey AS i, o_orderkey AS a, o_orderkey % 4 AS k FROM orders WHERE o_orderstatus <> 'P'), m AS (SELECT i, min(a) AS a FROM r GROUP BY i)
+SELECT c_custkey AS request_id, a AS artifact_id, CASE WHEN a IS NULL THEN 'miss' WHEN a % 4 IN (0, 1) THEN 'reused' ELSE 'released_damaged' END AS outcome FROM customer LEFT JOIN m ON i = c_custkey""")
+def reuse_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts asked for again, of which some have lost their payload and some have another one."""
+    o = table(spark, sf_dir, "orders")
+    records = o.select(F.col("o_custkey").alias("extraction_identity"), F.col("o_orderkey").alias("artifact_id"), F.sha2("o_orderpriority", 256).alias("artifact_sha256"), F.lit("validated").alias("state"), (F.col("o_orderstatus") == "P").alias("purged"))
+    payloads = o.where("o_orderkey % 4 <> 3").select(F.col("o_orderkey").alias("artifact_id"), F.expr("sha2(if(o_orderkey % 4 = 2, 'x', o_orderpriority), 256)").alias("sha256"))
+    return N.acquired(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("extraction_identity")), records, payloads)
+
+
+@query("""WITH f AS (SELECT l_orderkey AS region_id, CAST(l_linenumber AS VARCHAR) AS fact, min(l_suppkey) AS v FROM lineitem GROUP BY ALL), o AS (SELECT l_orderkey AS region_id, CAST(l_linenumber AS VARCHAR) AS fact, l_suppkey + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS v, l_returnflag AS parser FROM lineitem),
+j AS (SELECT f.region_id, f.fact, coalesce(string_agg(DISTINCT parser, '|' ORDER BY parser), '') AS ps FROM f LEFT JOIN o ON f.region_id = o.region_id AND f.fact = o.fact AND f.v = o.v GROUP BY ALL)
+SELECT region_id, string_agg(fact || '=' || ps, ';' ORDER BY fact) AS sources FROM j GROUP BY region_id""")
+def fact_source_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("region_id"), F.col("l_linenumber").cast("string").alias("fact"), "l_suppkey", "l_partkey", F.col("l_returnflag").alias("parser_id"))
+    facts = rows.groupBy("region_id", "fact").agg(F.sha2(F.min("l_suppkey").cast("string"), 256).alias("value_sha256"))
+    seen = rows.select("region_id", "fact", "parser_id", F.sha2(F.expr("l_suppkey + if(l_partkey % 3 = 0, 1, 0)").cast("string"), 256).alias("value_sha256"))
+    shown = F.transform(F.map_entries("sources"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
+    return O.fact_source_maps(facts, seen).select("region_id", F.array_join(shown, ";").alias("sources"))
+
+
+@query(f"""WITH {LINES} SELECT {sid('doc_id', 'pos')} AS address_id, CASE WHEN doc_id % 2 = 0 THEN 'exact' ELSE 'obsolete' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'exact_match' ELSE 'revision_mismatch' END AS reason FROM l""")
+def resolve_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made against the present graph and against an older one."""
+    rows = nodes(spark, sf_dir).select("node_id", F.col("doc_id").cast("string").alias("resource_id"), F.lit(0).alias("char_start"), F.col("n_chars").alias("char_end"), F.lit("h").alias("source_sha256"), F.expr("if(doc_id % 2 = 0, 'sg-now', 'sg-old')").alias("graph_revision"))
+    resources = rows.select("resource_id", "source_sha256").distinct()
+    none = rows.where("false")
+    found = A.resolve_strong(rows.withColumn("address_id", F.col("node_id")), resources, rows, none.select(F.col("node_id").alias("address_id")), none.select("resource_id"), "sg-now")
+    return found.select("address_id", "status", "reason")

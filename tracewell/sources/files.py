@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +15,61 @@ PAYLOAD = "texts array<struct<label:string,text:string,prov:array<struct<page_no
 HEADINGS = ("title", "section_header", "heading")
 
 
+ENTRY = "path string, relative_path string, length bigint, reason string"
+
+
+def walk(spark: SparkSession, folder: str, recursive: bool = True, catalog: str | None = None, stores: tuple[str, ...] = ()) -> DataFrame:
+    """Every entry below a folder of this machine: path, relative_path, length, reason.
+
+    The reason is why it is left out: ``symlink`` (never followed), ``catalog`` (the
+    catalog's own file or what stands beside it), ``storage_root`` (a folder of ``stores``),
+    ``special_entry`` (neither file nor folder), or the name of the error that reading a
+    folder gave; null for a file that may be taken.  Empty files are files.
+    """
+    roots, own = {os.path.realpath(s) for s in stores}, catalog and os.path.realpath(catalog)
+    rows, todo = [], [(folder, "")]
+    while todo:
+        here, prefix = todo.pop()
+        try:
+            entries = list(os.scandir(here))
+        except OSError as error:
+            rows.append((here, prefix.rstrip("/") or os.path.basename(here), None, type(error).__name__))
+            continue
+        for entry in entries:
+            name, real = prefix + entry.name, os.path.realpath(entry.path)
+            if entry.is_symlink():
+                rows.append((entry.path, name, None, "symlink"))
+            elif entry.is_file(follow_symlinks=False):
+                mine = own and (real == own or real.removeprefix(own) in ("-wal", "-shm", "-journal"))
+                rows.append((entry.path, name, entry.stat().st_size, "catalog" if mine else None))
+            elif not entry.is_dir(follow_symlinks=False):
+                rows.append((entry.path, name, None, "special_entry"))
+            elif real in roots:
+                rows.append((entry.path, name, None, "storage_root"))
+            elif recursive:
+                todo.append((entry.path, name + "/"))
+    return spark.createDataFrame(sorted(rows, key=lambda r: r[1]), ENTRY)
+
+
 def scan(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
-    """Every file below a folder: path, length, modified, sha256, status (``accepted`` or the reason it is skipped). Empty files give no row."""
+    """Every file below a folder: path, length, modified, sha256, status (``accepted`` or the reason it is skipped).
+
+    Spark's reader passes over empty files, so they are taken from the folder's listing,
+    which is all that the driver sees of it, and get the status ``empty``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.substring_index("path", "/", -1)
     status = F.when(name.startswith("."), "hidden").when(~F.lower("path").endswith(suffix), "unsupported_suffix").otherwise("accepted")
-    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), status.alias("status"))
+    found = files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), status.alias("status"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed, bare = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(where, True), []
+    while listed.hasNext():
+        one = listed.next()
+        if one.getLen() == 0:
+            bare.append((one.getPath().toString(), one.getModificationTime() / 1000))
+    empty = spark.createDataFrame(bare, "path string, at double")
+    empty = empty.select("path", F.lit(0).cast("bigint").alias("length"), F.timestamp_seconds("at").alias("modified"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"), F.lit("empty").alias("status"))
+    return found.unionByName(empty.join(found.select(F.col("path").alias("p_")), F.col("path") == F.col("p_"), "left_anti"))
 
 
 def text_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +80,9 @@ def text_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Blocks of HTML: doc_id, pos, observed_type (heading, list_item, table, text), text."""
-    bare = F.regexp_replace(html_col, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
+    # What a page leaves open ends with it, so that no pattern looks in vain for an end.
+    whole = F.concat(F.col(html_col), F.lit("<!-- --></script></style>"))
+    bare = F.regexp_replace(whole, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
     pieces = F.split(F.regexp_replace(bare, r"(?i)(<(?:h[1-6]|li|p|td|th|div|title)\b)", "\x01$1"), "\x01")
     rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces).alias("pos", "piece"))
     tag = F.lower(F.regexp_extract("piece", r"^<([A-Za-z0-9]+)", 1))
