@@ -16,7 +16,8 @@ signatures are only made for windows that have one; that drops no match.
 Defined results: one row per document and license, with the best containment and
 the first place that has it, from the first to the last of the template's shingles
 thereabouts, in characters of the original text; a null, empty or
-short text has no row; repeated rows each give their rows; null ids pass; texts are
+short text has no row, and a template of fewer than SHINGLE words has no shingle and is
+never found; repeated rows each give their rows; null ids pass; texts are
 scanned whole at any length, memory following the slice; an empty table gives an
 empty result; other columns are not looked at.  Templates are given as a dictionary
 that the driver broadcasts; they are the caller's, not the corpus's.
