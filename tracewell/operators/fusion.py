@@ -244,15 +244,17 @@ def adjudicate(observations: DataFrame, rules: DataFrame) -> DataFrame:
     In: group_id, fact, parser_id, value, value_sha256, ambiguous, unsafe.  Rules
     match the exact fact, else the part before its first dot.
     """
-    rows = observations.groupBy("group_id", "fact").agg(
-        F.count_distinct("parser_id").alias("parsers"), F.count_distinct("value_sha256").alias("values"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unsafe").alias("unsafe"), F.min("value").alias("one"), F.collect_set("value").alias("seen"), F.count("*").alias("n_observations")
-    )
     family = rules.select(*[F.col(c).alias(f"f_{c}") for c in rules.columns])
-    rows = rows.join(rules, F.col("fact") == F.col("p_fact"), "left").join(family, F.substring_index("fact", ".", 1) == F.col("f_p_fact"), "left")
     strategy, resolution, gold, preferred = (F.coalesce(F.col(c), F.col(f"f_{c}")) for c in ("strategy", "p_resolution", "p_gold", "preferred"))
-    single = (F.col("values") == 1) & ~F.col("ambiguous")
-    agreed = single & (F.col("parsers") >= 2)
-    chosen = ~F.col("ambiguous") & (F.col("values") > 1) & (strategy == "prefer-explicit-value") & F.array_contains("seen", preferred)
+    # Which values there are matters only as one or several, so least and greatest say enough and nothing is made distinct.
+    marked = observations.join(rules, F.col("fact") == F.col("p_fact"), "left").join(family, F.substring_index("fact", ".", 1) == F.col("f_p_fact"), "left")
+    rows = marked.groupBy("group_id", "fact").agg(
+        (F.min("parser_id") != F.max("parser_id")).alias("several_parsers"), (F.min("value_sha256") != F.max("value_sha256")).alias("several_values"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unsafe").alias("unsafe"), F.min("value").alias("one"), F.bool_or(F.coalesce(F.col("value") == preferred, F.lit(False))).alias("has_preferred"), F.count("*").alias("n_observations"),
+        *[F.min(c).alias(c) for c in ("strategy", "p_resolution", "p_gold", "preferred", "f_strategy", "f_p_resolution", "f_p_gold", "f_preferred")],
+    )
+    single = ~F.col("several_values") & ~F.col("ambiguous")
+    agreed = single & F.col("several_parsers")
+    chosen = ~F.col("ambiguous") & F.col("several_values") & (strategy == "prefer-explicit-value") & F.col("has_preferred")
     state = F.when(F.col("ambiguous"), "unresolved").when(agreed, "agreement").when(single, "complementary").when(strategy == "require-review", "unresolved").otherwise("conflict")
     return rows.select(
         "group_id",
