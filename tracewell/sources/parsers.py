@@ -1,8 +1,7 @@
 """The seam for parsers of binary files: plug-ins run in Arrow batches, chosen by one of four modes.
 
-A plug-in takes the bytes of a file and gives pages as (label, text).  Libraries are
-imported when a plug-in runs, so one that is missing makes a failed result, never a
-failed job.
+A plug-in takes the bytes of a file and gives pages as (label, text).  What goes wrong
+in one makes a failed result, never a failed job.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.plans.lineage import written
+from tracewell.sources import pdf
 
 Parser = Callable[[bytes], list[tuple[str | None, str]]]
 PAGES = "path string, parser_id string, page int, label string, text string, error string"
@@ -26,14 +26,8 @@ def plain_text(payload: bytes) -> list[tuple[str | None, str]]:
 
 
 def pdf_text(payload: bytes) -> list[tuple[str | None, str]]:
-    """Pages of a PDF by the optional library ``pypdf``."""
-    import io
-
-    from pypdf import PdfReader
-
-    reader = PdfReader(io.BytesIO(payload))
-    labels = reader.page_labels
-    return [(labels[k] if k < len(labels) else None, (page.extract_text() or "").strip()) for k, page in enumerate(reader.pages)]
+    """Label and text of the pages of a PDF file."""
+    return pdf.pages_of(payload)
 
 
 PARSERS: dict[str, Parser] = {"text": plain_text, "pdf": pdf_text}
