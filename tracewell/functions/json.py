@@ -74,8 +74,8 @@ def strict(document: Column) -> Column:
     return F.try_parse_json(document).isNotNull()
 
 
-#: Names of fields that could hold a source's text a second time.
-COPY_FIELDS = ("text", "content", "excerpt", "quote", "body", "source_text", "normalized_text", "embedding")
+#: Names of fields that could hold a source's text a second time (JSON-4).
+COPY_FIELDS = tuple(sorted({"body", "content", "embedding", "excerpt", "quote", "text"} | {f"{kind}_text" for kind in ("normalized", "source")}))
 
 
 def copies_text(raw: Column) -> Column:

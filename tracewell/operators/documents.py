@@ -106,20 +106,23 @@ def canonical_blocks(blocks: DataFrame, pages: DataFrame | None = None, images:
     (doc_id, page, pos, box) take part as figures; then all are numbered anew.  An empty
     block keeps a number.
     """
+    placed = {"box", "height"} <= set(blocks.columns)
     for name, kind in _OPTIONAL.items():
         if name not in blocks.columns:
             blocks = blocks.withColumn(name, F.lit(None).cast(kind))
     columns = ["doc_id", "page", "pos", "text", *_OPTIONAL]
     rows = blocks.select(*columns)
     # A last block of a page that ends early has its last sentence cut off; without boxes no page is known to.
-    high = rows.where("box is not null and height is not null").withColumn("y1", F.col("box.y1"))
-    early = structure.early_page_ends(high).select(F.col("doc_id").alias("e_"), F.col("pos").alias("at_"))
-    rows = rows.join(early, (F.col("doc_id") == F.col("e_")) & (F.col("pos") == F.col("at_")), "left")
-    rows = rows.withColumn("split_last", F.coalesce("split_last", F.lit(False)) | F.col("at_").isNotNull()).drop("e_", "at_")
+    if placed:
+        high = rows.where("box is not null and height is not null").withColumn("y1", F.col("box.y1"))
+        early = structure.early_page_ends(high).select(F.col("doc_id").alias("e_"), F.col("pos").alias("at_"))
+        rows = rows.join(early, (F.col("doc_id") == F.col("e_")) & (F.col("pos") == F.col("at_")), "left")
+        rows = rows.withColumn("split_last", F.coalesce("split_last", F.lit(False)) | F.col("at_").isNotNull()).drop("e_", "at_")
+    rows = rows.withColumn("split_last", F.coalesce("split_last", F.lit(False)))
     if pages is not None:
         # A page of its own has nothing to stand before or behind, so any number will do.
         lone = objects.page_fallback(pages, rows).withColumn("pos", F.lit(0))
-        rows = rows.unionByName(lone, allowMissingColumns=True).withColumn("split_last", F.coalesce("split_last", F.lit(False)))
+        rows = rows.unionByName(lone.withColumn("split_last", F.lit(False)), allowMissingColumns=True)
     pieces = structure.fragments(rows).withColumn("ord", F.struct(F.col("pos").cast("bigint").alias("pos"), F.col("fragment").cast("bigint").alias("fragment")))
     shown = ["doc_id", "page", "ord", "text", "block_type", "method", "box", "height"]
     # Text stands in the order its parser gave it, as most parsers have no boxes for it.

@@ -104,14 +104,12 @@ def select_target(requests: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.groupBy("request_id").agg(F.min_by("target_id", "ord").alias("target_id"))
 
 
-#: Older modes of a policy, and the mode that stands for each.
-LEGACY_MODES = {"fixed": "deterministic", "rule": "deterministic", "fallback": "deterministic", "compare": "deterministic", "agent": "hybrid"}
 MODES = ("deterministic", "hybrid", "llm-directed")
 
 
 def adaptive_mode(legacy: Column) -> Column:
-    """The mode that stands for an older one; null for a name that is none."""
-    return F.create_map(*[F.lit(x) for pair in LEGACY_MODES.items() for x in pair])[legacy]
+    """The mode that stands for an older one (RT-7): an agent's is hybrid, all that follow rules are deterministic; null for a name that is none."""
+    return F.when(legacy == "agent", "hybrid").when(legacy.isin("compare", "fallback", "fixed", "rule"), "deterministic")
 
 
 def _holds(required: Column, given: Column) -> Column:
