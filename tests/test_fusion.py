@@ -29,6 +29,13 @@ def test_adjudication(spark, rows, expected):
     assert (d.state, d.accepted_value, d.resolution, d.action, d.gold) == expected
 
 
+def test_observations_are_not_shuffled_by_fact(spark):
+    rows = [("g", "text", "a", "x", False, False)]
+    decided = U.adjudicate(spark.createDataFrame(rows, OBS).withColumn("value_sha256", F.sha2("value", 256)), U.policies(spark))
+    plan = decided._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(fact" not in plan and "SortMergeJoin" not in plan
+
+
 def test_ambiguity_comes_first_and_unsafe_is_never_gold(spark):
     rows = [("g", "text", "a", "x", True, False), ("g", "text", "b", "x", True, False), ("h", "text", "a", "x", False, True), ("h", "text", "b", "x", False, False)]
     frame = spark.createDataFrame(rows, OBS).withColumn("value_sha256", F.sha2("value", 256))

@@ -244,14 +244,18 @@ def adjudicate(observations: DataFrame, rules: DataFrame) -> DataFrame:
     In: group_id, fact, parser_id, value, value_sha256, ambiguous, unsafe.  Rules
     match the exact fact, else the part before its first dot.
     """
+    rules = rules.groupBy("p_fact").agg(*[F.min(c).alias(c) for c in rules.columns if c != "p_fact"])
     family = rules.select(*[F.col(c).alias(f"f_{c}") for c in rules.columns])
     strategy, resolution, gold, preferred = (F.coalesce(F.col(c), F.col(f"f_{c}")) for c in ("strategy", "p_resolution", "p_gold", "preferred"))
     # Which values there are matters only as one or several, so least and greatest say enough and nothing is made distinct.
-    marked = observations.join(rules, F.col("fact") == F.col("p_fact"), "left").join(family, F.substring_index("fact", ".", 1) == F.col("f_p_fact"), "left")
-    rows = marked.groupBy("group_id", "fact").agg(
-        (F.min("parser_id") != F.max("parser_id")).alias("several_parsers"), (F.min("value_sha256") != F.max("value_sha256")).alias("several_values"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unsafe").alias("unsafe"), F.min("value").alias("one"), F.bool_or(F.coalesce(F.col("value") == preferred, F.lit(False))).alias("has_preferred"), F.count("*").alias("n_observations"),
-        *[F.min(c).alias(c) for c in ("strategy", "p_resolution", "p_gold", "preferred", "f_strategy", "f_p_resolution", "f_p_gold", "f_preferred")],
+    # Rules go to the observations: shuffled by fact, all rows of a fact would be one task's.
+    def ruled(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(rules), F.col("fact") == F.col("p_fact"), "left").join(F.broadcast(family), F.substring_index("fact", ".", 1) == F.col("f_p_fact"), "left")
+
+    rows = ruled(observations).withColumn("is_preferred", F.coalesce(F.col("value") == preferred, F.lit(False))).groupBy("group_id", "fact").agg(
+        (F.min("parser_id") != F.max("parser_id")).alias("several_parsers"), (F.min("value_sha256") != F.max("value_sha256")).alias("several_values"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unsafe").alias("unsafe"), F.min("value").alias("one"), F.bool_or("is_preferred").alias("has_preferred"), F.count("*").alias("n_observations"),
     )
+    rows = ruled(rows)
     single = ~F.col("several_values") & ~F.col("ambiguous")
     agreed = single & F.col("several_parsers")
     chosen = ~F.col("ambiguous") & F.col("several_values") & (strategy == "prefer-explicit-value") & F.col("has_preferred")
