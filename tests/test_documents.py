@@ -30,6 +30,14 @@ def test_logical_tables(spark):
     assert [c.cell_text for c in cells[:5]] == ["1", "name 1", "kind", "more text", "AB-1"]
 
 
+def test_logical_tables_read_their_blocks_once(spark):
+    group, columns = "Group", "1\nName\nKind\nText\nAB-1"  # the line of columns is a row too
+    rows = [(1, 0, 0, "caption", "Table 1. One"), (1, 0, 1, "table", group), (1, 0, 2, "table", columns), (1, 0, 3, "table", _row(2)), (1, 0, 4, "text", "prose"), (1, 0, 5, "table", _row(9)), (1, 1, 6, "table", group), (1, 1, 7, "table", columns), (1, 1, 8, "table", _row(3))]
+    made = D.logical_tables(_blocks(spark, [(*r, 10.0 * r[2], 10.0 * r[2] + 8) for r in rows]))
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.row_no, r.part, r.page, r.number) for r in made.where("col_no = 0").orderBy("row_no").collect()] == [(2, 1, 0, "1"), (3, 2, 1, "1")]
+
+
 def test_parser_links(spark):
     blocks = _blocks(spark, [(1, 0, 0, "paragraph", "see Rules and http://x.org", 0.0, 9.0), (1, 0, 1, "paragraph", "other", 20.0, 29.0)])
     links = spark.createDataFrame([(1, 0, "a", "http://x.org", None, 1.0), (1, 0, "b", None, 3, 1.0), (1, 0, "c", None, 3, 21.0), (1, 0, "d", "http://y.org", None, 90.0)], "doc_id bigint, page int, link_id string, target_text string, target_page int, y double")

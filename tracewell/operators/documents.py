@@ -21,24 +21,30 @@ def _folded(text: Column) -> Column:
     return T.folded(F.translate(text, "—–", "--"))
 
 
-def table_rows(blocks: DataFrame) -> DataFrame:
-    """Blocks that are rows of a ruled table: doc_id, page, at (place among the page's content), row_no, cells.
-
-    A row has its number on the first line, three more lines at least, and a rule code
-    on the last line or in the next block if that stands at its height.
-    """
+def _ruled(blocks: DataFrame) -> DataFrame:
+    """The blocks of pages without margins: ``at`` (place on the page), the next two texts, and what they say as a row (``sound``) of a ruled table."""
     content = blocks.where(~F.col("block_type").isin(*MARGINS))
     order = Window.partitionBy("doc_id", "page").orderBy("pos")
-    rows = content.withColumn("at", F.row_number().over(order) - 1).withColumn("lines", T.lines(F.col("text")))
-    following, beside = T.strip(F.lead("text").over(order)), F.lead("box").over(order)
-    level = F.least(F.col("box.y1"), beside["y1"]) >= F.greatest(F.col("box.y0"), beside["y0"])
+    rows = content.select("doc_id", "page", "text", "box", (F.row_number().over(order) - 1).alias("at"), F.lead("text").over(order).alias("next_"), F.lead("text", 2).over(order).alias("second_"), F.lead("box").over(order).alias("beside_"))
+    rows = rows.withColumn("lines", T.lines(F.col("text"))).withColumn("following_", T.strip(F.col("next_")))
+    level = F.least(F.col("box.y1"), F.col("beside_.y1")) >= F.greatest(F.col("box.y0"), F.col("beside_.y0"))
     own = F.when(F.element_at("lines", -1).rlike(RULE), F.element_at("lines", -1))
-    rows = rows.withColumn("own_code", F.when(F.size("lines") > 0, own)).withColumn("next_code", F.when(following.rlike(RULE) & level, following))
+    rows = rows.withColumn("own_code", F.when(F.size("lines") > 0, own)).withColumn("next_code", F.when(F.col("following_").rlike(RULE) & level, F.col("following_")))
     facts = F.when(F.col("own_code").isNotNull(), F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(1)))).otherwise(F.col("lines"))
     rows = rows.withColumn("facts", facts).withColumn("code", F.coalesce("own_code", "next_code"))
     sound = (F.size("lines") > 0) & F.coalesce(F.get("facts", F.lit(0)).rlike(ROW), F.lit(False)) & F.col("code").isNotNull() & (F.size("facts") >= 4)
     cells = F.array(F.get("facts", F.lit(0)), F.get("facts", F.lit(1)), F.get("facts", F.lit(2)), F.array_join(F.slice("facts", 4, F.size("facts")), " "), F.col("code"))
-    return rows.where(sound).select("doc_id", "page", "at", F.get("facts", F.lit(0)).cast("int").alias("row_no"), cells.alias("cells"), F.col("own_code").isNull().alias("code_beside"))
+    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("code_beside", F.col("own_code").isNull())
+    return rows.withColumn("row_no", F.when(F.col("sound"), F.get("facts", F.lit(0)).cast("int"))).withColumn("cells", F.when(F.col("sound"), cells))
+
+
+def table_rows(blocks: DataFrame) -> DataFrame:
+    """Blocks that are rows of a ruled table: doc_id, page, at (place among the page's content), row_no, cells.
+
+    A row has its number on the first line, three more lines at least, and a rule code
+    on the last line or in the next block if that stands at its height.
+    """
+    return _ruled(blocks).where("sound").select("doc_id", "page", "at", "row_no", "cells", "code_beside")
 
 
 def logical_tables(blocks: DataFrame) -> DataFrame:
@@ -47,31 +53,39 @@ def logical_tables(blocks: DataFrame) -> DataFrame:
     A table begins after its caption with a group line and a line of two or more
     columns, and goes on on the next page if that begins with the same two and its
     first row number is the next.  Tables of one page are no logical tables.
+
+    The blocks are read once.  ``gap`` counts the places of a page before a block that no
+    row takes (a code of its own beside a row is part of it), so the rows that follow a
+    beginning without a break are those of its gap, and at most four beginnings share one.
     """
-    content = blocks.where(~F.col("block_type").isin(*MARGINS))
-    order = Window.partitionBy("doc_id", "page").orderBy("pos")
-    rows = content.withColumn("at", F.row_number().over(order) - 1)
-    rows = rows.withColumn("group", _folded(F.lead("text", 1).over(order))).withColumn("columns", T.lines(F.lead("text", 2).over(order)))
-    started = rows.where(T.strip(F.col("text")).rlike(CAPTION) & (F.size("columns") >= 2)).select("doc_id", "page", F.regexp_extract(T.strip(F.col("text")), CAPTION, 1).alias("number"), "group", "columns", (F.col("at") + 3).alias("begin"))
-    going = content.withColumn("at", F.row_number().over(order) - 1).withColumn("c_", T.lines(F.lead("text").over(order))).where("at = 0 and size(c_) >= 2")
-    going = going.select("doc_id", "page", F.lit(None).cast("string").alias("number"), _folded(F.col("text")).alias("group"), F.col("c_").alias("columns"), F.lit(2).alias("begin"))
-    heads = started.unionByName(going)
-    # The rows of a part stand one after the other; a code of its own beside a row takes one place more.
-    found = heads.join(table_rows(blocks).withColumnRenamed("doc_id", "d_").withColumnRenamed("page", "p_"), (F.col("doc_id") == F.col("d_")) & (F.col("page") == F.col("p_")) & (F.col("at") >= F.col("begin")))
-    run = Window.partitionBy("doc_id", "page", "begin").orderBy("at")
-    before = F.coalesce(F.sum(1 + F.col("code_beside").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = found.withColumn("expected", F.col("begin") + before).where("at = expected")
-    parts = found.groupBy("doc_id", "page", "begin", "number", "group", "columns").agg(F.min("row_no").alias("low"), F.max("row_no").alias("high"), F.count_distinct("row_no").alias("n")).where("high - low + 1 = n")
+    order = Window.partitionBy("doc_id", "page").orderBy("at")
+    rows = _ruled(blocks).withColumn("bare_", T.strip(F.col("text"))).withColumn("taken_", F.when(F.col("sound"), 1 + F.col("code_beside").cast("int")).otherwise(0))
+    rows = rows.withColumn("started_", F.when(F.col("bare_").rlike(CAPTION), T.lines(F.col("second_")))).withColumn("going_", F.when(F.col("at") == 0, T.lines(F.col("next_"))))
+    ahead = [F.lead("taken_", k, 0).over(order) for k in (1, 2)]
+    rows = rows.withColumn("gap_", F.col("at") - F.coalesce(F.sum("taken_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("one_", ahead[0]).withColumn("two_", ahead[1])
+
+    def event(at: Column, gap: Column, row_no: Column, cells: Column, begin: Column, number: Column, group: Column, columns: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), gap.cast("bigint").alias("gap"), row_no.cast("int").alias("row_no"), cells.cast("array<string>").alias("cells"), F.struct(begin.cast("int").alias("begin"), number.cast("string").alias("number"), group.alias("group"), columns.alias("columns")).alias("head"))
+
+    none, at, gap = F.lit(None), F.col("at"), F.col("gap_")
+    text = none.cast("string")
+    row = F.when(F.col("sound"), event(at, gap, F.col("row_no"), F.col("cells"), none, none, text, none.cast("array<string>")))
+    start = F.when(F.size("started_") >= 2, event(at, gap + 3 - F.col("taken_") - F.col("one_") - F.col("two_"), none, none, at + 3, F.regexp_extract("bare_", CAPTION, 1), _folded(F.col("next_")), F.col("started_")))
+    going = F.when(F.size("going_") >= 2, event(at, gap + 2 - F.col("taken_") - F.col("one_"), none, none, F.lit(2), none, _folded(F.col("text")), F.col("going_")))
+    events = rows.select("doc_id", "page", F.inline(F.array_compact(F.array(row, start, going))))
+    found = events.withColumn("heads", F.collect_list(F.when(F.col("head.begin").isNotNull(), F.col("head"))).over(Window.partitionBy("doc_id", "page", "gap")))
+    found = found.where("cells is not null").select("doc_id", "page", "gap", "at", "row_no", "cells", F.explode(F.filter("heads", lambda h: h["begin"] <= F.col("at"))).alias("h")).select("doc_id", "page", "gap", "at", "row_no", "cells", "h.*")
+    # The rows of a part are on one page and go with it, so nothing is joined to them again.
+    parts = found.groupBy("doc_id", "page", "gap", "begin", "number", "group", "columns").agg(F.min("row_no").alias("low"), F.max("row_no").alias("high"), F.size(F.collect_set("row_no")).alias("n"), F.collect_list(F.struct("row_no", "cells")).alias("rows")).where("high - low + 1 = n")
     pages = Window.partitionBy("doc_id", "group", "columns").orderBy("page", "begin")
     goes_on = F.col("number").isNull() & (F.lag("page").over(pages) + 1 == F.col("page")) & (F.lag("high").over(pages) + 1 == F.col("low"))
     parts = parts.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
     parts = parts.withColumn("table", F.sum((~F.col("goes_on")).cast("int")).over(pages)).withColumn("part", F.row_number().over(Window.partitionBy("doc_id", "group", "columns", "table").orderBy("page", "begin")))
     whole = Window.partitionBy("doc_id", "group", "columns", "table")
     parts = parts.withColumn("name", F.min_by("number", "part").over(whole)).withColumn("parts", F.count("*").over(whole)).where("parts > 1 and name is not null")
-    p = parts.select(F.col("doc_id").alias("x_"), F.col("page").alias("y_"), F.col("begin").alias("z_"), "name", "part")
-    cells = found.join(p, (F.col("doc_id") == F.col("x_")) & (F.col("page") == F.col("y_")) & (F.col("begin") == F.col("z_")))
+    cells = parts.select("doc_id", F.col("name").alias("number"), "page", "part", "columns", F.inline("rows"))
     sound = F.when(F.size("columns") == F.size("cells"), F.arrays_zip("columns", "cells"))
-    return cells.select("doc_id", F.col("name").alias("number"), "page", "part", "row_no", F.posexplode_outer(sound).alias("col_no", "c")).select("doc_id", "number", "page", "part", "row_no", "col_no", F.col("c.columns").alias("column_name"), F.col("c.cells").alias("cell_text"))
+    return cells.select("doc_id", "number", "page", "part", "row_no", F.posexplode_outer(sound).alias("col_no", "c")).select("doc_id", "number", "page", "part", "row_no", "col_no", F.col("c.columns").alias("column_name"), F.col("c.cells").alias("cell_text"))
 
 
 def parser_links(links: DataFrame, blocks: DataFrame, sections: DataFrame) -> DataFrame:
