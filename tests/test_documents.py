@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import documents as D
 from tracewell.operators import segments as G
+from tracewell.queries import checking
 from tracewell.sources import parsers as P
 
 BLOCKS = "doc_id bigint, page int, pos int, block_type string, text string, y0 double, y1 double"
@@ -38,6 +39,12 @@ def test_logical_tables_read_their_blocks_once(spark):
     assert [(r.row_no, r.part, r.page, r.number) for r in made.where("col_no = 0").orderBy("row_no").collect()] == [(2, 1, 0, "1"), (3, 2, 1, "1")]
 
 
+def test_rows_of_tables_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(checking, "_RULED_ROWS", 300)
+    made = checking.table_rows(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= 20
+
+
 def test_parser_links(spark):
     blocks = _blocks(spark, [(1, 0, 0, "paragraph", "see Rules and http://x.org", 0.0, 9.0), (1, 0, 1, "paragraph", "other", 20.0, 29.0)])
     links = spark.createDataFrame([(1, 0, "a", "http://x.org", None, 1.0), (1, 0, "b", None, 3, 1.0), (1, 0, "c", None, 3, 21.0), (1, 0, "d", "http://y.org", None, 90.0)], "doc_id bigint, page int, link_id string, target_text string, target_page int, y double")

@@ -292,9 +292,16 @@ def region_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Whole documents: tables over pages, links, and what is built from blocks.
 
 
+#: Rows of tables that one task makes.
+_RULED_ROWS = 100_000
+
+
 def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of one table for each order, three rows a page; every fourth order's later pages begin with another group."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
+    # Numbers of rows are small and their texts are not, so tasks are given by the rows to make and not by the size of the numbers.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items.count() // _RULED_ROWS)
+    rows = items.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
     numbered = rows.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("r")).select("doc_id", F.expr("cast((r - 1) div 3 as int)").alias("page"), F.expr("10 + r").alias("k"), F.expr("concat(r, '\nname ', r, '\nkind\nmore\ntext\nAB-', r)").alias("text"))
     heads = numbered.select("doc_id", "page").distinct()
     group = F.expr("if(doc_id % 4 = 0 and page > 0, 'Other group', 'Group — one')")
