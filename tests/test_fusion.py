@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import fusion as U
 from tracewell.operators import hierarchy as H
+from tracewell.plans.lineage import written
 
 OBS = "group_id string, fact string, parser_id string, value string, ambiguous boolean, unsafe boolean"
 
@@ -92,6 +93,16 @@ def test_deep_trees_take_few_rounds(spark):
     assert H.cyclic(chain, "id", "up").count() == 0
 
 
+def test_cycles_end_when_no_end_is_lost_and_gather_nothing(spark, monkeypatch):
+    rows = [(10 * t + k, 10 * t + ((k + 1) % 3 if k < 3 else k - 1)) for t in range(200) for k in range(10)]
+    made = []
+    monkeypatch.setattr(H, "written", lambda df, label: made.append(df) or written(df, label))
+    got = {r.node for r in H.cyclic(spark.createDataFrame(rows, "k bigint, p bigint"), "k", "p").collect()}
+    assert got == {10 * t + k for t in range(200) for k in range(3)}
+    assert len(made) <= 6, "rounds by the depth of the tails and not by the number of nodes"
+    assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+
+
 REGION = "region_id string, parser_id string, kind string, resource_id string, page int, anchor string, selectors array<string>, char_start int, char_end int, signature string, box struct<x0:double,y0:double,x1:double,y1:double>, digest string"
 
 

@@ -63,15 +63,20 @@ def cyclic(tree: DataFrame, key: str, parent: str) -> DataFrame:
 
     Whoever climbs as many steps as there are nodes has left the tree or stands on a
     cycle, and every node of a cycle is where some other one of it ends up.  Rounds
-    double the steps; a node of several parents follows each.
+    double the steps; a node of several parents follows each.  Where one can end up
+    gets fewer with every step and stays once a step takes none away, so the rounds
+    end when doubling the steps leaves as many; a forest of shallow trees takes few.
+    Tables of all nodes are merged, never gathered at the driver to be broadcast.
     """
     jump = written(_parents(tree, key, parent).where("p_ is not null"), "cycle")
-    nodes, steps = jump.select("k_").distinct().count(), 1
-    while steps < nodes and not jump.isEmpty():
-        on = jump.select(F.col("k_").alias("m_"), F.col("p_").alias("q_"))
+    left = jump.select("p_").distinct().count()
+    while left:
+        on = jump.select(F.col("k_").alias("m_"), F.col("p_").alias("q_")).hint("merge")
         further = written(jump.join(on, F.col("p_") == F.col("m_")).select("k_", F.col("q_").alias("p_")).distinct(), "cycle")
         drop_written(jump)
-        jump, steps = further, 2 * steps
+        jump, before, left = further, left, further.select("p_").distinct().count()
+        if left == before:
+            break
     return jump.select(F.col("p_").alias("node")).distinct()
 
 
