@@ -37,6 +37,13 @@ def test_observations_are_not_shuffled_by_fact(spark):
     assert "hashpartitioning(fact" not in plan and "SortMergeJoin" not in plan
 
 
+@pytest.mark.parametrize("summed", [U.region_states, U.state_counts])
+def test_summaries_of_decisions_are_not_shuffled_by_fact(spark, summed):
+    frame = spark.createDataFrame([("g", "text", "a", "x", False, False)], OBS).withColumn("value_sha256", F.sha2("value", 256))
+    made = summed(U.adjudicate(frame, U.policies(spark)))
+    assert "hashpartitioning(fact" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ambiguity_comes_first_and_unsafe_is_never_gold(spark):
     rows = [("g", "text", "a", "x", True, False), ("g", "text", "b", "x", True, False), ("h", "text", "a", "x", False, True), ("h", "text", "b", "x", False, False)]
     frame = spark.createDataFrame(rows, OBS).withColumn("value_sha256", F.sha2("value", 256))
