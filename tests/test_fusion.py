@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 from tracewell.operators import fusion as U
 from tracewell.operators import hierarchy as H
 from tracewell.plans.lineage import written
+from tracewell.queries import fusing, registry
 
+SF = "/root/testdata/sf0.001"
 OBS = "group_id string, fact string, parser_id string, value string, ambiguous boolean, unsafe boolean"
 
 
@@ -44,6 +47,16 @@ def test_summaries_of_decisions_are_not_shuffled_by_fact(spark, summed):
     assert "hashpartitioning(fact" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def _hashed(made):
+    return set(re.findall(r"hashpartitioning\(([a-z_]+)", made._jdf.queryExecution().executedPlan().toString())) - {"p_fact"}
+
+
+def test_decisions_stay_in_the_task_of_their_document(spark, monkeypatch):
+    assert _hashed(fusing.region_states(spark, SF)) == {"doc_id"}
+    monkeypatch.setattr(registry, "SPREAD_BYTES", 10_000)
+    assert fusing.region_states(spark, SF).rdd.getNumPartitions() > 8, "tasks by the size of the table"
+
+
 def test_ambiguity_comes_first_and_unsafe_is_never_gold(spark):
     rows = [("g", "text", "a", "x", True, False), ("g", "text", "b", "x", True, False), ("h", "text", "a", "x", False, True), ("h", "text", "b", "x", False, False)]
     frame = spark.createDataFrame(rows, OBS).withColumn("value_sha256", F.sha2("value", 256))

@@ -35,10 +35,10 @@ def policies(spark, rows=POLICIES) -> DataFrame:
     return spark.createDataFrame(rows, "p_fact string, strategy string, p_resolution string, p_gold boolean, preferred string")
 
 
-def unpivot(blocks: DataFrame, facts: dict[str, str], empty_skipped: tuple[str, ...] = ()) -> DataFrame:
-    """One row per region and fact: parser_id, region_id, fact, value, value_sha256. Nulls give no row, nor do empty values of ``empty_skipped``."""
+def unpivot(blocks: DataFrame, facts: dict[str, str], empty_skipped: tuple[str, ...] = (), kept: tuple[str, ...] = ()) -> DataFrame:
+    """One row per region and fact: parser_id, region_id, columns ``kept``, fact, value, value_sha256. Nulls give no row, nor do empty values of ``empty_skipped``."""
     columns = ", ".join(f"'{fact}', cast(`{column}` as string)" for fact, column in facts.items())
-    rows = blocks.select("parser_id", "region_id", F.expr(f"stack({len(facts)}, {columns}) as (fact, value)")).where("value is not null")
+    rows = blocks.select("parser_id", "region_id", *kept, F.expr(f"stack({len(facts)}, {columns}) as (fact, value)")).where("value is not null")
     if empty_skipped:
         rows = rows.where(~(F.col("fact").isin(*empty_skipped) & (F.col("value") == "")))
     return rows.withColumn("value_sha256", F.sha2("value", 256))
@@ -238,11 +238,12 @@ def fuse_blocks(blocks: DataFrame) -> DataFrame:
     return fused.withColumn("reading_order", F.row_number().over(order) - 1).drop("o_", "folded", "nth")
 
 
-def adjudicate(observations: DataFrame, rules: DataFrame) -> DataFrame:
+def adjudicate(observations: DataFrame, rules: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """One decision per (group_id, fact): state, accepted_value, resolution, action, gold.
 
     In: group_id, fact, parser_id, value, value_sha256, ambiguous, unsafe.  Rules
-    match the exact fact, else the part before its first dot.
+    match the exact fact, else the part before its first dot.  ``within``: columns that a
+    group has one value of; observations partitioned by them are not shuffled.
     """
     rules = rules.groupBy("p_fact").agg(*[F.min(c).alias(c) for c in rules.columns if c != "p_fact"])
     family = rules.select(*[F.col(c).alias(f"f_{c}") for c in rules.columns])
@@ -252,7 +253,7 @@ def adjudicate(observations: DataFrame, rules: DataFrame) -> DataFrame:
     def ruled(rows: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(rules), F.col("fact") == F.col("p_fact"), "left").join(F.broadcast(family), F.substring_index("fact", ".", 1) == F.col("f_p_fact"), "left")
 
-    rows = ruled(observations).withColumn("is_preferred", F.coalesce(F.col("value") == preferred, F.lit(False))).groupBy("group_id", "fact").agg(
+    rows = ruled(observations).withColumn("is_preferred", F.coalesce(F.col("value") == preferred, F.lit(False))).groupBy(*within, "group_id", "fact").agg(
         (F.min("parser_id") != F.max("parser_id")).alias("several_parsers"), (F.min("value_sha256") != F.max("value_sha256")).alias("several_values"), F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unsafe").alias("unsafe"), F.min("value").alias("one"), F.bool_or("is_preferred").alias("has_preferred"), F.count("*").alias("n_observations"),
     )
     rows = ruled(rows)
@@ -261,6 +262,7 @@ def adjudicate(observations: DataFrame, rules: DataFrame) -> DataFrame:
     chosen = ~F.col("ambiguous") & F.col("several_values") & (strategy == "prefer-explicit-value") & F.col("has_preferred")
     state = F.when(F.col("ambiguous"), "unresolved").when(agreed, "agreement").when(single, "complementary").when(strategy == "require-review", "unresolved").otherwise("conflict")
     return rows.select(
+        *within,
         "group_id",
         "fact",
         state.alias("state"),
@@ -272,10 +274,10 @@ def adjudicate(observations: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def region_states(decisions: DataFrame) -> DataFrame:
-    """Per group the gravest state of its facts, and gold if all facts are."""
+def region_states(decisions: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Per group the gravest state of its facts, and gold if all facts are; ``within`` as for :func:`adjudicate`."""
     grave = F.max(F.array_position(F.array(*map(F.lit, STATES)), F.col("state")))
-    return decisions.groupBy("group_id").agg(F.element_at(F.array(*map(F.lit, STATES)), grave.cast("int")).alias("state"), F.bool_and("gold").alias("gold"), F.count("*").alias("facts"))
+    return decisions.groupBy(*within, "group_id").agg(F.element_at(F.array(*map(F.lit, STATES)), grave.cast("int")).alias("state"), F.bool_and("gold").alias("gold"), F.count("*").alias("facts"))
 
 
 def state_counts(decisions: DataFrame) -> DataFrame:

@@ -28,10 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pos, line of the non-blank lines of documents; ``pos`` counts blank ones."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where("trim(line) <> ''")
+#: Bytes of a table, as it stands in its files, for each task of :func:`spread`.
+SPREAD_BYTES = 4_000_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of a table hashed by ``key`` into tasks that stay as small whatever the size of the table.
+
+    What is made of the rows of a key then stands in one task, so windows and groups
+    within keys are not shuffled any more.
+    """
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SPREAD_BYTES), key)
+
+
+def lines(spark: SparkSession, sf_dir: str, by_document: bool = False) -> DataFrame:
+    """doc_id, pos, line of the non-blank lines of documents; ``pos`` counts blank ones. ``by_document`` spreads them."""
+    documents = table(spark, sf_dir, "documents")
+    documents = spread(documents, "doc_id") if by_document else documents
+    return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) <> ''")
 
 
 #: The same rows in DuckDB, as common table expression ``l``.
