@@ -53,6 +53,7 @@ def _hashed(made):
 
 def test_decisions_stay_in_the_task_of_their_document(spark, monkeypatch):
     assert _hashed(fusing.region_states(spark, SF)) == {"doc_id"}
+    assert _hashed(fusing.fusion_state_counts(spark, SF)) <= {"doc_id", "state", "s_"}
     monkeypatch.setattr(registry, "SPREAD_BYTES", 10_000)
     assert fusing.region_states(spark, SF).rdd.getNumPartitions() > 8, "tasks by the size of the table"
 
