@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, with the four separators U+001C to U+001F that Java leaves out.
 SPACE = r"[\s\x1c-\x1f]"
+#: The same characters, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Where :func:`lines` cuts.
+BREAK = r"[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 APPENDIX = rf"(?U)^Appendix{SPACE}+([A-Z])\.{SPACE}+(\S.*)$"
 NUMBERED = rf"(?U)^([A-Z](?:[.]\d+)*|(?:\d+[.])*\d+)[.]{SPACE}+(\S.*)$"
 FIGURE = r"(?U)^Figure\s+\d+(-\d+)*\.\s+\S"
@@ -20,13 +24,13 @@ SENTENCE_GAP = r"(?U)(?<=[.!?])(\s+)"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; the characters one by one, as a pattern is tried at every place of a text."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
-    """Every run of white space one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
+    """Every run of white space one blank, none at the ends. Single blanks are no match, so most texts stay as they are."""
+    return F.trim(F.regexp_replace(text, rf"(?U)[{SPACE[1:-1]}&&[^ ]]{SPACE}*| {SPACE}+", " "))
 
 
 def folded(text: Column) -> Column:
@@ -133,7 +137,8 @@ def inline_table(text: Column) -> Column:
 
     Cut places are tried from the last line backwards; rows of three begin at line 3.
     At most three prose lines follow, beginning in upper case and holding a sentence
-    end, and no sentence ends in the first two cells of a row.
+    end, and no sentence ends in the first two cells of a row.  A text without a line
+    break is not looked at any further.
     """
     rows = lines(text)
     end = r"[.!?](\s|$)"
@@ -145,4 +150,4 @@ def inline_table(text: Column) -> Column:
         return (F.size(rows) - at <= 3) & first.rlike(r"(?U)^\p{Lu}") & prose.rlike(end) & ~F.exists(cells, lambda x: x)
 
     tried = F.filter(F.sequence(F.size(rows) - 1, F.lit(6), F.lit(-1)), lambda at: at % 3 == 0)
-    return F.when(F.size(rows) >= 7, F.get(F.filter(tried, fits), F.lit(0)))
+    return F.when(text.rlike(BREAK) & (F.size(rows) >= 7), F.get(F.filter(tried, fits), F.lit(0)))

@@ -50,7 +50,7 @@ def fragments(blocks: DataFrame) -> DataFrame:
     split = (
         F.when(F.col("observed_type").isin("page_header", "page_footer"), F.array(part(text, "whole")))
         .when(cut.isNotNull(), F.array(part(F.array_join(F.slice(rows, 1, F.greatest(cut, F.lit(1))), "\n"), "inline_table"), part(F.array_join(F.slice(rows, cut + 1, F.size(rows)), " "), "inline_prose")))
-        .when((kind == "list") & (F.size(items) > 1), F.transform(items, lambda x: part(x, "list_item")))
+        .when(F.contains(text, F.lit("•")) & (F.size(items) > 1) & (kind == "list"), F.transform(items, lambda x: part(x, "list_item")))
         .when(F.col("split_last") & (F.size(pieces) > 1), F.array(part(head, "sentence_split"), part(T.strip(F.element_at(pieces, -1)), "sentence_split")))
         .otherwise(F.array(part(text, "whole")))
     )
