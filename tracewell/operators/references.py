@@ -18,9 +18,10 @@ URL = r"https?://[^()<>\[\]\s]+"
 VERSIONED = r"([A-Z][-A-Za-z0-9’' &]+(?:Policy|Manual|Handbook),\s*Version\s+(?:\d+\.)*\d+)"
 
 
-def scanned(blocks: DataFrame) -> DataFrame:
-    """Blocks whose kind is looked at for references, their text collapsed."""
-    return blocks.where(F.col("block_type").isin(*SCANNED)).withColumn("text", T.collapse(F.col("text")))
+def scanned(blocks: DataFrame, word: str = "") -> DataFrame:
+    """Blocks whose kind is looked at for references, their text collapsed; only those with ``word``, which a wanted reference cannot do without, in small or large letters if it begins with (?Ui)."""
+    named = F.col("text").rlike(word) if word.startswith("(?") else F.contains("text", F.lit(word))
+    return blocks.where(F.col("block_type").isin(*SCANNED) & named).withColumn("text", T.collapse(F.col("text")))
 
 
 def _phrases(text: Column, pattern: str) -> Column:
@@ -34,10 +35,9 @@ def _mentions(blocks: DataFrame, pattern: str, number: str) -> DataFrame:
 
 def section_mentions(blocks: DataFrame) -> DataFrame:
     """doc_id, pos, literal, number of every section or appendix a block names; a list of sections gives one row each."""
-    rows = scanned(blocks)
-    one = _mentions(rows, ONE_SECTION, NUMBER)
-    many = _mentions(rows, MANY_SECTIONS, NUMBER)
-    appendix = rows.select("doc_id", "pos", F.explode(_phrases(F.col("text"), APPENDIX)).alias("literal")).withColumn("number", F.regexp_extract("literal", r"([A-Z])$", 1))
+    one = _mentions(scanned(blocks, "Section"), ONE_SECTION, NUMBER)
+    many = _mentions(scanned(blocks, "Sections"), MANY_SECTIONS, NUMBER)
+    appendix = scanned(blocks, "Appendix").select("doc_id", "pos", F.explode(_phrases(F.col("text"), APPENDIX)).alias("literal")).withColumn("number", F.regexp_extract("literal", r"([A-Z])$", 1))
     return one.unionByName(many).unionByName(appendix)
 
 
@@ -50,7 +50,7 @@ def section_references(blocks: DataFrame, sections: DataFrame) -> DataFrame:
 
 def page_references(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Mentions of a printed page label that a page of the document has: doc_id, pos, literal, page_id."""
-    found = scanned(blocks).select("doc_id", "pos", F.explode(_phrases(F.col("text"), PRINTED_PAGE)).alias("literal"))
+    found = scanned(blocks, "(?Ui)printed").select("doc_id", "pos", F.explode(_phrases(F.col("text"), PRINTED_PAGE)).alias("literal"))
     found = found.withColumn("l_", F.lower(F.regexp_extract("literal", r"(\S+)$", 1)))
     target = pages.groupBy(F.col("doc_id").alias("d_"), F.lower("label").alias("t_")).agg(F.max_by("page_id", "page_id").alias("page_id"))
     return found.join(target, (F.col("doc_id") == F.col("d_")) & (F.col("l_") == F.col("t_"))).select("doc_id", "pos", "literal", "page_id").distinct()
@@ -58,13 +58,13 @@ def page_references(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 def url_references(blocks: DataFrame) -> DataFrame:
     """doc_id, pos, url: the distinct web addresses of a block, without closing punctuation."""
-    found = scanned(blocks).select("doc_id", "pos", F.explode(_phrases(F.col("text"), URL)).alias("url"))
+    found = scanned(blocks, "http").select("doc_id", "pos", F.explode(_phrases(F.col("text"), URL)).alias("url"))
     return found.withColumn("url", F.rtrim("url", F.lit(".,;:"))).distinct()
 
 
 def unresolved_mentions(blocks: DataFrame) -> DataFrame:
     """doc_id, pos, literal, task_id of documents named with a version, which no corpus table can resolve."""
-    found = scanned(blocks).select("doc_id", "pos", F.explode(_phrases(F.col("text"), VERSIONED)).alias("literal")).distinct()
+    found = scanned(blocks, "Version").select("doc_id", "pos", F.explode(_phrases(F.col("text"), VERSIONED)).alias("literal")).distinct()
     return found.withColumn("task_id", T.stable_id(F.col("doc_id"), F.col("pos"), F.col("literal"), F.lit("cross_document_reference")))
 
 
