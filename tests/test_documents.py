@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import documents as D
 from tracewell.operators import segments as G
+from tracewell.plans.lineage import written
 from tracewell.queries import checking
 from tracewell.sources import parsers as P
 
@@ -71,6 +72,19 @@ def test_build(spark):
     assert G.violations(views.where("role = 'retrieval'"), nodes).count() == 0
 
 
+def test_tables_are_made_when_asked_for_and_nodes_need_no_join(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(D, "written", lambda df, label: labels.append(label) or written(df, label))
+    rows = [(7, k, 0, t, "text") for k, t in enumerate(["\u2003See  Travel Policy, Version 2.1 \x1c", "1. First\u3000", "Body"])]
+    made = D.build(spark.createDataFrame(rows, "doc_id bigint, pos int, page int, text string, observed_type string"))
+    assert [r.literal for r in made["unresolved"].collect()] == ["See Travel Policy, Version 2.1"]
+    assert made["descriptors"].first().blocks == 3 and labels == ["blocks"]
+    nodes = made["graph_nodes"]
+    assert {(r.sequence_number, r.division_id) for r in nodes.collect()} == {(0, "7:document"), (1, "7:s1"), (2, "7:s1")} and labels == ["blocks"]
+    assert "Join" not in nodes._jdf.queryExecution().executedPlan().toString()
+    assert made["sections"].first().title == "First" and labels == ["blocks", "sections"]
+
+
 def test_parsers(spark):
     files = spark.createDataFrame([("a", bytearray("one\ftwo".encode())), ("b", bytearray(b"\xff\xfe\xfa"))], "path string, content binary")
     got = P.route(files, "fixed", ("text",)).orderBy("path", "page").collect()

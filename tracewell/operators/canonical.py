@@ -12,8 +12,8 @@ from tracewell.functions import text as T
 UNSETTLED = tuple("ambiguous contradicted unresolved rejected".split())
 
 
-def content_nodes(blocks: DataFrame) -> DataFrame:
-    """Nodes of the non-empty blocks: node_id, doc_id, sequence_number, text, text_sha256, char_start, char_end.
+def content_nodes(blocks: DataFrame, *kept: str) -> DataFrame:
+    """Nodes of the non-empty blocks: node_id, doc_id, sequence_number, text, text_sha256, char_start, char_end, and columns ``kept``.
 
     An empty block makes no node but keeps its sequence number.  The selector is the
     half-open span in the document that joins all blocks with line feeds, in characters.
@@ -22,7 +22,7 @@ def content_nodes(blocks: DataFrame) -> DataFrame:
     start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("bigint")
     rows = blocks.withColumn("char_start", start).withColumn("sequence_number", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
     rows = rows.where(F.length(T.strip(F.col("text"))) > 0).withColumn("char_end", F.col("char_start") + F.length("text"))
-    return rows.select(T.stable_id(F.col("doc_id"), F.col("sequence_number")).alias("node_id"), "doc_id", "pos", "sequence_number", "text", F.sha2("text", 256).alias("text_sha256"), "char_start", "char_end")
+    return rows.select(T.stable_id(F.col("doc_id"), F.col("sequence_number")).alias("node_id"), "doc_id", "pos", "sequence_number", "text", F.sha2("text", 256).alias("text_sha256"), "char_start", "char_end", *kept)
 
 
 def node_violations(nodes: DataFrame, sources: DataFrame) -> DataFrame:

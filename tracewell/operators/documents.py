@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,6 +155,20 @@ def _related(rows: DataFrame, kind: str, status: str | Column, method: str) -> D
     return rows.select("doc_id", F.col("pos").alias("source_pos"), F.col("literal"), F.col("target_id"), F.lit(kind).alias("relation_type"), known.alias("status"), F.lit(method).alias("method"))
 
 
+def _own_links(blocks: DataFrame, sections: DataFrame, links: DataFrame) -> DataFrame:
+    own = parser_links(links, blocks, sections.select("doc_id", "section_id", "page", "title"))
+    return own.withColumn("literal", F.coalesce("target_id", F.col("link_id").cast("string")))
+
+
+def tasks_left(blocks: DataFrame, sections: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """What :func:`relations` cannot settle; sections matter only to links."""
+    tasks = references.unresolved_mentions(blocks).select("doc_id", "pos", "literal", "task_id", F.lit("cross_document_reference").alias("kind"))
+    if links is None:
+        return tasks
+    left = _own_links(blocks, sections, links).where("status = 'unresolved'")
+    return tasks.unionByName(left.select("doc_id", "pos", "literal", T.stable_id(F.col("doc_id"), F.col("link_id"), F.lit("parser_link")).alias("task_id"), F.lit("parser_link").alias("kind")))
+
+
 def relations(blocks: DataFrame, sections: DataFrame, labels: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All references of blocks, each once by block, literal, type, target and method, and the tasks that are left.
 
@@ -164,89 +179,115 @@ def relations(blocks: DataFrame, sections: DataFrame, labels: DataFrame | None =
     """
     urls = references.url_references(blocks).select("doc_id", "pos", F.col("url").alias("literal"), F.col("url").alias("target_id"))
     found = [_related(references.section_references(blocks, sections), "references", "resolved", "deterministic_exact"), _related(urls, "links_to", "observed", "deterministic_url")]
-    tasks = references.unresolved_mentions(blocks).select("doc_id", "pos", "literal", "task_id", F.lit("cross_document_reference").alias("kind"))
     if labels is not None:
         pages = references.page_references(blocks, labels).withColumnRenamed("page_id", "target_id")
         found.append(_related(pages, "references", "resolved", "printed_page_label"))
     if links is not None:
-        starts = sections.select("doc_id", "section_id", "page", "title")
-        own = parser_links(links, blocks, starts).withColumn("literal", F.coalesce("target_id", F.col("link_id").cast("string")))
+        own = _own_links(blocks, sections, links)
         handled = urls.select(F.col("doc_id").alias("h_"), F.col("pos").alias("p_"), F.col("target_id").alias("t_"))
         same = (F.col("doc_id") == F.col("h_")) & (F.col("pos") == F.col("p_")) & (F.col("target_id") == F.col("t_"))
         found.append(_related(own.where("status = 'observed'").join(handled, same, "left_anti"), "links_to", "observed", "parser_link"))
-        left = own.where("status = 'unresolved'").select("doc_id", "pos", "literal", T.stable_id(F.col("doc_id"), F.col("link_id"), F.lit("parser_link")).alias("task_id"), F.lit("parser_link").alias("kind"))
-        tasks = tasks.unionByName(left)
     rows = reduce(DataFrame.unionByName, found)
     key = T.stable_id(*[F.col(c) for c in ("doc_id", "source_pos", "literal", "relation_type", "target_id", "method")])
-    return rows.withColumn("relation_id", key).dropDuplicates(["relation_id"]), tasks
+    return rows.withColumn("relation_id", key).dropDuplicates(["relation_id"]), tasks_left(blocks, sections, links)
+
+
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, made: dict[str, Callable[[], DataFrame]]):
+        self._made = {name: cache(make) for name, make in made.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._made[name]()
 
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._made)
 
-def build(blocks: DataFrame, pages: DataFrame | None = None, images: DataFrame | None = None, links: DataFrame | None = None, labels: DataFrame | None = None, parsed: DataFrame | None = None) -> dict[str, DataFrame]:
+    def __len__(self) -> int:
+        return len(self._made)
+
+
+def build(blocks: DataFrame, pages: DataFrame | None = None, images: DataFrame | None = None, links: DataFrame | None = None, labels: DataFrame | None = None, parsed: DataFrame | None = None) -> Mapping[str, DataFrame]:
     """All tables of documents from blocks (see :func:`canonical_blocks`), partitioned by document.
 
-    The blocks in their order are written once and everything is made from that table.
+    The blocks in their order are written once and everything is made from that table,
+    each when it is asked for; sections are written where a table needs them.
     A document without numbered headings has the one division of the document itself;
     its ``section_pages`` are the parser's (``parsed``: doc_id, section_id, first_page,
     last_page) if there are any, else all its pages.
     """
     typed = written(canonical_blocks(blocks, pages, images).withColumn("observed_type", F.col("block_type")), "blocks")
-    heads = typed.where("block_type = 'heading'")
-    heads = heads.withColumn("number", T.heading_number(F.col("text"))).withColumn("title", T.heading_title(F.col("text"))).where("number is not null")
-    heads = heads.select("doc_id", "pos", "page", "number", "title", T.heading_level(F.col("number")).alias("level"))
     lengths = typed.groupBy("doc_id").agg(F.max("pos").alias("last_pos"))
-    nested = structure.nested_sections(heads).join(lengths, "doc_id").withColumn("end_pos", F.coalesce(F.col("next_pos") - 1, F.col("last_pos"))).drop("next_pos", "last_pos")
+    number = T.heading_number(F.col("text"))
 
     def section(pos: Column) -> Column:
         return F.concat(F.col("doc_id").cast("string"), F.lit(":s"), pos.cast("string"))
 
-    sections = written(nested.withColumn("section_id", section(F.col("pos"))).withColumn("parent_id", section(F.col("parent_pos"))), "sections")
+    @cache
+    def sections() -> DataFrame:
+        heads = typed.where("block_type = 'heading'").withColumn("number", number).withColumn("title", T.heading_title(F.col("text"))).where("number is not null")
+        heads = heads.select("doc_id", "pos", "page", "number", "title", T.heading_level(F.col("number")).alias("level"))
+        nested = structure.nested_sections(heads).join(lengths, "doc_id").withColumn("end_pos", F.coalesce(F.col("next_pos") - 1, F.col("last_pos"))).drop("next_pos", "last_pos")
+        return written(nested.withColumn("section_id", section(F.col("pos"))).withColumn("parent_id", section(F.col("parent_pos"))), "sections")
+
     paging = typed.withColumn("level", T.heading_level(T.heading_number(F.col("text")))).select("doc_id", "pos", "page", "level")
     root = F.concat(F.col("doc_id").cast("string"), F.lit(":document"))
-    divisions = lengths.select("doc_id", root.alias("division_id"), F.lit(None).cast("string").alias("parent_division_id")).unionByName(sections.select("doc_id", F.col("section_id").alias("division_id"), F.coalesce("parent_id", root).alias("parent_division_id")))
+
+    def divisions() -> DataFrame:
+        whole = lengths.select("doc_id", root.alias("division_id"), F.lit(None).cast("string").alias("parent_division_id"))
+        return whole.unionByName(sections().select("doc_id", F.col("section_id").alias("division_id"), F.coalesce("parent_id", root).alias("parent_division_id")))
+
     # The section a block stands in is the last heading at or before it: sections nest, so that is the deepest.
-    marked = typed.join(heads.select(F.col("doc_id").alias("h_"), F.col("pos").alias("i_")), (F.col("doc_id") == F.col("h_")) & (F.col("pos") == F.col("i_")), "left")
-    owner = F.last("i_", ignorenulls=True).over(structure.document_order().rowsBetween(Window.unboundedPreceding, 0))
-    placed = marked.withColumn("division_id", F.coalesce(section(owner), root)).drop("h_", "i_")
-    kinds = placed.select(F.col("doc_id").alias("k_"), F.col("pos").alias("l_"), F.col("block_type").alias("node_kind"), "division_id")
-    nodes = canonical.content_nodes(typed).join(kinds, (F.col("doc_id") == F.col("k_")) & (F.col("pos") == F.col("l_"))).drop("k_", "l_").withColumn("n_chars", F.length("text"))
+    # Whether a block is a heading it says itself, so blocks are not joined to headings, nor nodes to blocks, and one exchange serves all.
+    head = F.when((F.col("block_type") == "heading") & number.isNotNull(), F.col("pos"))
+    owner = F.last(head, ignorenulls=True).over(structure.document_order().rowsBetween(Window.unboundedPreceding, 0))
+    placed = typed.withColumn("division_id", F.coalesce(section(owner), root))
+    nodes = canonical.content_nodes(placed.where("doc_id is not null").withColumn("node_kind", F.col("block_type")), "node_kind", "division_id").withColumn("n_chars", F.length("text"))
 
     page_at = typed.select(F.col("doc_id").alias("a_"), F.col("pos").alias("b_"), F.col("page").alias("last_page"))
     counts = typed.groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
-    own = sections.join(page_at, (F.col("doc_id") == F.col("a_")) & (F.col("end_pos") == F.col("b_")), "left").select("doc_id", "section_id", F.col("page").alias("first_page"), "last_page")
-    none = own.where("false")
+
+    def section_pages() -> DataFrame:
+        own = sections().join(page_at, (F.col("doc_id") == F.col("a_")) & (F.col("end_pos") == F.col("b_")), "left").select("doc_id", "section_id", F.col("page").alias("first_page"), "last_page")
+        return objects.section_fallback(own, own.where("false") if parsed is None else parsed, counts)
+
     notes = objects.footnotes(typed)
     tables = logical_tables(typed)
     drawn = typed.where("block_type = 'figure' and method = 'image'").select("doc_id", "page", "pos", "box")
     shown = objects.figures(typed.where("box is not null"), drawn)
-    found, tasks = relations(typed, sections, labels, links)
     things = notes.select("doc_id", "pos").unionByName(drawn.select("doc_id", "pos"))
     owned = things.join(placed.select(F.col("doc_id").alias("o_"), F.col("pos").alias("p_"), "division_id"), (F.col("doc_id") == F.col("o_")) & (F.col("pos") == F.col("p_")))
     owned = _related(owned.select("doc_id", "pos", F.lit(None).cast("string").alias("literal"), F.col("division_id").alias("target_id")), "owned_by", "resolved", "deterministic_exact")
     marks = _related(notes.where("marker_pos is not null").select("doc_id", "pos", F.col("marker").alias("literal"), F.concat(F.col("doc_id").cast("string"), F.lit(":b"), F.col("marker_pos").cast("string")).alias("target_id")), "annotates", "resolved", "deterministic_nearest")
     more = owned.unionByName(marks)
     more = more.withColumn("relation_id", T.stable_id(*[F.col(c) for c in ("doc_id", "source_pos", "literal", "relation_type", "target_id", "method")]))
-    every = found.unionByName(more).withColumn("epistemic_state", canonical.epistemic_state(F.col("status"), F.col("method")))
-    every = every.withColumn("gold_eligible", graph.is_gold(F.col("target_id"), F.col("status"), F.col("epistemic_state")))
+
+    @cache
+    def every() -> DataFrame:
+        found = relations(typed, sections(), labels, links)[0].unionByName(more).withColumn("epistemic_state", canonical.epistemic_state(F.col("status"), F.col("method")))
+        return found.withColumn("gold_eligible", graph.is_gold(F.col("target_id"), F.col("status"), F.col("epistemic_state")))
+
     shape = F.to_json(F.sort_array(F.collect_list(F.struct("row_no", "col_no", "column_name", "cell_text"))))
     subject = F.concat(F.col("doc_id").cast("string"), F.lit(":table:"), F.col("number"))
     representations = tables.groupBy("doc_id", "number").agg(shape.alias("payload")).select("doc_id", T.stable_id(F.col("doc_id"), F.col("number"), F.lit("cells")).alias("representation_id"), subject.alias("subject_id"), F.lit("application/json").alias("media_type"), "payload", F.sha2("payload", 256).alias("payload_sha256"))
-    sizes = typed.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_distinct("page").alias("pages"), F.sum(F.length("text")).alias("characters"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("content_sha256"))
+    sizes = typed.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.size(F.collect_set("page")).cast("bigint").alias("pages"), F.sum(F.length("text")).alias("characters"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("content_sha256"))
     graph_nodes = nodes.select("node_id", "doc_id", "division_id", "node_kind", "sequence_number", "text_sha256", "char_start", "char_end")
-    return {
-        "blocks": typed,
+    return Tables({
+        "blocks": lambda: typed,
         "sections": sections,
-        "section_pages": objects.section_fallback(own, none if parsed is None else parsed, counts),
-        "continuation": structure.section_continuation(sections.select("doc_id", "pos", "level", "end_pos"), paging),
+        "section_pages": section_pages,
+        "continuation": lambda: structure.section_continuation(sections().select("doc_id", "pos", "level", "end_pos"), paging),
         "divisions": divisions,
-        "nodes": nodes,
-        "tables": tables,
-        "figures": shown,
-        "footnotes": notes,
+        "nodes": lambda: nodes,
+        "tables": lambda: tables,
+        "figures": lambda: shown,
+        "footnotes": lambda: notes,
         "relations": every,
-        "unresolved": tasks,
-        "representations": representations,
-        "descriptors": sizes,
-        "graph_nodes": graph_nodes,
-        "graph_edges": every.select("relation_id", "doc_id", "source_pos", "target_id", "relation_type", "status", "epistemic_state", "gold_eligible"),
-        "evidence": structure.evidence_chain(typed.select("doc_id", F.col("page").alias("pos")).distinct()),
-    }
+        "unresolved": lambda: tasks_left(typed, None if links is None else sections(), links),
+        "representations": lambda: representations,
+        "descriptors": lambda: sizes,
+        "graph_nodes": lambda: graph_nodes,
+        "graph_edges": lambda: every().select("relation_id", "doc_id", "source_pos", "target_id", "relation_type", "status", "epistemic_state", "gold_eligible"),
+        "evidence": lambda: structure.evidence_chain(typed.select("doc_id", F.col("page").alias("pos")).distinct()),
+    })
