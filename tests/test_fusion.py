@@ -158,3 +158,69 @@ def test_stronger_evidence_supersedes(spark):
     groups = {r.region_id: (r.group_id, r.members) for r in U.alignment_groups(frame, evidence).collect()}
     assert groups["z"] == ("z", 1) and groups["a4"] == groups["b4"] == groups["c4"] and groups["a4"][1] == 3 and groups["a1"][0].startswith("group-")
     assert evidence._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 8, "one table for each step"
+
+
+def _many_regions(documents, apart=False):
+    """Regions of all kinds; if ``apart``, those of different documents agree in nothing."""
+    rng = random.Random(7)
+    rows = []
+    for d in range(documents):
+        some = lambda values: rng.choice([*values, None])
+        for k in range(60):
+            kind, y = rng.choice(["block", "block", "table", "relation", "generic"]), rng.randrange(12)
+            facts = {"resource_id": some([f"r{d}"] * 3), "page": some([0, 1]), "anchor": some("xyz"), "signature": some([f"{d}:s", f"{d}:t"]), "digest": some([f"{d}:u", f"{d}:v"]), "char_start": some([1, 2]), "char_end": some([3]), "box": some([(0.0, float(y), 10.0, y + rng.choice([0.0, 4.0, 5.0, 9.0]))] * 3)}
+            if kind == "generic" or rng.random() < 0.4:
+                facts = {"digest": facts["digest"], "signature": facts["signature"], "box": facts["box"] if kind != "generic" else None, "page": facts["page"] if kind != "generic" else None}
+            if apart and facts.get("resource_id") is None:
+                facts |= {"char_start": None, "box": None}
+            facts["selectors"] = some([[f"{d}:{k % 7}", f"{d}:{k % 5}"], [], None])
+            for parser in rng.sample("abc", rng.choice([1, 1, 1, 1, 2, 3])):
+                rows.append((d, *_region(f"{d}:{k:02d}", parser, kind, **facts)))
+    return rows
+
+
+def test_alignment_within_groups_is_that_of_all_regions(spark, monkeypatch):
+    frame = spark.createDataFrame([*_many_regions(6, apart=True), (None, *_region(None, "a"))], "doc bigint, " + REGION)
+    evidence = U.align(frame.drop("doc"))
+    groups = U.alignment_groups(frame.drop("doc"), evidence)
+    want, members = sorted(map(tuple, evidence.collect())), sorted(map(tuple, groups.collect()))
+    assert {r[2] for r in want} == {U.SHARED_ID, *U.METHODS} and {r[5] for r in want} == {"exact", "accepted-candidate", "superseded", "rejected", "ambiguous"}
+    for at_once in (5, 100_000):
+        monkeypatch.setattr(U, "PAIRS_AT_ONCE", at_once)
+        assert sorted(map(tuple, U.align(frame, within=("doc",)).select(evidence.columns).collect())) == want
+        assert sorted(map(tuple, U.groups_within(frame, ("doc",)).select(groups.columns).collect())) == members
+
+
+def test_candidates_are_those_of_comparing_all_regions(spark):
+    regions = U._whole(spark.createDataFrame(_many_regions(4), "doc bigint, " + REGION).drop("doc"), ())
+    found = {(r.left_id, r.right_id): (r.priority, r.selectors, round(r.score, 9)) for r in U.candidates(regions).collect()}
+    rows, want = regions.collect(), {}
+    for a in rows:
+        for b in rows:
+            if a.region_id >= b.region_id or set(a.parsers.split("|")) & set(b.parsers.split("|")) or a.kind != b.kind:
+                continue
+            same = lambda *names: all(a[n] == b[n] for n in names)
+            shared = sorted(set(a.selectors) & set(b.selectors))
+            nowhere = not any(x[c] is not None for x in (a, b) for c in U._PLACE) and not a.selectors and not b.selectors
+            boxes = a.kind != "generic" and a.page is not None and same("page") and (a.resource_id or "") == (b.resource_id or "") and a.box and b.box
+            high = min(a.box.y1, b.box.y1) - max(a.box.y0, b.box.y0) if boxes else 0
+            if a.kind != "relation" and None not in (a.resource_id, a.page, a.anchor) and same("resource_id", "page", "anchor"):
+                want[a.region_id, b.region_id] = (1, "", 1.0)
+            elif shared:
+                want[a.region_id, b.region_id] = (2, "|".join(shared), 1.0)
+            elif a.char_start is not None and same("resource_id", "page", "char_start", "char_end"):
+                want[a.region_id, b.region_id] = (3, "", 1.0)
+            elif a.kind == "relation" and a.signature is not None and same("signature"):
+                want[a.region_id, b.region_id] = (4, "", 1.0)
+            elif high > 0:
+                want[a.region_id, b.region_id] = (5, "", round(10 * high / (10 * (a.box.y1 - a.box.y0) + 10 * (b.box.y1 - b.box.y0) - 10 * high), 9))
+            elif a.kind == "generic" and a.digest is not None and same("digest") and nowhere:
+                want[a.region_id, b.region_id] = (6, "", 1.0)
+    assert {p for p, _, _ in want.values()} == {1, 2, 3, 4, 5, 6}
+    assert found == want
+
+
+@pytest.mark.parametrize("aligned", ["align_groups"])
+def test_regions_are_aligned_in_the_task_of_their_document(spark, aligned):
+    plan = getattr(fusing, aligned)(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(([a-z_]+)", plan)) == {"doc_id"} and "Join" not in plan

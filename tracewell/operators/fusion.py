@@ -1,13 +1,18 @@
 """Observations of several parsers: aligned, compared, adjudicated fact by fact.
 
 Observations are long: parser_id, region_id, fact, value, with the SHA-256 of the
-value.  Alignment pairs are found by equality joins and never by pairing all regions.
+value.  Alignment pairs are found by equal keys and never by pairing all regions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,42 +71,174 @@ SHARED_ID = "exact-source-region-id"
 _PLACE = ("resource_id", "page", "anchor", "char_start", "char_end", "box")
 
 
-def _equal(rows: DataFrame, keys: list[str], priority: int) -> DataFrame:
-    """Pairs of regions without a common parser that agree in ``keys``, nulls being equal."""
-    left = rows.select(F.col("region_id").alias("left_id"), F.col("parsers").alias("left_parser"), *[F.col(k).alias(f"l_{k}") for k in keys])
-    right = rows.select(F.col("region_id").alias("right_id"), F.col("parsers").alias("right_parser"), *[F.col(k).alias(f"r_{k}") for k in keys])
-    both = left.join(right, [*[F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for k in keys], F.col("left_id") < F.col("right_id")])
-    apart = ~F.arrays_overlap(F.split("left_parser", "[|]"), F.split("right_parser", "[|]"))
-    shown = F.col("l_selector") if "selector" in keys else F.lit("")
-    return both.where(apart).select("left_id", "right_id", "left_parser", "right_parser", F.lit(priority).alias("priority"), F.lit(1.0).alias("score"), shown.alias("selector"))
+def _whole(regions: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """One row per region: its parsers, joined by bars, all its selectors, and the least of every other fact."""
+    rest = [c for c in regions.columns if c not in ("region_id", "parser_id", "selectors", *within)]
+    first = Window.partitionBy(*within, "region_id").orderBy("parser_id")
+    every = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parsers = F.array_join(F.sort_array(F.collect_set("parser_id").over(every)), "|").alias("parsers")
+    selectors = F.array_distinct(F.flatten(F.collect_list(F.coalesce("selectors", F.array().cast("array<string>"))).over(every))).alias("selectors")
+    rows = regions.select(*within, "region_id", parsers, selectors, *[F.min(c).over(every).alias(c) for c in rest], F.row_number().over(first).alias("n_"))
+    return rows.where("n_ = 1").drop("n_")
 
 
-def candidates(regions: DataFrame) -> DataFrame:
+def candidates(whole: DataFrame, within: tuple[str, ...] = (), alone: Column | None = None) -> DataFrame:
     """Each pair of regions of one kind with its strongest agreement: left_id, right_id, parsers, priority, score, selectors.
 
-    Six equality joins, one for each way to agree; boxes meet in bands (:func:`bbox_scores`),
-    and pairs of boxes that do not overlap are no candidates.
+    ``whole``: regions with all their ``parsers``. A region gives a row for each key by
+    which it may agree with others, nulls being equal, and meets those that follow it under
+    the key. Keys of boxes are the bands of their page that they reach into, twice as high
+    as its tallest box; a pair counts in the band where the later of the two begins, and
+    not at all if the boxes do not overlap. ``within`` as for :func:`align`. Regions with
+    ``alone`` are also paired with themselves, at priority 0.
     """
-    located = regions.where("kind <> 'relation' and resource_id is not null and page is not null and anchor is not null")
-    selected = regions.withColumn("selector", F.explode("selectors"))
-    spans = regions.where("char_start is not null")
-    signed = regions.where("kind = 'relation' and signature is not null")
     nowhere = F.coalesce(F.size("selectors"), F.lit(0)) <= 0
     for column in _PLACE:
         nowhere = nowhere & F.col(column).isNull()
-    texts = regions.where((F.col("kind") == "generic") & F.col("digest").isNotNull() & nowhere)
-    boxes = regions.where("kind <> 'generic' and page is not null and box is not null").withColumn("doc_id", F.coalesce("resource_id", F.lit(""))).withColumnRenamed("parsers", "parser_id")
-    boxed = bbox_scores(boxes).where(~F.arrays_overlap(F.split("left_parser", "[|]"), F.split("right_parser", "[|]")))
-    boxed = boxed.select("left_id", "right_id", "left_parser", "right_parser", F.lit(5).alias("priority"), "score", F.lit("").alias("selector"))
-    found = _equal(located, ["kind", "resource_id", "page", "anchor"], 1).unionByName(_equal(selected, ["kind", "selector"], 2)).unionByName(_equal(spans, ["kind", "resource_id", "page", "char_start", "char_end"], 3))
-    found = found.unionByName(_equal(signed, ["kind", "signature"], 4)).unionByName(boxed).unionByName(_equal(texts, ["kind", "digest"], 6))
-    least = F.min(F.struct("priority", "score")).alias("least_")
-    shared = F.array_join(F.sort_array(F.collect_set(F.when(F.col("priority") == 2, F.col("selector")))), "|").alias("selectors_")
-    rows = found.groupBy("left_id", "right_id", "left_parser", "right_parser").agg(least, shared)
-    return rows.select("left_id", "right_id", "left_parser", "right_parser", F.col("least_.priority").alias("priority"), F.col("least_.score").alias("score"), F.when(F.col("least_.priority") == 2, F.col("selectors_")).otherwise("").alias("selectors"))
-
-
-def align(regions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    boxed = F.coalesce((F.col("kind") != "generic") & F.col("page").isNotNull() & (F.col("box.y1") > F.col("box.y0")), F.lit(False))
+    place = F.coalesce("resource_id", F.lit(""))
+    page = Window.partitionBy(*within, F.when(boxed, place), F.when(boxed, F.col("page")), F.when(~boxed, F.col("region_id")))
+    high = F.greatest(2 * F.max(F.when(boxed, F.col("box.y1") - F.col("box.y0"))).over(page), F.lit(1e-9))
+    rows = whole.withColumn("from_", F.floor(F.col("box.y0") / high)).withColumn("to_", F.floor(F.col("box.y1") / high))
+
+    def key(priority: int, *parts: Column, begins: Column | None = None) -> Column:
+        padded = [*parts, *[F.lit(None)] * (4 - len(parts))]
+        return F.struct(F.lit(priority).alias("priority"), (F.lit(True) if begins is None else begins).alias("begins"), *[c.cast("string").alias(f"k{i}_") for i, c in enumerate(padded)])
+
+    resource, on = F.col("resource_id"), F.col("page")
+    ways = [
+        F.when((F.col("kind") != "relation") & resource.isNotNull() & on.isNotNull() & F.col("anchor").isNotNull(), F.array(key(1, resource, on, F.col("anchor")))),
+        F.transform("selectors", lambda selector: key(2, selector)),
+        F.when(F.col("char_start").isNotNull(), F.array(key(3, resource, on, F.col("char_start"), F.col("char_end")))),
+        F.when((F.col("kind") == "relation") & F.col("signature").isNotNull(), F.array(key(4, F.col("signature")))),
+        F.when(boxed, F.transform(F.sequence("from_", "to_"), lambda band: key(5, place, on, band, begins=band == F.col("from_")))),
+        F.when((F.col("kind") == "generic") & F.col("digest").isNotNull() & nowhere, F.array(key(6, F.col("digest")))),
+    ]
+    if alone is not None:
+        ways.append(F.when(alone, F.array(key(0))))
+    keys = F.explode(F.flatten(F.array_compact(F.array(*ways)))).alias("key_")
+    rows = rows.select(*within, "region_id", "parsers", "kind", "box", keys).select(*within, "region_id", "parsers", "kind", "key_.*", F.when(F.col("key_.priority") == 5, F.col("box")).alias("box"))
+    names = ["priority", "kind", *[f"k{i}_" for i in range(4)]]
+    # The hash comes first since sorting is fast by its first column.
+    rows = rows.withColumn("hash_", F.xxhash64(*names))
+    following = Window.partitionBy("hash_", *within, *names).orderBy("region_id").rowsBetween(1, Window.unboundedFollowing)
+    own = F.struct("region_id", "parsers", "begins", "box")
+    others = F.when(F.col("priority") == 0, F.array(own)).otherwise(F.collect_list(own).over(following))
+    pairs = rows.withColumn("others_", others).withColumn("o_", F.explode("others_"))
+    apart = (F.col("priority") == 0) | ((F.col("region_id") < F.col("o_.region_id")) & (F.col("parsers") != F.col("o_.parsers")) & ~F.arrays_overlap(F.split("parsers", "[|]"), F.split("o_.parsers", "[|]")))
+    score = F.when(F.col("priority") == 5, G.iou(F.col("box"), F.col("o_.box"))).otherwise(F.lit(1.0)).alias("score")
+    pairs = pairs.where(apart & (F.col("begins") | F.col("o_.begins"))).select(*within, F.col("region_id").alias("left_id"), F.col("o_.region_id").alias("right_id"), F.col("parsers").alias("left_parser"), F.col("o_.parsers").alias("right_parser"), "priority", score, F.when(F.col("priority") == 2, F.col("k0_")).alias("selector"))
+    least = Window.partitionBy(*within, "left_id", "right_id", "left_parser", "right_parser").orderBy("priority", "score")
+    shared = F.array_join(F.sort_array(F.collect_set("selector").over(least.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))), "|")
+    pairs = pairs.where("score > 0").withColumn("shared_", shared).withColumn("n_", F.row_number().over(least)).where("n_ = 1")
+    return pairs.select(*within, "left_id", "right_id", "left_parser", "right_parser", "priority", "score", F.when(F.col("priority") == 2, F.col("shared_")).otherwise("").alias("selectors"))
+
+
+#: Pairs that are settled together where ``within`` is given; those of a group always are.
+PAIRS_AT_ONCE = 100_000
+
+
+def _settled(pairs: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Codes of the left and right regions of candidates, the regions by code, and the status of each candidate, settled as by :func:`align`."""
+    ids = pa.concat_arrays([c for side in ("left_id", "right_id") for c in pairs[side].chunks]).dictionary_encode()
+    parsers = pa.concat_arrays([c for side in ("left_parser", "right_parser") for c in pairs[side].chunks]).dictionary_encode()
+    left, right = np.split(ids.indices.to_numpy().astype(np.int64), 2)
+    left_parser, right_parser = np.split(parsers.indices.to_numpy().astype(np.int64), 2)
+    priority, score = pairs["priority"].to_numpy(), pairs["score"].to_numpy()
+    status = np.full(len(left), "superseded", object)
+    taken = np.zeros(len(ids.dictionary), bool)
+    many = np.array(["|" in name for name in parsers.dictionary.to_pylist()], bool)
+    alone = priority == 0
+    status[alone] = "exact"
+    taken[left[alone & many[left_parser]]] = True
+    for step, method in enumerate(METHODS, 1):
+        now = np.flatnonzero((priority == step) & ~taken[left] & ~taken[right])
+        if not len(now):
+            continue
+        l, r, s = left[now], right[now], score[now]
+        sides = [np.unique(own * len(parsers.dictionary) + other, return_inverse=True)[1] for own, other in ((l, right_parser[now]), (r, left_parser[now]))]
+        if method.startswith("bbox"):
+            best = []
+            for side in sides:
+                most = np.zeros(side.max() + 1)
+                np.maximum.at(most, side, s)
+                best.append(np.abs(s - most[side]) <= 1e-9 * np.maximum(np.abs(s), np.abs(most[side])))
+            ok = (s >= threshold) & best[0] & best[1]
+            for side, is_best in zip(sides, best):
+                ok &= np.bincount(side, is_best)[side] == 1
+            won = np.zeros(len(taken), bool)
+            won[l[ok]] = won[r[ok]] = True
+            found = np.where(ok, "accepted-candidate", np.where(won[l] | won[r], "superseded", np.where(s < threshold, "rejected", "ambiguous"))).astype(object)
+        else:
+            found = np.where((np.bincount(sides[0])[sides[0]] == 1) & (np.bincount(sides[1])[sides[1]] == 1), "exact", "ambiguous").astype(object)
+        status[now] = found
+        over = np.isin(found, ("exact", "accepted-candidate", "ambiguous"))
+        taken[l[over]] = taken[r[over]] = True
+    return left, right, ids.dictionary.to_pylist(), status
+
+
+def _evidence(pairs: pa.Table, threshold: float) -> dict:
+    status = _settled(pairs, threshold)[3]
+    # A region of n parsers is exact by its id once for each pair of them.
+    bars = pc.count_substring(pairs["left_parser"], "|").to_numpy()
+    alone = pairs["priority"].to_numpy() == 0
+    at = np.repeat(np.arange(len(status)), np.where(alone, bars * (bars + 1) // 2, 1))
+    method = pa.array((SHARED_ID, *METHODS)).take(pairs["priority"].combine_chunks())
+    made = {"left_id": pairs["left_id"], "right_id": pairs["right_id"], "method": method, "score": pairs["score"], "selectors": pairs["selectors"], "status": pa.array(status, pa.string())}
+    return {name: column.take(pa.array(at)) for name, column in made.items()}
+
+
+def _members(pairs: pa.Table, threshold: float) -> dict:
+    left, right, names, status = _settled(pairs, threshold)
+    up = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    joined = np.isin(status, ("exact", "accepted-candidate")) & (left != right)
+    for one, two in zip(left[joined].tolist(), right[joined].tolist()):
+        up[root(one)] = root(two)
+    groups: dict[int, list[str]] = {}
+    for code, name in enumerate(names):
+        groups.setdefault(root(code), []).append(name)
+    rows = [(name, m[0] if len(m) == 1 else "group-" + sha256("\x1f".join(sorted(m)).encode()).hexdigest(), len(m)) for m in groups.values() for name in m]
+    kinds = {"region_id": pa.string(), "group_id": pa.string(), "members": pa.int32()}
+    return {name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), zip(*rows))}
+
+
+def _by_group(pairs: DataFrame, within: tuple[str, ...], made: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """``made`` of all pairs, some whole groups of ``within`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if table.num_rows:
+                yield from pa.table(made(table)).to_batches(10_000)
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < PAIRS_AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held)
+            last = np.ones(n, bool)
+            for c in within:
+                last &= pc.equal(table[c], table[c][n - 1]).fill_null(False).to_numpy() | (pc.is_null(table[c]).to_numpy() & (not table[c][n - 1].is_valid))
+            cut = int(n - np.argmin(last[::-1])) if not last.all() else 0
+            if cut:
+                yield from out(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut
+        if held:
+            yield from out(pa.Table.from_batches(held))
+
+    return pairs.repartition(*within).sortWithinPartitions(*within).mapInArrow(run, schema)
+
+
+def align(regions: DataFrame, threshold: float = THRESHOLD, within: tuple[str, ...] = ()) -> DataFrame:
     """Evidence that regions of several parsers are one: left_id, right_id, method, score, selectors, status.
 
     ``regions``: region_id, parser_id, kind, resource_id, page, anchor, selectors, char_start,
@@ -110,10 +247,15 @@ def align(regions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     each is the other's only one of its parsers, else all its pairs are ambiguous; boxes
     take part as in :func:`mutual_best`.  What is settled, ambiguity too, supersedes
     weaker pairs.  Every step is a table, so the plan has one scan of the regions.
+
+    ``within``: columns of which a region, and any two that can agree, have the same
+    values; regions partitioned by them are not shuffled, and all steps are taken at once
+    for each of their groups.
     """
-    rest = [c for c in regions.columns if c not in ("region_id", "parser_id", "selectors")]
-    whole = regions.groupBy("region_id").agg(F.array_join(F.sort_array(F.collect_set("parser_id")), "|").alias("parsers"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("selectors", F.array().cast("array<string>"))))).alias("selectors"), *[F.min(c).alias(c) for c in rest])
-    whole = written(whole, "regions")
+    if within:
+        pairs = candidates(_whole(regions.where("region_id is not null"), within), within, F.contains("parsers", F.lit("|")))
+        return _by_group(pairs, within, partial(_evidence, threshold=threshold), "left_id string, right_id string, method string, score double, selectors string, status string")
+    whole = written(_whole(regions, ()), "regions")
     names = whole.where(F.contains("parsers", F.lit("|"))).withColumn("p_", F.split("parsers", "[|]"))
     pairs = names.select("region_id", F.explode("p_").alias("a_"), "p_").select("region_id", "a_", F.explode("p_").alias("b_")).where("a_ < b_")
     out = [pairs.select(F.col("region_id").alias("left_id"), F.col("region_id").alias("right_id"), F.lit(SHARED_ID).alias("method"), F.lit(1.0).alias("score"), F.lit("").alias("selectors"), F.lit("exact").alias("status"))]
@@ -149,6 +291,12 @@ def alignment_groups(regions: DataFrame, evidence: DataFrame) -> DataFrame:
     return groups.select(F.explode("m_").alias("region_id"), name.alias("group_id"), F.size("m_").alias("members"))
 
 
+def groups_within(regions: DataFrame, within: tuple[str, ...], threshold: float = THRESHOLD) -> DataFrame:
+    """:func:`alignment_groups` of regions and their :func:`align`, each of the groups of ``within`` at once."""
+    pairs = candidates(_whole(regions.where("region_id is not null"), within), within, F.lit(True))
+    return _by_group(pairs, within, partial(_members, threshold=threshold), "region_id string, group_id string, members int")
+
+
 def bbox_scores(regions: DataFrame) -> DataFrame:
     """Overlapping same-kind pairs on a page: left_id, right_id, parsers and ``score``, the intersection over union.
 
